@@ -18,6 +18,8 @@ CHUNK_BYTES = 1 << 20
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 IS_WORD = np.ones(256, dtype=bool)
 IS_WORD[list(SEPARATORS)] = False
+#: Letters, digits and all of non-ASCII; punctuation parts words too.
+IS_LETTER = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -36,7 +38,6 @@ _POSITIONS = 512
 _TABLE = mix64(np.arange(_POSITIONS)) | U64(1)
 _BYTES = mix64(np.arange(256) + 1_000_003)
 _BYTES[list(SEPARATORS)] = 0
-_BYTES_LOWER = _BYTES[LOWER]
 
 
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,9 +69,10 @@ def chunks(data: np.ndarray, offsets: np.ndarray, limit: int = CHUNK_BYTES) -> I
 class Words:
     """The words of a run of texts: byte bounds, and per text the range of its words."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = IS_WORD):
         self.data, self.offsets = data, offsets
-        inside = IS_WORD[data]
+        self.table = _BYTES * inside.astype(U64)
+        inside = inside[data]
         heads = offsets[:-1][offsets[:-1] < offsets[1:]]
         before = np.empty_like(inside)
         if len(inside):
@@ -110,7 +112,7 @@ class Words:
             factor = _TABLE[at]
         else:
             factor = _TABLE[at % _POSITIONS] + mix64(at // _POSITIONS) * (at >= _POSITIONS).astype(U64) * U64(2)
-        values = (_BYTES_LOWER if lower else _BYTES)[self.data[base:]]
+        values = (self.table[LOWER] if lower else self.table)[self.data[base:]]
         with np.errstate(over="ignore"):
             return mix64(np.add.reduceat(values * factor, self.starts - base))
 
