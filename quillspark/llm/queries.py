@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontaminate, language_id, mixing, near_dup, sharding, toxicity, warc
+from quillspark.llm import decontaminate, language_id, mixing, near_dup, quality, sharding, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    return found.select("doc_id", *quality.STATS, "base_failed", "kept", F.pow(F.lit(10.0), "log_ppl").alias("perplexity"))
+
+
 def op9_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return warc.read(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "segments", "status")
@@ -69,7 +74,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_external_shuffle, op3_near_duplicates, op6_language_id, op7_decontaminate, op9_warc_segments, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_toxicity, op2_external_shuffle, op3_near_duplicates, op6_language_id, op7_decontaminate, op8_quality_rules, op9_warc_segments, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
