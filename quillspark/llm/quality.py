@@ -38,8 +38,8 @@ from quillspark.llm._vec import LOWER, SEPARATORS, U64, Words, buffers, chunks,
 @dataclass(frozen=True)
 class QualityParams:
     order: int = 5
-    width: float = 4.0
-    least_width: float = 0.12
+    width: float = 3.0
+    least_width: float = 0.03
     min_words: int = 50
     max_repeat_percent: int = 50
     max_entries: int = 12_000_000
