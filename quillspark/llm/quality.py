@@ -13,6 +13,8 @@ than `max_entries`, languages are scored in groups, each with its own broadcast.
 A document's perplexity is compared with its language's band: the median of the
 log perplexities of that language's documents, give or take `width` times their
 interquartile range (at least `least_width`), by documents of enough words.
+Short documents' perplexities vary more: the band of one of n words is wider by
+the square root of 1 + short_words / n.
 
 Defined results: a null text is an empty one; texts shorter than an n-gram have
 no perplexity, and keep what the other rules say; null is a language of its own;
@@ -40,6 +42,7 @@ class QualityParams:
     order: int = 5
     width: float = 3.0
     least_width: float = 0.03
+    short_words: int = 100
     min_words: int = 50
     max_repeat_percent: int = 50
     max_entries: int = 12_000_000
@@ -307,8 +310,9 @@ def measure(docs: DataFrame, fitted: list[tuple[list[int] | None, PerplexityMode
                     s = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
                     failed = (s["n_words"] < params.min_words) | (100 * s["n_repeat_words"] > params.max_repeat_percent * s["n_words"])
                     if whole:
-                        lo, hi = bands.get(name, (-np.inf, np.inf))
-                        ok = ~failed & ~((s["log_ppl"] < lo) | (s["log_ppl"] > hi))
+                        mid, half = bands.get(name, (0.0, np.inf))
+                        slack = half * np.sqrt(1 + params.short_words / np.maximum(s["n_words"], 1))
+                        ok = ~failed & ~(np.abs(s["log_ppl"] - mid) > slack)
                         if ok.any():
                             yield batch.take(pa.array(rows[ok]))
                         continue
@@ -322,28 +326,29 @@ def measure(docs: DataFrame, fitted: list[tuple[list[int] | None, PerplexityMode
 
 
 def bands_of(measured: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
-    """(lang, low, high): each language's band of log10 perplexity, from all documents of enough words."""
+    """(lang, mid, half): each language's band of log10 perplexity, from all documents of enough words."""
     q = measured.where(f"log_ppl is not null and n_words >= {params.min_words}").groupBy("lang").agg(F.percentile_approx("log_ppl", [0.25, 0.5, 0.75], 10_000).alias("q"))
     half = F.greatest(F.lit(params.least_width), params.width * (F.col("q")[2] - F.col("q")[0]))
-    return q.select("lang", (F.col("q")[1] - half).alias("low"), (F.col("q")[1] + half).alias("high"))
+    return q.select("lang", F.col("q")[1].alias("mid"), half.alias("half"))
 
 
-def inside_band() -> Column:
-    return F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(True))
+def inside_band(params: QualityParams = QualityParams()) -> Column:
+    slack = F.col("half") * F.sqrt(1 + F.lit(params.short_words) / F.greatest(F.col("n_words"), F.lit(1)))
+    return F.coalesce(F.abs(F.col("log_ppl") - F.col("mid")) <= slack, F.lit(True))
 
 
 def judge(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
-    """One row a document: the statistics, base_failed, log_ppl, the band (low, high) and kept."""
+    """One row a document: the statistics, base_failed, log_ppl, the band (mid, half) and kept."""
     measured = Table(measure(docs, models(docs, params), None, params), "measured").df
     bands = Table(bands_of(measured, params), "bands").df
     small = bands.count() <= 100_000
     found = measured.join(F.broadcast(bands) if small else bands, measured["lang"].eqNullSafe(bands["lang"]), "left").drop(bands["lang"])
-    return found.withColumn("kept", ~F.col("base_failed") & inside_band())
+    return found.withColumn("kept", ~F.col("base_failed") & inside_band(params))
 
 
 def keep(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
     """The rows of docs that pass, with all their columns."""
     fitted = models(docs, params)
     bands = bands_of(Table(measure(docs, fitted, None, params), "measured").df, params)
-    known = {r["lang"]: (r["low"], r["high"]) for r in bands.toLocalIterator()}
+    known = {r["lang"]: (r["mid"], r["half"]) for r in bands.toLocalIterator()}
     return measure(docs, fitted, known, params)
