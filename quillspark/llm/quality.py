@@ -40,8 +40,8 @@ from quillspark.llm._vec import LOWER, SEPARATORS, U64, Words, buffers, chunks,
 @dataclass(frozen=True)
 class QualityParams:
     order: int = 5
-    width: float = 3.0
-    least_width: float = 0.03
+    width: float = 2.5
+    least_width: float = 0.02
     short_words: int = 100
     min_words: int = 50
     max_repeat_percent: int = 50
