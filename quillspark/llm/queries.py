@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontaminate, language_id, lm_score, mixing, near_dup, quality, sharding, toxicity, warc
+from quillspark.llm import decontaminate, language_id, lm_score, mixing, near_dup, pii, quality, sharding, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,12 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (id_fold(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.fit(docs))
+    return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.train(*language_id.labelled_sample(docs, id_fold(4) != 2))
@@ -79,7 +85,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_external_shuffle, op3_near_duplicates, op4_lm_score, op6_language_id, op7_decontaminate, op8_quality_rules, op9_warc_segments, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_toxicity, op2_external_shuffle, op3_near_duplicates, op4_lm_score, op5_pii, op6_language_id, op7_decontaminate, op8_quality_rules, op9_warc_segments, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
