@@ -143,7 +143,8 @@ def mix(df: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     """
     names = [c for c in df.columns if c not in ("mix_shard", "mix_copy")]
     d = plan(measured(df.select(*[F.col(f"`{c}`") for c in names])), params).withColumn("_c", F.explode("_copies"))
-    cut = F.expr(rf"substring(text, 1, length(regexp_extract(text, concat('^(?:[\\x20\\x09-\\x0D]*+[^\\x20\\x09-\\x0D]++){{', cast(_c.taken as string), '}}'), 0)))")
+    pieces = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    cut = F.array_join(F.slice(pieces, F.lit(1), F.col("_c.taken").cast("int")), "")
     d = d.withColumn("text", F.when(F.col("_c.taken") < F.col("_size"), cut).otherwise(F.col("text")))
     order = F.md5(F.concat_ws(":", F.lit(str(params.seed)), F.lit("local"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("_c.copy").cast("string")))
     d = d.withColumn("_order", order).select(*[F.col(f"`{c}`") for c in names], F.col("_c.shard").alias("mix_shard"), F.col("_c.copy").alias("mix_copy"), "_order")
