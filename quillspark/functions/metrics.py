@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import cache
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import words
@@ -23,10 +27,10 @@ def characters(c: Column, flexible: bool = False) -> Column:
     return F.translate(low, PUNCTUATION, "") if flexible else low
 
 
-def word_distance(a: Column, b: Column) -> Column:
-    """Edit distance of two word arrays: each distinct word becomes one character, then the built-in distance does it.
+def word_distance_native(a: Column, b: Column) -> Column:
+    """Edit distance of two short word arrays inside the JVM: each distinct word becomes one character.
 
-    Null for pairs of more than 35,328 distinct words; those are for `sequence_distance`.
+    Looking words up is linear in their number, so this is for lines; null for pairs of more than 35,328 distinct words.
     """
     vocabulary = F.array_distinct(F.concat(a, b))
     code = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(vocabulary, w) + (FIRST_CODE - 1)), 4, "0")), "UTF-16BE")
@@ -34,51 +38,53 @@ def word_distance(a: Column, b: Column) -> Column:
     return F.when(F.size(vocabulary) <= LAST_CODE - FIRST_CODE + 1, F.levenshtein(text(a), text(b)))
 
 
-def sequence_distance():
-    """A pandas UDF for word arrays of any size: rows of the edit table as numpy arrays."""
-    import numpy as np
-    import pandas as pd
+def edit_distance(a, b) -> int:
+    """Edit distance of two sequences, a row of the table at a time."""
+    codes: dict = {}
+    x, y = (np.array([codes.setdefault(w, len(codes)) for w in s], np.int64) for s in (a, b))
+    slope = np.arange(len(y) + 1)
+    row = slope.copy()
+    for i, v in enumerate(x):
+        new = np.concatenate([[i + 1], np.minimum(row[1:] + 1, row[:-1] + (y != v))])
+        row = np.minimum.accumulate(new - slope) + slope
+    return int(row[-1])
+
 
-    def distance(a, b) -> int:
-        codes: dict = {}
-        x, y = (np.array([codes.setdefault(w, len(codes)) for w in s], np.int64) for s in (a, b))
-        row = np.arange(len(y) + 1)
-        for i, v in enumerate(x):
-            new = np.minimum(row[1:] + 1, row[:-1] + (y != v))
-            full = np.concatenate([[i + 1], new])
-            row = np.minimum.accumulate(full - np.arange(len(full))) + np.arange(len(full))
-        return int(row[-1])
+@cache
+def word_distance():
+    """An Arrow-batched UDF for word arrays of any length."""
 
     @F.pandas_udf("int")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else distance(x, y) for x, y in zip(a, b)], dtype="Int32")
+        return pd.Series([None if x is None or y is None else edit_distance(x, y) for x, y in zip(a, b)], dtype="Int32")
 
     return run
 
 
-def word_error_rate(reference: Column, hypothesis: Column, flexible: bool = False) -> Column:
-    r = tokens(reference, flexible)
-    return F.coalesce(F.try_divide(word_distance(r, tokens(hypothesis, flexible)).cast("double"), F.size(r)), F.lit(0.0))
-
-
 def character_error_rate(reference: Column, hypothesis: Column, flexible: bool = False) -> Column:
     r = characters(reference, flexible)
     return F.coalesce(F.try_divide(F.levenshtein(r, characters(hypothesis, flexible)).cast("double"), F.length(r)), F.lit(0.0))
 
 
-def evaluation(reference: Column, hypothesis: Column) -> dict[str, Column]:
-    """The eight measures by name; errors count as formatting where only the strict rate sees them."""
-    strict, flexible = word_error_rate(reference, hypothesis), word_error_rate(reference, hypothesis, True)
-    n = F.size(tokens(reference))
-    total = F.greatest(n, F.lit(1))
-    content = (flexible * total).cast("int")
+def evaluate(df: DataFrame, reference: Column, hypothesis: Column) -> DataFrame:
+    """df with the eight measures; errors count as formatting where only the strict rate sees them.
+
+    Each distance is computed once, as a column, and each rate derived from it.
+    """
+    df = df.withColumns({"_r": tokens(reference), "_h": tokens(hypothesis), "_fr": tokens(reference, True), "_fh": tokens(hypothesis, True)})
+    distance = word_distance()
+    df = df.withColumns({"_d": distance("_r", "_h"), "_fd": distance("_fr", "_fh")})
+    rate = lambda d, r: F.coalesce(F.try_divide(F.col(d).cast("double"), F.size(r)), F.lit(0.0))
+    df = df.withColumns({"strict_wer": rate("_d", "_r"), "flexible_wer": rate("_fd", "_fr"), **character_measures(reference, hypothesis), "total_ref_words": F.size("_r")})
+    total = F.greatest(F.col("total_ref_words"), F.lit(1))
+    df = df.withColumn("content_errors", (F.col("flexible_wer") * total).cast("int"))
+    df = df.withColumn("formatting_errors", F.greatest(F.lit(0), (F.col("strict_wer") * total).cast("int") - F.col("content_errors")))
+    return df.drop("_r", "_h", "_fr", "_fh", "_d", "_fd")
+
+
+def character_measures(reference: Column, hypothesis: Column) -> dict[str, Column]:
     return {
-        "strict_wer": strict,
-        "flexible_wer": flexible,
         "strict_cer": character_error_rate(reference, hypothesis),
         "flexible_cer": character_error_rate(reference, hypothesis, True),
-        "formatting_errors": F.greatest(F.lit(0), (strict * total).cast("int") - content),
-        "content_errors": content,
-        "total_ref_words": n,
         "total_ref_chars": F.length(characters(reference)),
     }

@@ -33,7 +33,7 @@ def limit(kind: Column, which: int) -> Column:
 def score_documents(truth: DataFrame, output: DataFrame) -> DataFrame:
     """One row a document in both: truth (doc_id, ground_truth, truth_type), output (doc_id, text, doc_type, confidence)."""
     both = truth.join(output, "doc_id").withColumn("ground_truth", tx.normalize_underscores(F.col("ground_truth")))
-    both = both.withColumns(m.evaluation(F.col("ground_truth"), F.col("text")))
+    both = m.evaluate(both, F.col("ground_truth"), F.col("text"))
     kind = F.coalesce("truth_type", "doc_type")
     both = both.withColumns({"wer_limit": limit(kind, 0), "cer_limit": limit(kind, 1)})
     both = both.withColumns({"wer_pass": F.col("flexible_wer") <= F.col("wer_limit"), "cer_pass": F.col("flexible_cer") <= F.col("cer_limit")})
