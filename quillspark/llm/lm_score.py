@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._io import Table, plan_bytes
+from quillspark.llm._io import Table, text_bytes
 from quillspark.llm._vec import U64, Words, buffers, chunks, mix64, sum_ranges
 
 END = mix64(np.array([424242], U64))[0]
@@ -83,7 +83,7 @@ def _added(keys: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.
 def count(training: DataFrame, params: LmParams = LmParams()) -> tuple[Table, int]:
     """The counts over all training texts as packed rows (range, kind, keys, counts, n, total), one a range and kind; and the number of ranges."""
     spark = training.sparkSession
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-plan_bytes(training) // params.range_bytes))
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes(training) // params.range_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {WORD: [], PAIR: []}

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quillspark.llm._io import Table, plan_bytes
+from quillspark.llm._io import Table, text_bytes
 
 ADDED = ("shard", "slot")
 
@@ -61,8 +61,7 @@ def shuffle(df: DataFrame, params: ShardParams = ShardParams()) -> Table:
     """Write df in shuffled order, one row group run per bucket, with `shard` and `slot`; the table can be read by shard."""
     keep = [c for c in df.columns if c not in ADDED and c not in ("_b", "_k")]
     df = df.select(*[F.col(f"`{c}`") for c in keep])
-    # Compressed columns unpack to a few times their size.
-    buckets = max(1, -(-plan_bytes(df) * 3 // params.bucket_bytes))
+    buckets = max(1, -(-text_bytes(df) // params.bucket_bytes))
     scattered = scatter(df, params, buckets)
     names = [*keep, "_k", "_b"]
     placed = T.StructType([df.schema[c] for c in keep] + [T.StructField("_b", T.IntegerType()), T.StructField("_p", T.LongType())])
