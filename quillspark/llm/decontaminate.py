@@ -2,7 +2,9 @@
 
 Words are runs of letters, digits and non-ASCII bytes, ASCII-lower-cased.  One
 pass counts, over all texts, how many contain each word n-gram of the test
-items; each item's rarest n-grams become its seeds.  A second pass joins every
+items; an item's n-grams become its seeds but for those several times as
+frequent as its median one, which many texts share by chance.  (Taking only the
+very rarest would favour just those that edited copies lack.)  A second pass joins every
 text with the items by those seeds, gathers neighbouring hits into windows of
 the text, and aligns window and item by words (match +1, mismatch and gap -1,
 local).  A text is a copy of an item if the best score reaches `least` of the
@@ -34,8 +36,7 @@ from quillspark.llm._vec import IS_LETTER, U64, Words, buffers, chunks, grams
 @dataclass(frozen=True)
 class DecontaminateParams:
     gram: int = 3
-    rare_share: float = 0.5
-    min_seeds: int = 8
+    common_factor: float = 8.0
     least: float = 0.5
     slack: int = 8
     block_grams: int = 2_000_000
@@ -69,13 +70,13 @@ def prepare(rows: list[tuple[int, str | None]], n: int) -> Items:
 
 
 def seeds(items: Items, frequency: dict[int, int], params: DecontaminateParams) -> Items:
-    """items with each one's rarest grams only; ties by place."""
+    """items without the grams that are more than common_factor times as frequent as their item's median gram."""
     keep = np.zeros(len(items.gram), bool)
     df = np.array([frequency.get(int(g), 0) for g in items.gram.view(np.int64)], np.int64)
     for i in range(len(items.ids)):
         mine = np.flatnonzero(items.item == i)
-        want = max(params.min_seeds, int(np.ceil(len(mine) * params.rare_share)))
-        keep[mine[np.argsort(df[mine], kind="stable")[:want]]] = True
+        if len(mine):
+            keep[mine[df[mine] <= params.common_factor * max(1.0, float(np.median(df[mine])))]] = True
     order = np.flatnonzero(keep)
     order = order[np.argsort(items.gram[order], kind="stable")]
     return Items(items.ids, items.words, items.gram[order], items.item[order], items.at[order], items.size[order])
