@@ -1,13 +1,5 @@
-import random
-
 import pytest
-
-WORDS = "amber birch cedar delta ember flint grove harbor island jasper kernel lagoon meadow nectar orchid pebble quartz river saddle timber".split()
-
-
-def prose(n: int, seed: int) -> str:
-    rng = random.Random(seed)
-    return " ".join(rng.choice(WORDS) + str(rng.randrange(50)) for _ in range(n))
+from made_texts import prose
 
 
 @pytest.fixture(scope="session")

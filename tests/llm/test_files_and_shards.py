@@ -6,7 +6,7 @@ import io
 import zlib
 
 import pytest
-from conftest import prose
+from made_texts import prose
 from pyspark.sql import functions as F
 
 from quillspark.llm import mixing, sharding, warc

@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import prose
+from made_texts import prose
 from pyspark.sql import functions as F
 
 from quillspark.llm import lm_score, quality

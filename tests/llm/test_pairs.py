@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import prose
+from made_texts import prose
 
 from quillspark.llm import _vec, decontaminate, near_dup
 
