@@ -1,11 +1,13 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary text and one on the
-passages that set toxic text apart.  Every text is cut into overlapping windows
-and each window is compressed with both; the bytes the toxic dictionary saves
-are compared with thresholds, and the share of windows beyond each threshold is
-turned into a probability by a logistic calibration on labelled texts that took
-no part in training the dictionaries.
+Pairs of zstandard dictionaries are trained, one of each pair on ordinary text
+and one on the passages that set toxic text apart.  Every text is cut into
+overlapping windows and each window is compressed with both; the bytes the toxic
+dictionary saves are compared with thresholds, and the shares of windows beyond
+each threshold are turned into a probability by a logistic calibration on
+labelled texts that took no part in training the dictionaries.  One pair's
+lengths are noisy, as a window's matches shift with its surroundings; three
+pairs that differ in match finder and layout are calibrated together.
 
 Defined results: a null or empty text is one empty window and gets a score as
 any other; very long texts are cut into more windows, never truncated; repeated
@@ -30,6 +32,17 @@ from pyspark.sql import types as T
 from quillspark.llm._vec import LOWER, buffers
 
 
+@dataclass(frozen=True)
+class DictionaryPair:
+    """trained: the toxic part is what zstandard's trainer selects, else all passages; toxic_last: it lies nearest to the window."""
+
+    trained: bool = True
+    body_bytes: int = 8192
+    min_match: int = 5
+    strategy: int = 3
+    toxic_last: bool = False
+
+
 @dataclass(frozen=True)
 class ToxicityParams:
     """max_docs bounds the labelled sample of each kind, max_doc_bytes what training reads of one text."""
@@ -37,9 +50,8 @@ class ToxicityParams:
     window: int = 64
     stride: int = 52
     level: int = 3
-    strategy: int = 3
-    min_match: int = 5
-    dict_bytes: int = 8192
+    head_bytes: int = 8192
+    pairs: tuple[DictionaryPair, ...] = (DictionaryPair(), DictionaryPair(strategy=6, toxic_last=True), DictionaryPair(trained=False, body_bytes=16_384, min_match=6, strategy=2, toxic_last=True))
     gram: int = 6
     max_docs: int = 3000
     max_doc_bytes: int = 20_000
@@ -48,9 +60,10 @@ class ToxicityParams:
 
 @dataclass
 class ToxicityModel:
+    """dictionaries: (ordinary, toxic) of each pair."""
+
     params: ToxicityParams
-    ordinary: bytes = b""
-    toxic: bytes = b""
+    dictionaries: list[tuple[bytes, bytes]] = field(default_factory=list)
     mean: list[float] = field(default_factory=list)
     scale: list[float] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
@@ -63,26 +76,29 @@ def windows(raw: bytes, params: ToxicityParams) -> list[bytes]:
 
 
 class Compressors:
-    """The pair of compressors; both dictionaries share a body, so that only the toxic part makes a difference."""
+    """The compressors of each pair; both dictionaries share a body, so that only the toxic part makes a difference."""
 
     def __init__(self, model: ToxicityModel):
-        p = model.params
-        settings = zstd.ZstdCompressionParameters.from_level(
-            p.level, strategy=p.strategy, min_match=p.min_match, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstd.FORMAT_ZSTD1_MAGICLESS
-        )
-        make = lambda content: zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT), compression_params=settings).compress
-        self.params, self.plain, self.hot = p, make(model.ordinary), make(model.toxic)
+        self.params = p = model.params
+        self.pairs = []
+        for pair, contents in zip(p.pairs, model.dictionaries):
+            settings = zstd.ZstdCompressionParameters.from_level(
+                p.level, strategy=pair.strategy, min_match=pair.min_match, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstd.FORMAT_ZSTD1_MAGICLESS
+            )
+            self.pairs.append([zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(c, dict_type=zstd.DICT_TYPE_RAWCONTENT), compression_params=settings).compress for c in contents])
 
     def savings(self, raw: bytes) -> np.ndarray:
-        a, b = self.plain, self.hot
-        return np.array([len(a(w)) - len(b(w)) for w in windows(raw, self.params)], dtype=np.int64)
+        """(pairs, windows) bytes saved."""
+        cut = windows(raw, self.params)
+        return np.array([[len(a(w)) - len(b(w)) for w in cut] for a, b in self.pairs], dtype=np.int64)
 
 
 def features(savings: np.ndarray, params: ToxicityParams) -> np.ndarray:
-    n = len(savings)
-    over = [float(np.log1p(25.0 * np.count_nonzero(savings >= t) / n)) for t in params.thresholds]
-    gain = np.log1p(25.0 * float(savings[savings >= params.thresholds[0]].sum()) / n)
-    return np.array([*over, gain])
+    """For each pair, the shares of windows beyond each threshold and the bytes saved beyond the first, on a log scale."""
+    n = savings.shape[1]
+    over = [(savings >= t).sum(1) / n for t in params.thresholds]
+    gain = np.where(savings >= params.thresholds[0], savings, 0).sum(1) / n
+    return np.log1p(25.0 * np.array([*over, gain])).T.ravel()
 
 
 def _marked(docs: Sequence[bytes], n: int) -> Counter:
@@ -129,12 +145,17 @@ def train(toxic: Sequence[str | None], ordinary: Sequence[str | None], params: T
     usual = [w for d in b for w in windows(d, params)[:60]]
     rng = np.random.default_rng(7)
     usual = [usual[i] for i in rng.permutation(len(usual))[:20_000]]
-    body = _trained(params.dict_bytes, usual)[-params.dict_bytes + 512 :]
-    fragments = [p for p, c in marked.items() for _ in range(min(c, 20))]
-    head = _trained(params.dict_bytes, fragments) if fragments else b""
-    head = head[-max(0, min(len(head) - 300, params.dict_bytes)) :] if len(head) > 600 else head
-    filler = _trained(params.dict_bytes, usual[::-1])[-len(head) :] if head else b""
-    model.ordinary, model.toxic = filler + body, head + body
+    fragments = [p for p, c in sorted(marked.items()) for _ in range(min(c, 20))]
+    for pair in params.pairs:
+        if pair.trained:
+            head = _trained(params.head_bytes, fragments) if fragments else b""
+            head = head[-max(0, min(len(head) - 300, params.head_bytes)) :] if len(head) > 600 else head
+        else:
+            # The most frequent passages lie last, where they are cheapest to refer to.
+            head = b"".join(p for p in sorted(marked, key=lambda p: (marked[p], p)) if marked[p] >= 2)[-params.head_bytes :]
+        body = _trained(pair.body_bytes, usual)[-pair.body_bytes + 512 :]
+        filler = _trained(max(params.head_bytes, len(head)), usual[::-1])[-len(head) :] if head else b""
+        model.dictionaries.append((body + filler, body + head) if pair.toxic_last else (filler + body, head + body))
     c = Compressors(model)
     x = np.array([features(c.savings(d), params) for d in rest(tox) + rest(plain)])
     y = np.array([1.0] * len(rest(tox)) + [0.0] * len(rest(plain)))
@@ -155,7 +176,7 @@ def score_bytes(raw: bytes, model: ToxicityModel, c: Compressors | None) -> tupl
     s = c.savings(raw)
     z = (features(s, model.params) - np.array(model.mean)) / np.array(model.scale)
     value = float(z @ np.array(model.weights[:-1]) + model.weights[-1])
-    return float(1 / (1 + np.exp(-np.clip(value, -30, 30)))), int(np.count_nonzero(s >= model.params.thresholds[0]))
+    return float(1 / (1 + np.exp(-np.clip(value, -30, 30)))), int(np.count_nonzero((s >= model.params.thresholds[0]).any(0)))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, trainable: Column, params: ToxicityParams = ToxicityParams()) -> tuple[list[str], list[str]]:
