@@ -34,34 +34,41 @@ FROM (SELECT doc_id, line_no, line, doc_id * 31 + line_no * 17 AS g, substr(conc
 """
 
 
-def _mark(k: int, kind: str, when: str, box: tuple[float, float, float, float], conf: str) -> str:
-    corners = ", ".join(f"CAST({v} AS DOUBLE) AS {n}" for v, n in zip(box, ("x1", "y1", "x2", "y2")))
-    return f"SELECT doc_id, page_no, CAST({100 + k} AS BIGINT) AS elem_idx, '{kind}' AS type, CAST(NULL AS STRING) AS content, {corners}, CAST({conf} AS DOUBLE) AS confidence, CAST(NULL AS STRING) AS source_model, doc_id AS g FROM pages0 WHERE {when}"
-
-
-_MARKS = " UNION ALL ".join(
-    (
-        _mark(0, "table", "doc_id % 4 = 0", (30, 20, 600, 300), "0.97"),
-        _mark(1, "table", "doc_id % 10 = 0", (900, 900, 990, 990), "0.80"),
-        _mark(2, "layout_region", "doc_id % 6 = 0", (30, 30, 500, 400), "0.90"),
-        _mark(3, "layout_region", "doc_id % 6 = 0", (30.001, 30, 500, 400), "0.90"),
-        _mark(4, "signature", "doc_id % 5 = 0", (30, 180, 400, 300), "NULL"),
-        _mark(5, "logo", "doc_id % 9 = 0", (0, 0, 100, 40), "NULL"),
-    )
+#: k, type, which documents, box and confidence of the elements besides text.
+_KINDS = (
+    ("table", "doc_id % 4 = 0", (30, 20, 600, 300), "0.97"),
+    ("table", "doc_id % 10 = 0", (900, 900, 990, 990), "0.80"),
+    ("layout_region", "doc_id % 6 = 0", (30, 30, 500, 400), "0.90"),
+    ("layout_region", "doc_id % 6 = 0", (30.001, 30, 500, 400), "0.90"),
+    ("signature", "doc_id % 5 = 0", (30, 180, 400, 300), "NULL"),
+    ("logo", "doc_id % 9 = 0", (0, 0, 100, 40), "NULL"),
 )
 
 
-def ctes(lines: str) -> str:
-    """The CTEs lines, texts, pages0 and elements."""
-    return f"lines AS ({lines}), texts AS ({_TEXTS}), pages0 AS (SELECT DISTINCT doc_id, page_no FROM texts), elements AS (SELECT * FROM texts UNION ALL {_MARKS})"
+def _case(values: list) -> str:
+    return "CASE k " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
 
 
-DUCK = ctes(DUCK_LINES)
+_CORNERS = ", ".join(f"CAST({_case([box[i] for _, _, box, _ in _KINDS])} AS DOUBLE) AS {n}" for i, n in enumerate(("x1", "y1", "x2", "y2")))
+_MARKS = (
+    f"SELECT doc_id, page_no, CAST(100 + k AS BIGINT) AS elem_idx, {_case([repr(t) for t, *_ in _KINDS])} AS type, CAST(NULL AS STRING) AS content, {_CORNERS}, "
+    f"CAST({_case([c for *_, c in _KINDS])} AS DOUBLE) AS confidence, CAST(NULL AS STRING) AS source_model, doc_id AS g FROM slots WHERE {_case([w for _, w, _, _ in _KINDS])}"
+)
+SPARK_SLOTS = "SELECT doc_id, page_no, k FROM pages0 LATERAL VIEW explode(sequence(0, 5)) t AS k"
+DUCK_SLOTS = "SELECT doc_id, page_no, k FROM pages0, unnest(range(6)) t(k)"
+
+
+def ctes(lines: str, slots: str) -> str:
+    """The CTEs lines, texts, pages0, slots and elements."""
+    return f"lines AS ({lines}), texts AS ({_TEXTS}), pages0 AS (SELECT DISTINCT doc_id, page_no FROM texts), slots AS ({slots}), elements AS (SELECT * FROM texts UNION ALL {_MARKS})"
+
+
+DUCK = ctes(DUCK_LINES, DUCK_SLOTS)
 
 
 def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    sql = f"WITH documents AS (SELECT * FROM {{docs}}), {ctes(SPARK_LINES)} SELECT * FROM elements"
+    sql = f"WITH documents AS (SELECT * FROM {{docs}}), {ctes(SPARK_LINES, SPARK_SLOTS)} SELECT * FROM elements"
     return spark.sql(sql, docs=docs)
 
 
