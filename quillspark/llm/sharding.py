@@ -95,7 +95,7 @@ def shuffle(df: DataFrame, params: ShardParams = ShardParams()) -> Table:
         if parts:
             yield from permute(now, parts)
 
-    whole = scattered.select(*[F.col(f"`{c}`") for c in names]).repartition(min(buckets, 20_000), "_b").sortWithinPartitions("_b").mapInArrow(run, placed)
+    whole = scattered.select(*[F.col(f"`{c}`") for c in names]).repartitionById(min(buckets, 50_000), F.col("_b") % F.lit(min(buckets, 50_000))).sortWithinPartitions("_b").mapInArrow(run, placed)
     first = Table(whole, "shuffled")
     return first
 
