@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from calendar import month_abbr
 from functools import reduce
 
 from pyspark.sql import Column
@@ -20,7 +21,7 @@ PHONES = (
 )
 NOT_PHONES = ("\\d{5}-\\d{4}", "\\d{1,2}/\\d{1,2}/\\d{2,4}", "\\d{4}/\\d{2}/\\d{2}")
 WHOLE_DATE = "^\\d{1,2}[/\\-]\\d{1,2}[/\\-]\\d{2,4}$"
-MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
+MONTHS = "|".join(month_abbr[1:])
 DATES = (
     ("(\\d{1,2})[/\\-](\\d{1,2})[/\\-](\\d{4})", "MM/DD/YYYY"),
     ("(\\d{1,2})[/\\-](\\d{1,2})[/\\-](\\d{2})(?!\\d)", "MM/DD/YY"),

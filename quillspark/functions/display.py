@@ -6,31 +6,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 COLOURS = {
-    "text": (30, 144, 255),
-    "table": (0, 100, 200),
-    "figure": (34, 139, 34),
-    "image": (34, 139, 34),
-    "human face": (34, 139, 34),
-    "signature": (148, 0, 211),
-    "logo": (0, 180, 180),
-    "seal": (180, 0, 180),
-    "layout_region": (180, 180, 180),
+    "figure": "#228b22",
+    "human face": "#228b22",
+    "image": "#228b22",
+    "layout_region": "#b4b4b4",
+    "logo": "#00b4b4",
+    "seal": "#b400b4",
+    "signature": "#9400d3",
+    "table": "#0064c8",
+    "text": "#1e90ff",
 }
-HANDWRITTEN, DOUBTFUL, OTHER = (255, 140, 0), (255, 50, 50), (200, 200, 200)
+HANDWRITTEN, DOUBTFUL, OTHER = "#ff8c00", "#ff3232", "#c8c8c8"
 COUNTED = ("layout_region", "table", "signature", "logo")
 
 
-def _rgb(c: tuple[int, int, int]) -> Column:
-    return F.lit("#%02x%02x%02x" % c)
-
-
 def colour(kind: Column, source: Column, hallucination: Column) -> Column:
     """Hex colour: by type, the handwriting recognizer's text apart, doubtful text above all."""
-    out = _rgb(OTHER)
+    out = F.lit(OTHER)
     for name, value in COLOURS.items():
-        out = F.when(F.lower(kind) == name, _rgb(value)).otherwise(out)
-    out = F.when((F.lower(kind) == "text") & (source == "trocr"), _rgb(HANDWRITTEN)).otherwise(out)
-    return F.when(hallucination >= 0.40, _rgb(DOUBTFUL)).otherwise(out)
+        out = F.when(F.lower(kind) == name, F.lit(value)).otherwise(out)
+    out = F.when((F.lower(kind) == "text") & (source == "trocr"), F.lit(HANDWRITTEN)).otherwise(out)
+    return F.when(hallucination >= 0.40, F.lit(DOUBTFUL)).otherwise(out)
 
 
 def bucket(kind: Column, source: Column) -> Column:

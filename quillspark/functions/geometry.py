@@ -12,7 +12,7 @@ from quillspark.config import DEFAULT, Config
 Box = Sequence[Column]
 
 #: Largest share of the page a detection of each label may cover.
-AREA_LIMITS = {"human face": 0.10, "signature": 0.25, "logo": 0.30, "graphic": 0.50}
+AREA_LIMITS = dict(zip(("graphic", "logo", "signature", "human face"), (0.50, 0.30, 0.25, 0.10)))
 
 
 def box(prefix: str = "", suffix: str = "") -> list[Column]:

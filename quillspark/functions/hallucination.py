@@ -24,7 +24,7 @@ VALID = (
     "(?U)^\\d+[.,]?\\d*$",
     "(?U)^[$\u00a3\u20ac]\\d+[.,]?\\d*$",
     "(?U)^\\(\\d{3}\\)\\s*\\d{3}[-\\s]?\\d{4}$",
-    "(?i)^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}$",
+    "(?i)^[\\w.%+-]+@[a-z0-9.-]+\\.[a-z]{2,}$",
     "(?i)^https?://",
     "(?i)^www\\.",
 )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import cache
+from string import punctuation
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import words
 
-PUNCTUATION = ".,;:!?'\"-()[]{}/<>@#$%^&*_+=|\\~`"
+PUNCTUATION = punctuation
 #: Code points that stand for distinct words; below the surrogates.
 FIRST_CODE, LAST_CODE = 0x4E00, 0xD7FF
 

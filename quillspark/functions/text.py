@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-KEPT_ABBREVIATIONS = ("inc", "corp", "co", "jr", "sr", "dr", "mr", "mrs", "ms", "ltd", "ave", "st", "blvd", "dept", "no", "vs", "etc")
+KEPT_ABBREVIATIONS = tuple("ave blvd co corp dept dr etc inc jr ltd mr mrs ms no sr st vs".split())
 UPPER_SHARE = 0.70
 
 _SPACES = "(?U)\\s+"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from quillspark.functions.contacts import MONTHS
+from quillspark.functions.metrics import PUNCTUATION
+from quillspark.functions.text import KEPT_ABBREVIATIONS, SIGNATURE_LABEL
 from quillspark.operators.spelling import CONFUSED
 from quillspark.plans.fixtures import DUCK, GRID_COLUMNS, GRID_ROWS
 
@@ -42,7 +45,7 @@ def clean(x: str) -> str:
     return f"trim({sub(sub(encoding(x), '<[^>]+>', ''), chr(92) + 's+', ' ')})"
 
 
-KEPT = "('inc','corp','co','jr','sr','dr','mr','mrs','ms','ltd','ave','st','blvd','dept','no','vs','etc')"
+KEPT = str(KEPT_ABBREVIATIONS)
 
 
 def period(x: str) -> str:
@@ -148,9 +151,11 @@ add("i2_padded_boxes", f"SELECT {K}, greatest(0.0, x1 - 12) AS x1, greatest(0.0,
 
 # --- scores
 
+_A, _B = r"(\d{3})", r"(\d{4})"
+_D = r"\d{1,2}"
 _VALID = (
-    "^[a-zA-Z0-9][)]$", "^[#@&*]+[.:;,]?$", r"^\.\d+$", "^[A-Z]{2,}$", "^[A-Z][a-z]+$", r"^[A-Z][a-z]*\.?\s*$", "(?i)^[A-Za-z]{2,}$", "(?i)^[A-Za-z]+[.,;:!?]?$",
-    r"^\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4}$", r"^\d+[.,]?\d*$", "^[$\u00a3\u20ac]\\d+[.,]?\\d*$", r"^\(\d{3}\)\s*\d{3}[-\s]?\d{4}$", r"(?i)^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$", "(?i)^https?://", r"(?i)^www\.",
+    "^[a-zA-Z0-9][)]$", "^[#@&*]+[.:;,]?$", r"^\.\d+$", "^[A-Z]{2,}$", "^[A-Z][a-z]+$", r"^[A-Z][a-z]*\.?\s*$", "(?i)^[A-Z]{2,}$", "(?i)^[A-Z]+[.,;:!?]?$",
+    rf"^{_D}[-/.]{_D}[-/.]\d{{2,4}}$", r"^\d+[.,]?\d*$", "^[$\u00a3\u20ac]\\d+[.,]?\\d*$", rf"^\({_A}\)\s*{_A}[-\s]?{_B}$", r"(?i)^[\w.%+-]+@[a-z0-9.-]+\.[a-z]{2,}$", "(?i)^https?://", r"(?i)^www\.",
 )
 
 
@@ -238,7 +243,7 @@ add("step9_trailing_periods", f"SELECT {K}, CASE WHEN {_has} AND source_model =
 _f, _s = dash("content")
 add("step10_decimal_dashes", f"SELECT {K}, CASE WHEN gate AND {_has} THEN {_f} ELSE content END AS content, coalesce(gate AND {_has} AND NOT {_s} AND ({_f}) <> content, FALSE) AS repaired FROM (SELECT *, coalesce(bool_or({_has} AND {has('content', chr(92) + 'b' + chr(92) + 'd+' + chr(92) + '.' + chr(92) + 'd+' + chr(92) + 'b')}) OVER (PARTITION BY doc_id, page_no), FALSE) AS gate FROM elements) q")
 add("step11_parentheses", f"SELECT {K}, CASE WHEN {_has} THEN {parenthesis('content')} ELSE content END AS content FROM elements")
-_SIGN = r"(?i)((?:RECEIVED|SIGNED)\s+BY\s*:|SIGNATURE\s+OF\s+[\w\s]*?(?:CONSIGNEE|INITIATOR|APPLICANT|AUTHORIZED(?:\s+\w+)?)\s*:|SIGNATURE\s*:)\s*([A-Za-z]+(?:\s+[A-Za-z]+){0,2})(\s+DATE\s*:|$)"
+_SIGN = SIGNATURE_LABEL.replace("(?iU)", "(?i)").replace("(?=", "(")
 add("step13_signature_text", f"SELECT {K}, CASE WHEN {_has} THEN {sub('content', _SIGN, chr(92) + '1 (signature)' + chr(92) + '3')} ELSE content END AS content FROM elements")
 _one = f"type = 'text' AND len({words('content')}) = 1 AND NOT {has('regexp_replace(' + strip('content') + ', ' + chr(39) + '[.,]+$' + chr(39) + ', ' + chr(39) * 2 + ')', '^' + chr(92) + 'd{1,2}[-/][A-Za-z]{3,9}[-/]' + chr(92) + 'd{2,4}$|^' + chr(92) + 'd{1,2}[-/]' + chr(92) + 'd{1,2}[-/]' + chr(92) + 'd{2,4}$')}"
 add("step14_signature_garbage", f"SELECT {K}, type FROM elements e WHERE NOT coalesce({_one}, FALSE) OR NOT EXISTS (SELECT 1 FROM elements s WHERE lower(s.type) = 'signature' AND s.doc_id = e.doc_id AND s.page_no = e.page_no AND {overlap('e.', 's.', 'least')} > 0.5)")
@@ -283,7 +288,7 @@ add(
     True,
 )
 
-_P = [r"\((\d{3})\)\s*(\d{3})[- ]?(\d{4})", r"(\d{3})-(\d{3})-(\d{4})", r"(\d{3})/(\d{3})-(\d{4})", r"(\d{3})\s+(\d{3})\s+(\d{4})", r"(\d{3})[\s\-/.](\d{3})[\s\-.]?(\d{4})"]
+_P = [rf"\({_A}\)\s*{_A}[- ]?{_B}", f"{_A}-{_A}-{_B}", f"{_A}/{_A}-{_B}", rf"{_A}\s+{_A}\s+{_B}", rf"{_A}[-\s/.]{_A}[-\s.]?{_B}"]
 
 
 def phones(x: str) -> str:
@@ -315,7 +320,7 @@ def dates(x: str) -> str:
     parts = lambda p: f"list_transform(regexp_extract_all({x}, '{p}'), lambda r: {{'raw': regexp_extract(r, '\\d{{1,2}}[/-]\\d{{1,2}}[/-]\\d+'), 'mo': regexp_extract(r, '^(\\d+)', 1)::INT, 'da': regexp_extract(r, '^\\d+[/-](\\d+)', 1)::INT}})"
     four = f"list_transform({parts(chr(92) + 'd{1,2}[/-]' + chr(92) + 'd{1,2}[/-]' + chr(92) + 'd{4}')}, lambda m: {made('m', 'MM/DD/YYYY')})"
     two = f"list_transform({parts(chr(92) + 'd{1,2}[/-]' + chr(92) + 'd{1,2}[/-]' + chr(92) + 'd{2}(?:[^0-9]|$)')}, lambda m: {made('m', 'MM/DD/YY')})"
-    months = f"list_transform(regexp_extract_all({x}, '(?i)(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\\.?\\s+\\d{{1,2}},?\\s+\\d{{4}}'), lambda r: r || ';Month DD, YYYY;true;')"
+    months = f"list_transform(regexp_extract_all({x}, '(?i)({MONTHS})[a-z]*\\.?\\s+\\d{{1,2}},?\\s+\\d{{4}}'), lambda r: r || ';Month DD, YYYY;true;')"
     return f"list_concat(list_concat({four}, {two}), {months})"
 
 
@@ -323,7 +328,7 @@ add(
     "step18_validation",
     f"SELECT {K}, CASE WHEN gate AND len(p) > 0 THEN CASE WHEN len(list_filter(p, lambda m: replace(replace(replace(replace(replace(m, '(', ''), ') ', ''), '-', ''), m[2], ''), ' ', '') = '')) > 0 THEN 'invalid' ELSE 'valid' END END AS phone_status, CASE WHEN gate AND len(p) > 0 THEN array_to_string(p, '|') END AS phones, "
     f"CASE WHEN dgate AND len(d) > 0 THEN CASE WHEN len(list_filter(d, lambda m: contains(m, ';false;'))) > 0 THEN 'suspicious' ELSE 'valid' END END AS date_status, CASE WHEN dgate AND len(d) > 0 THEN array_to_string(d, '|') END AS dates FROM (SELECT *, {phones('content')} AS p, {dates('content')} AS d, "
-    f"({has('content', '(?i)phone|fax|tel|call')} OR {has('content', chr(92) + '(' + chr(92) + 'd{3}' + chr(92) + ')')}) AND {has('content', chr(92) + 'd{3}')} AS gate, {has('content', chr(92) + 'd+[/-]')} OR {has('content', '(?i)(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)')} AS dgate FROM texts) q",
+    f"({has('content', '(?i)phone|fax|tel|call')} OR {has('content', chr(92) + '(' + chr(92) + 'd{3}' + chr(92) + ')')}) AND {has('content', chr(92) + 'd{3}')} AS gate, {has('content', chr(92) + 'd+[/-]')} OR {has('content', '(?i)(' + MONTHS + ')')} AS dgate FROM texts) q",
 )
 
 _allowed = ", ".join(f"'{p}', '{p[::-1]}'" for p in CONFUSED)
@@ -394,7 +399,7 @@ WITH f AS (SELECT o_orderkey AS k, o_orderkey * 7 % 11 / 11.0::DOUBLE AS stroke,
  s AS (SELECT k, CASE WHEN k % 97 = 0 THEN NULL ELSE greatest(0.0, least(1.0, CASE WHEN edge < 0.02 AND form > 0.15 AND NOT ruled AND total < 0.65 THEN 0.65 ELSE total END)) END AS sc FROM t)
 SELECT k AS o_orderkey, round(sc, 6) AS typed_score, CASE WHEN sc IS NULL THEN 'mixed' WHEN sc >= 0.65 THEN 'typed' WHEN sc <= 0.45 THEN 'handwritten' ELSE 'mixed' END AS document_type,
  round(CASE WHEN sc IS NULL THEN 0.3 WHEN sc >= 0.65 THEN least(sc, 0.95) WHEN sc <= 0.45 THEN least(1.0 - sc, 0.95) ELSE 0.5 END, 6) AS confidence FROM s"""
-_punct = ".,;:!?''\"-()[]{}/<>@#$%^&*_+=|\\~`"
+_punct = PUNCTUATION.replace("'", "''")
 _chars = lambda x, flex: f"translate(replace(lower({x}), ' ', ''), '{_punct}', '')" if flex else f"replace(lower({x}), ' ', '')"
 _cer = lambda flex: f"round(CASE WHEN length({_chars('truth', flex)}) = 0 THEN 0.0 ELSE levenshtein({_chars('truth', flex)}, {_chars('heard', flex)})::DOUBLE / length({_chars('truth', flex)}) END, 9)"
 ORACLES["e_character_metrics"] = rf"""

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-EXTENSIONS = ("png", "jpg", "jpeg", "tif", "tiff", "bmp", "gif", "webp", "heic", "avif", "pdf")
+EXTENSIONS = tuple("avif bmp gif heic jpeg jpg pdf png tif tiff webp".split())
 
 RAW_ELEMENT = "type:string,content:string,bbox:array<string>,confidence:string,source_model:string,description:string"
 RAW_PAGE = f"page_number:bigint,document_type:string,classification_confidence:double,language:string,elements:array<struct<{RAW_ELEMENT}>>"

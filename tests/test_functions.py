@@ -1,7 +1,5 @@
 """Literal cases of the scalar functions, one row each."""
 
-import json
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,4 +148,3 @@ def test_display_and_language(spark):
     assert one(spark, display.colour(F.lit("Text"), F.lit("trocr"), F.lit(None).cast("double"))) == "#ff8c00"
     assert one(spark, display.label(F.lit("x" * 40), F.lit("trocr"), F.lit(0.5), F.lit(0.25))).endswith("[TrOCR | 0.50 | H:0.25]")
     assert rows(spark, [("Das ist der Hund und die Katze ist nicht da",), ("court",)], language.detected) == ["de", "en"]
-    assert json.dumps(display.COLOURS["text"]) == "[30, 144, 255]"
