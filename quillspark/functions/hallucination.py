@@ -13,13 +13,13 @@ from quillspark.functions.geometry import Box
 NUMERIC_CELL = "(?U)^[\\d.,]+%?$"
 VALID = (
     "^[a-zA-Z0-9]\\)$",
-    "^[#@&*]+[.:;,]?$",
+    "^[&*@#]+[.,:;]?$",
     "(?U)^\\.\\d+$",
     "^[A-Z]{2,}$",
     "^[A-Z][a-z]+$",
     "(?U)^[A-Z][a-z]*\\.?\\s*$",
     "(?i)^[A-Za-z]{2,}$",
-    "(?i)^[A-Za-z]+[.,;:!?]?$",
+    "(?i)^[A-Z]+[!?.,:;]?$",
     "(?U)^\\d{1,2}[/\\-.]\\d{1,2}[/\\-.]\\d{2,4}$",
     "(?U)^\\d+[.,]?\\d*$",
     "(?U)^[$\u00a3\u20ac]\\d+[.,]?\\d*$",

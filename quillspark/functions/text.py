@@ -90,7 +90,7 @@ DECIMAL_NUMBER = "(?U)\\b\\d+\\.\\d+\\b"
 DATE_LIKE = "\\d{1,2}[/-]\\d{1,2}[/-]\\d{2,4}"
 PHONE_LIKE = "\\(?\\d{3}\\)?[-.\\s]\\d{3}[-.\\s]\\d{4}"
 STANDALONE_DASH = "(?:^|(?<=\\s))-(\\d{2,4})(?=\\s|$|[,;:!?)\\]])"
-LABEL_DASH = "([A-Z]{2,})-(\\d{2,4})(?!\\d)(?![-/a-zA-Z])"
+LABEL_DASH = "([A-Z]{2,})-(\\d{2,4})(?![\\d/a-zA-Z-])"
 
 
 def decimal_dash(c: Column) -> tuple[Column, Column]:
@@ -108,7 +108,7 @@ def occurrences(c: Column, what: str) -> Column:
 
 def dropped_parenthesis(c: Column) -> Column:
     """An optional plural's lost opening parenthesis comes back where closings outnumber openings."""
-    fixed = F.regexp_replace(c, "(?U)\\b([A-Za-z]{2,}?)([Ee][Ss]|[Ss])\\)", "$1($2)")
+    fixed = F.regexp_replace(c, "(?U)\\b([a-zA-Z]{2,}?)([Ee][Ss]|[Ss])\\)", "$1($2)")
     return F.when(occurrences(c, ")") > occurrences(c, "("), fixed).otherwise(c)
 
 
@@ -135,8 +135,8 @@ def transfer_case(shape: Column, text: Column) -> Column:
 
 
 SIGNATURE_LABEL = (
-    "(?iU)((?:RECEIVED|SIGNED)\\s+BY\\s*:|SIGNATURE\\s+OF\\s+[\\w\\s]*?(?:CONSIGNEE|INITIATOR|APPLICANT|AUTHORIZED(?:\\s+\\w+)?)\\s*:|SIGNATURE\\s*:)"
-    "\\s*([A-Za-z]+(?:\\s+[A-Za-z]+){0,2})(?=\\s+DATE\\s*:|$)"
+    "(?iU)((?:RECEIVED|SIGNED)\\s+BY\\s*:|SIGNATURE\\s+OF\\s+[\\w\\s]*?(?:APPLICANT|CONSIGNEE|INITIATOR|AUTHORIZED(?:\\s+\\w+)?)\\s*:|SIGNATURE\\s*:)"
+    "\\s*([a-z]+(?:\\s+[a-z]+){0,2})(?=\\s+DATE\\s*:|$)"
 )
 
 

@@ -11,7 +11,7 @@ from quillspark.functions import geometry as g
 from quillspark.functions import text as tx
 from quillspark.schema import BOX, PAGE, page_window
 
-GARBAGE_DATE = "^\\d{1,2}[-/][A-Za-z]{3,9}[-/]\\d{2,4}$|^\\d{1,2}[-/]\\d{1,2}[-/]\\d{2,4}$"
+GARBAGE_DATE = "^\\d{1,2}[-/]\\p{Alpha}{3,9}[-/]\\d{2,4}$|^\\d{1,2}[-/]\\d{1,2}[-/]\\d{2,4}$"
 
 
 def boxes_on_page(which: Column) -> Column:

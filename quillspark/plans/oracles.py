@@ -57,7 +57,7 @@ def period(x: str) -> str:
 
 def parenthesis(x: str) -> str:
     more = f"length({x}) - length(replace({x}, ')', '')) > length({x}) - length(replace({x}, '(', ''))"
-    return f"CASE WHEN {more} THEN {sub(x, chr(92) + 'b([A-Za-z]{2,}?)([Ee][Ss]|[Ss])' + chr(92) + ')', chr(92) + '1(' + chr(92) + '2)')} ELSE {x} END"
+    return f"CASE WHEN {more} THEN {sub(x, chr(92) + 'b([a-zA-Z]{2,}?)([Ee][Ss]|[Ss])' + chr(92) + ')', chr(92) + '1(' + chr(92) + '2)')} ELSE {x} END"
 
 
 def shown(x: str) -> str:
@@ -72,7 +72,7 @@ for _p, _r in (
     (r"\s+([.,;:!?])", r"\1"),
     (r"([(\[{])\s+", r"\1"),
     (r"\s+([)\]}])", r"\1"),
-    (r"([.,;:!?])\s+([.,;:!?])", r"\1\2"),
+    (r"([!?.,;:])\s+([!?.,;:])", r"\1\2"),
     (rf"({W})\s+-\s+({W})", r"\1-\2"),
     (rf"({W})\s+''\s*({W})", r"\1''\2"),
     (rf"({W})\s+''", r"\1''"),
@@ -154,7 +154,7 @@ add("i2_padded_boxes", f"SELECT {K}, greatest(0.0, x1 - 12) AS x1, greatest(0.0,
 _A, _B = r"(\d{3})", r"(\d{4})"
 _D = r"\d{1,2}"
 _VALID = (
-    "^[a-zA-Z0-9][)]$", "^[#@&*]+[.:;,]?$", r"^\.\d+$", "^[A-Z]{2,}$", "^[A-Z][a-z]+$", r"^[A-Z][a-z]*\.?\s*$", "(?i)^[A-Z]{2,}$", "(?i)^[A-Z]+[.,;:!?]?$",
+    "^[a-zA-Z0-9][)]$", "^[&*@#]+[.,:;]?$", r"^\.\d+$", "^[A-Z]{2,}$", "^[A-Z][a-z]+$", r"^[A-Z][a-z]*[.]?\s*$", "(?i)^[A-Z]{2,}$", "(?i)^[A-Z]+[.,;:!?]?$",
     rf"^{_D}[-/.]{_D}[-/.]\d{{2,4}}$", r"^\d+[.,]?\d*$", "^[$\u00a3\u20ac]\\d+[.,]?\\d*$", rf"^\({_A}\)\s*{_A}[-\s]?{_B}$", r"(?i)^[\w.%+-]+@[a-z0-9.-]+\.[a-z]{2,}$", "(?i)^https?://", r"(?i)^www\.",
 )
 
@@ -245,7 +245,7 @@ add("step10_decimal_dashes", f"SELECT {K}, CASE WHEN gate AND {_has} THEN {_f} E
 add("step11_parentheses", f"SELECT {K}, CASE WHEN {_has} THEN {parenthesis('content')} ELSE content END AS content FROM elements")
 _SIGN = SIGNATURE_LABEL.replace("(?iU)", "(?i)").replace("(?=", "(")
 add("step13_signature_text", f"SELECT {K}, CASE WHEN {_has} THEN {sub('content', _SIGN, chr(92) + '1 (signature)' + chr(92) + '3')} ELSE content END AS content FROM elements")
-_one = f"type = 'text' AND len({words('content')}) = 1 AND NOT {has('regexp_replace(' + strip('content') + ', ' + chr(39) + '[.,]+$' + chr(39) + ', ' + chr(39) * 2 + ')', '^' + chr(92) + 'd{1,2}[-/][A-Za-z]{3,9}[-/]' + chr(92) + 'd{2,4}$|^' + chr(92) + 'd{1,2}[-/]' + chr(92) + 'd{1,2}[-/]' + chr(92) + 'd{2,4}$')}"
+_one = f"type = 'text' AND len({words('content')}) = 1 AND NOT {has('regexp_replace(' + strip('content') + ', ' + chr(39) + '[.,]+$' + chr(39) + ', ' + chr(39) * 2 + ')', '^' + chr(92) + 'd{1,2}[-/][[:alpha:]]{3,9}[-/]' + chr(92) + 'd{2,4}$|^' + chr(92) + 'd{1,2}[-/]' + chr(92) + 'd{1,2}[-/]' + chr(92) + 'd{2,4}$')}"
 add("step14_signature_garbage", f"SELECT {K}, type FROM elements e WHERE NOT coalesce({_one}, FALSE) OR NOT EXISTS (SELECT 1 FROM elements s WHERE lower(s.type) = 'signature' AND s.doc_id = e.doc_id AND s.page_no = e.page_no AND {overlap('e.', 's.', 'least')} > 0.5)")
 _t, _n = deduplicated("content")
 add("step15_duplicate_words", f"SELECT {K}, CASE WHEN {_has} AND source_model = 'trocr' THEN {_t} ELSE content END AS content, CASE WHEN {_has} AND source_model = 'trocr' AND {_n} > 0 THEN {_n}::INT END AS duplicate_words_removed FROM elements")
@@ -294,7 +294,7 @@ _P = [rf"\({_A}\)\s*{_A}[- ]?{_B}", f"{_A}-{_A}-{_B}", f"{_A}/{_A}-{_B}", rf"{_A
 def phones(x: str) -> str:
     """Numbers of a text, false positives masked first; ten digits in a row are found as whole runs."""
     masked = x
-    for p in (r"\d{5}-\d{4}", r"\d{1,2}/\d{1,2}/\d{2,4}", r"\d{4}/\d{2}/\d{2}"):
+    for p in (r"\d{5}-\d{4}", rf"{_D}/{_D}/\d{{2,4}}", r"[0-9]{4}/[0-9]{2}/[0-9]{2}"):
         masked = sub(masked, p, "#")
     lists = [f"list_transform(regexp_extract_all({masked}, '{p}'), lambda m: regexp_replace(m, '^{p}$', '(\\1) \\2-\\3'))" for p in _P]
     runs = f"list_transform(list_filter(regexp_extract_all({masked}, '\\d+'), lambda m: length(m) = 10), lambda m: '(' || m[1:3] || ') ' || m[4:6] || '-' || m[7:10])"
@@ -304,7 +304,7 @@ def phones(x: str) -> str:
 
 def zip_or_date(x: str) -> str:
     s = strip(x)
-    return "(" + " OR ".join(has(s, p) for p in (r"^\d{5}(-\d{4})?$", r"^\d{1,2}[/-]\d{1,2}[/-]\d{2,4}$", r"^\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\s+\d{1,2}:\d{2}", r"[A-Za-z]+,?\s+[A-Za-z]{2}\s+\d{5}(-\d{4})?$")) + ")"
+    return "(" + " OR ".join(has(s, p) for p in (r"^[0-9]{5}(-[0-9]{4})?$", rf"^{_D}[-/]{_D}[-/]\d{{2,4}}$", rf"^{_D}[-/]{_D}[-/]\d{{2,4}}\s+{_D}:[0-9]{{2}}", r"[a-zA-Z]+,?\s+[a-zA-Z]{2}\s+[0-9]{5}(-[0-9]{4})?$")) + ")"
 
 
 _kind = r"CASE WHEN regexp_matches(content, '(?i)\b(FAX|FACSIMILE|TELECOPY)\b') THEN 'fax' WHEN regexp_matches(content, '(?i)\b(PHONE|TELEPHONE|TEL|CALL)\b') THEN 'phone' ELSE '' END"
@@ -358,7 +358,7 @@ both_kinds AS (SELECT doc_id, page_no, 0 AS o, elem_idx AS i, 'signature' AS typ
 add("r2_handwritten_regions", "SELECT doc_id, page_no, (row_number() OVER (PARTITION BY doc_id, page_no ORDER BY o, i) - 1)::INT AS region_idx, type, x1, y1, x2, y2 FROM both_kinds", _REGIONS, True)
 
 _re2_spaced = "lower(text)"
-for _p, _r in ((r"\s+([.,;:!?])", r"\1"), (r"([(\[{])\s+", r"\1"), (r"\s+([)\]}])", r"\1"), (r"([.,;:!?])\s+([.,;:!?])", r"\1\2"), (r"(\w)\s+-\s+(\w)", r"\1-\2"), (r"(\w)\s+''\s*(\w)", r"\1''\2"), (r"(\w)\s+''", r"\1''"), (r"''\s+(\w)", r"''\1"), (" {2,}", " ")):
+for _p, _r in ((r"\s+([.,;:!?])", r"\1"), (r"([(\[{])\s+", r"\1"), (r"\s+([)\]}])", r"\1"), (r"([!?.,;:])\s+([!?.,;:])", r"\1\2"), (r"(\w)\s+-\s+(\w)", r"\1-\2"), (r"(\w)\s+''\s*(\w)", r"\1''\2"), (r"(\w)\s+''", r"\1''"), (r"''\s+(\w)", r"''\1"), (" {2,}", " ")):
     _re2_spaced = sub(_re2_spaced, _p, _r)
 add(
     "r_route_lines",

@@ -40,7 +40,7 @@ def _joined(c: Column) -> Column:
     return F.array_join(c, "|")
 
 
-# --- scalar text -------------------------------------------------------------
+# --- scalar text
 
 
 @query
@@ -85,7 +85,7 @@ def n10_case_transfer(spark, d):
     return ascii_only.select(*KEY, tx.transfer_case(F.col("content"), read).alias("cased"))
 
 
-# --- geometry ----------------------------------------------------------------
+# --- geometry
 
 
 @query
@@ -124,7 +124,7 @@ def i2_padded_boxes(spark, d):
     return _texts(spark, d).select(*KEY, *[c.alias(n) for c, n in zip(p, ("x1", "y1", "x2", "y2"))])
 
 
-# --- hallucination scoring -----------------------------------------------------
+# --- hallucination scoring
 
 
 @query
@@ -148,7 +148,7 @@ def h2_numeric_columns(spark, d):
     return scoring.numeric_columns(elements(spark, d)).where("in_numeric_column").select(*KEY)
 
 
-# --- the steps -----------------------------------------------------------------
+# --- the steps
 
 
 @query
@@ -311,7 +311,7 @@ def step18_validation(spark, d):
     return v.select(*KEY, F.col("phone_validation.status").alias("phone_status"), _joined(numbers).alias("phones"), F.col("date_validation.status").alias("date_status"), _joined(shown).alias("dates"))
 
 
-# --- layout and routing ---------------------------------------------------------
+# --- layout and routing
 
 
 @query
@@ -383,7 +383,7 @@ def i9_structure_parts(spark, d):
     return s.select(*PAGE, shown("rows", "y1"), shown("columns", "x1"), shown("headers", "y1"), shown("cells", "y1"))
 
 
-# --- classification -------------------------------------------------------------
+# --- classification
 
 
 @query
@@ -409,7 +409,7 @@ def c_page_class(spark, d):
     return r.select("o_orderkey", F.round("s", 6).alias("typed_score"), "c.document_type", F.round("c.confidence", 6).alias("confidence"))
 
 
-# --- evaluation -----------------------------------------------------------------
+# --- evaluation
 
 
 def _pairs(spark, d) -> DataFrame:
@@ -483,7 +483,7 @@ def v_display(spark, d):
     return shown.groupBy("doc_id", "kind", "colour").agg(F.count("*").alias("n"))
 
 
-# --- whole plans ------------------------------------------------------------------
+# --- whole plans
 
 
 @query

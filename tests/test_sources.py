@@ -49,21 +49,13 @@ def test_folder_listing_images_and_adapters(spark, tmp_path):
     assert lines.count() == 2 and lines.first().text == "x"
 
 
-OUTPUT = {
-    "filename": "a.png",
-    "pages": [
-        {
-            "page_number": 1,
-            "document_type": "typed",
-            "classification_confidence": 0.9,
-            "elements": [
-                {"type": "text", "content": "Name:     ", "bbox": [10, 10, 300, 30], "confidence": 0.9, "source_model": "surya"},
-                {"type": "text", "content": "The quick  brown fox jumps", "bbox": [10, 40, 300, 60], "confidence": 7, "source_model": "surya"},
-                {"type": "logo", "bbox": ["x", 1, 2, 3], "confidence": "high"},
-            ],
-        }
-    ],
-}
+def line(content, y, confidence):
+    return dict(content=content, type="text", bbox=[10, y, 300, y + 20], confidence=confidence, source_model="surya")
+
+
+MARK = dict(bbox=["x", 1, 2, 3], confidence="high", type="logo")
+PAGE = dict(document_type="typed", page_number=1, classification_confidence=0.9, elements=[line("Name:     ", 10, 0.9), line("The quick  brown fox jumps", 40, 7), MARK])
+OUTPUT = dict(pages=[PAGE], filename="a.png")
 
 
 def test_json_in_and_out(spark, tmp_path):
