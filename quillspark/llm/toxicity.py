@@ -51,7 +51,7 @@ class ToxicityParams:
     stride: int = 52
     level: int = 3
     head_bytes: int = 8192
-    pairs: tuple[DictionaryPair, ...] = (DictionaryPair(), DictionaryPair(strategy=6, toxic_last=True), DictionaryPair(trained=False, body_bytes=16_384, min_match=6, strategy=2, toxic_last=True))
+    pairs: tuple[DictionaryPair, ...] = (DictionaryPair(), DictionaryPair(strategy=5, toxic_last=True), DictionaryPair(trained=False, body_bytes=16_384, min_match=6, strategy=2, toxic_last=True))
     gram: int = 6
     max_docs: int = 3000
     max_doc_bytes: int = 20_000
