@@ -6,9 +6,9 @@ and ships them as packed runs by hash range, so the exchange costs about nine
 bytes a distinct n-gram and task; each range is merged by streaming its runs.
 
 The filter is one of segments, a segment a hash range.  An n-gram of count c is
-held at the levels 1 to 1 + floor(log2 c) for words and 1 to floor(log2 c) for
-bigrams (a bigram seen once is not held): level j is a set of bits chosen by
-hashes of the n-gram and j.  A count is read back by probing level after level
+held at the levels 1 to 1 + floor(log2 c): level j is a set of bits chosen by
+hashes of the n-gram and j.  Without `singles` bigrams are held at the levels 1
+to floor(log2 c), so that one seen once is not held.  A count is read back by probing level after level
 until one is missing.  Bigram and word estimates are interpolated.
 
 The filter and the exact word counts are broadcast only while they are within
@@ -47,6 +47,7 @@ class LmParams:
     held_tokens: int = 1_500_000
     max_vocab_bytes: int = 128 << 20
     max_filter_bytes: int = 128 << 20
+    singles: bool = False
 
 
 def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,7 +126,7 @@ def count(training: DataFrame, params: LmParams = LmParams()) -> tuple[Table, in
         for (r, kind), parts in sorted(runs.items()):
             k, c = _added(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]))
             total, n = int(c.sum()), len(k)
-            if kind == PAIR:
+            if kind == PAIR and not params.singles:
                 k, c = k[c > 1], c[c > 1]
             yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([kind], pa.int32()), pa.array([k.tobytes()], pa.binary()), pa.array([c.astype(np.int64).tobytes()], pa.binary()), pa.array([n], pa.int64()), pa.array([total], pa.int64())], names=["range", "kind", "keys", "counts", "n", "total"])
 
@@ -134,14 +135,14 @@ def count(training: DataFrame, params: LmParams = LmParams()) -> tuple[Table, in
     return Table(packed.mapInArrow(merge, "range int, kind int, keys binary, counts binary, n long, total long"), "ngrams"), ranges
 
 
-def levels_of(counts: np.ndarray, kind: int) -> np.ndarray:
-    """The quantised count: 1 + floor(log2 c) for words, floor(log2 c) for bigrams."""
-    return np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64) + (1 if kind == WORD else 0)
+def levels_of(counts: np.ndarray, kind: int, singles: bool = False) -> np.ndarray:
+    """The quantised count: 1 + floor(log2 c), or floor(log2 c) for bigrams without singles."""
+    return np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64) + (1 if kind == WORD or singles else 0)
 
 
-def estimate(level: np.ndarray, kind: int) -> np.ndarray:
+def estimate(level: np.ndarray, kind: int, singles: bool = False) -> np.ndarray:
     """The middle of the counts of a level; 0 of level 0."""
-    low = 2.0 ** (level - (1 if kind == WORD else 0))
+    low = 2.0 ** (level - (1 if kind == WORD or singles else 0))
     return np.where(level > 0, 1.5 * low - 0.5, 0.0)
 
 
@@ -177,7 +178,7 @@ class Filter:
 
 def segment(parts: list[tuple[int, np.ndarray, np.ndarray]], params: LmParams) -> tuple[np.ndarray, int]:
     """(bits, size) of one range, from (kind, keys, counts)."""
-    levels = [(kind, k, levels_of(c, kind)) for kind, k, c in parts]
+    levels = [(kind, k, levels_of(c, kind, params.singles)) for kind, k, c in parts]
     items = sum(int(v.sum()) for _, _, v in levels)
     size = max(64, -(-int(items * params.bits_per_item) // 64) * 64) if items else 0
     flags = np.zeros(size, np.uint8)
@@ -242,7 +243,7 @@ def score_run(raw: np.ndarray, offsets: np.ndarray, m: LmModel) -> tuple[np.ndar
     word = held[inverse]
     ends = held[np.searchsorted(key, END)]
     context = np.concatenate([[ends], word[:-1]])
-    pair = estimate(m.filter.level(p, PAIR), PAIR)
+    pair = estimate(m.filter.level(p, PAIR), PAIR, m.params.singles)
     value = _log10(pair, context, word, m.total, m.distinct, m.params)
     return np.diff(first), sum_ranges((c > 0).astype(np.int64)[inverse], first), sum_ranges(base[inverse], first), sum_ranges(value, first)
 
@@ -287,7 +288,7 @@ def _joined(slim: DataFrame, counts: DataFrame, total: int, distinct: int, param
                 key, n = np.frombuffer(k.as_py(), np.int64), np.frombuffer(c.as_py(), np.int64)
                 for i in range(0, len(key), 65_536):
                     part = n[i : i + 65_536]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(key[i : i + 65_536]), pa.array(part), pa.array(estimate(levels_of(part, kind), kind))], names=["kind", "key", "c", "held"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(key[i : i + 65_536]), pa.array(part), pa.array(estimate(levels_of(part, kind, params.singles), kind, params.singles))], names=["kind", "key", "c", "held"])
 
     known = counts.select("kind", "keys", "counts").mapInArrow(unpack, "kind int, key long, c long, held double")
     words = known.where(F.col("kind") == WORD).select("key", "c", "held")
