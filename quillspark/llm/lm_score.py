@@ -12,8 +12,10 @@ to floor(log2 c), so that one seen once is not held.  A count is read back by pr
 until one is missing.  Bigram and word estimates are interpolated.
 
 The filter and the exact word counts are broadcast only while they are within
-`max_filter_bytes` and `max_vocab_bytes`; beyond, the tokens are joined with the
-same counts by a shuffle on their hashes, which needs no bound.
+`max_filter_bytes` and `max_vocab_bytes`.  Beyond, with `segmented`, the hashes
+of each run of texts are sent to the segments of their ranges, probed there and
+sent back: the same bits and hashes, so equal scores at every size.  Without it
+the tokens are joined with the counts themselves, which has no false positives.
 
 Defined results: a null text is an empty one (one token, the end); long texts
 are scored whole; repeated rows get equal scores; without training texts every
@@ -22,6 +24,7 @@ count is 0; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,6 +51,7 @@ class LmParams:
     max_vocab_bytes: int = 128 << 20
     max_filter_bytes: int = 128 << 20
     singles: bool = False
+    segmented: bool = False
 
 
 def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,8 +85,19 @@ def _added(keys: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.
     return keys[head], np.add.reduceat(counts, head) if len(head) else counts
 
 
+def by_range(k: np.ndarray, ranges: int, *values: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+    """The ranges that ascending keys k fall into, and of each range the bytes of its keys and values."""
+    cuts = np.searchsorted(range_of(k, ranges), np.arange(ranges + 1))
+    some = np.flatnonzero(np.diff(cuts))
+    ends = np.append(cuts[some], cuts[-1])
+    return some, [pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(some), [None, pa.py_buffer(ends * a.itemsize), pa.py_buffer(a)]).cast(pa.binary()) for a in (k, *values)]
+
+
+SEGMENT = "range int, bits binary, size long, keys binary, counts binary, n long, total long"
+
+
 def count(training: DataFrame, params: LmParams = LmParams()) -> tuple[Table, int]:
-    """The counts over all training texts as packed rows (range, kind, keys, counts, n, total), one a range and kind; and the number of ranges."""
+    """The counts over all training texts as packed rows (range, kind, keys, counts, n, total), one a range and kind, or if segmented as rows of SEGMENT (with the words' keys and counts), one a range; and the number of ranges."""
     spark = training.sparkSession
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes(training) // params.range_bytes))
 
@@ -95,10 +110,8 @@ def count(training: DataFrame, params: LmParams = LmParams()) -> tuple[Table, in
                 if not parts:
                     continue
                 k, c = _added(np.concatenate(parts), None)
-                cuts = np.searchsorted(range_of(k, ranges), np.arange(ranges + 1))
-                some = np.flatnonzero(np.diff(cuts))
-                binary = lambda a, w: pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(some), [None, pa.py_buffer(np.append(cuts[some], cuts[-1]) * w), pa.py_buffer(a)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), kind, np.int32)), binary(k, 8), binary(c, 4)], names=["range", "kind", "keys", "counts"])
+                some, packed = by_range(k, ranges, c)
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), kind, np.int32)), *packed], names=["range", "kind", "keys", "counts"])
 
         for batch in batches:
             data, offsets = buffers(batch.column(0))
@@ -130,8 +143,21 @@ def count(training: DataFrame, params: LmParams = LmParams()) -> tuple[Table, in
                 k, c = k[c > 1], c[c > 1]
             yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([kind], pa.int32()), pa.array([k.tobytes()], pa.binary()), pa.array([c.astype(np.int64).tobytes()], pa.binary()), pa.array([n], pa.int64()), pa.array([total], pa.int64())], names=["range", "kind", "keys", "counts", "n", "total"])
 
+    def seal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r, group in itertools.groupby(merge(batches), key=lambda b: b.column(0)[0].as_py()):
+            parts, words = [], (b"", b"", 0, 0)
+            for b in group:
+                kind, *row = (c[0].as_py() for c in b.columns[1:])
+                parts.append((kind, np.frombuffer(row[0], U64), np.frombuffer(row[1], np.int64)))
+                if kind == WORD:
+                    words = tuple(row)
+            bits, size = segment(parts, params)
+            yield pa.RecordBatch.from_pylist([dict(zip((c.split()[0] for c in SEGMENT.split(", ")), (r, bits.tobytes(), size, *words)))], schema=pa.schema([("range", pa.int32()), ("bits", pa.binary()), ("size", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("n", pa.int64()), ("total", pa.int64())]))
+
     packed = training.select(F.col("text").cast("string")).mapInArrow(run, "range int, kind int, keys binary, counts binary")
     packed = packed.repartitionById(min(ranges, 50_000), F.col("range") % F.lit(min(ranges, 50_000)))
+    if params.segmented:
+        return Table(packed.mapInArrow(seal, SEGMENT), "segments"), ranges
     return Table(packed.mapInArrow(merge, "range int, kind int, keys binary, counts binary, n long, total long"), "ngrams"), ranges
 
 
@@ -233,18 +259,22 @@ class LmModel:
 def score_run(raw: np.ndarray, offsets: np.ndarray, m: LmModel) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(n_tokens, n_known, base_score, score) of a run of texts."""
     t, p, first = tokens(raw, offsets)
-    a = m.params.smoothing
     key, inverse = np.unique(t, return_inverse=True)
     at = np.searchsorted(m.keys, key)
     at[at == len(m.keys)] = 0
     c = np.where(m.keys[at] == key, m.counts[at], 0) if len(m.keys) else np.zeros(len(key), np.int64)
-    base = np.log10((c + a) / (m.total + a * (m.distinct + 1)))
-    held = estimate(m.filter.level(key, WORD), WORD)
+    return scored(first, key, inverse, c, m.filter.level(key, WORD), m.filter.level(p, PAIR), m.total, m.distinct, m.params)
+
+
+def scored(first: np.ndarray, key: np.ndarray, inverse: np.ndarray, c: np.ndarray, level: np.ndarray, pair_level: np.ndarray, total: int, distinct: int, params: LmParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same from the distinct tokens' counts and levels and the levels of all bigrams."""
+    a = params.smoothing
+    base = np.log10((c + a) / (total + a * (distinct + 1)))
+    held = estimate(level, WORD)
     word = held[inverse]
     ends = held[np.searchsorted(key, END)]
     context = np.concatenate([[ends], word[:-1]])
-    pair = estimate(m.filter.level(p, PAIR), PAIR, m.params.singles)
-    value = _log10(pair, context, word, m.total, m.distinct, m.params)
+    value = _log10(estimate(pair_level, PAIR, params.singles), context, word, total, distinct, params)
     return np.diff(first), sum_ranges((c > 0).astype(np.int64)[inverse], first), sum_ranges(base[inverse], first), sum_ranges(value, first)
 
 
@@ -253,20 +283,25 @@ RESULT = "doc_id long, n_tokens long, n_known long, train_tokens long, base_scor
 
 def score(docs: DataFrame, trainable: Column, params: LmParams = LmParams()) -> DataFrame:
     """One row a document; the model learns from the rows where trainable holds, over all of them."""
-    spark = docs.sparkSession
     table, ranges = count(docs.where(F.coalesce(trainable, F.lit(True))), params)
     counts = table.df
+    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    if params.segmented:
+        return _by_segments(slim, counts, ranges, params)
     sums = counts.where(F.col("kind") == WORD).agg(F.sum("n"), F.sum("total"), F.sum(F.octet_length("keys"))).first()
     distinct, total = int(sums[0] or 0), int(sums[1] or 0)
     pairs = counts.where(F.col("kind") == PAIR).agg(F.sum(F.octet_length("keys") / 8)).first()[0] or 0
     # Words average about two levels, held bigrams less.
     filter_bytes = (2.5 * distinct + 2 * pairs) * params.bits_per_item / 8
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     if 16 * distinct > params.max_vocab_bytes or filter_bytes > params.max_filter_bytes:
         return _joined(slim, counts, total, distinct, params)
     words = sorted((r["range"], bytes(r["keys"]), bytes(r["counts"])) for r in counts.where(F.col("kind") == WORD).select("range", "keys", "counts").collect())
     model = LmModel(np.frombuffer(b"".join(w[1] for w in words), U64), np.frombuffer(b"".join(w[2] for w in words), np.int64), build_filter(counts, ranges, params), total, distinct, params)
-    shared = spark.sparkContext.broadcast(model)
+    return _broadcast(slim, model)
+
+
+def _broadcast(slim: DataFrame, model: LmModel) -> DataFrame:
+    shared = slim.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -279,6 +314,104 @@ def score(docs: DataFrame, trainable: Column, params: LmParams = LmParams()) ->
     return slim.mapInArrow(run, RESULT)
 
 
+def _by_segments(slim: DataFrame, segments: DataFrame, ranges: int, params: LmParams) -> DataFrame:
+    """Scores by the filter's segments, broadcast where they and the words are within the bounds."""
+    sums = segments.agg(F.sum("n"), F.sum("total"), F.sum(F.octet_length("bits"))).first()
+    distinct, total, bits = (int(x or 0) for x in sums)
+    if 16 * distinct > params.max_vocab_bytes or bits > params.max_filter_bytes:
+        return _probed(slim, segments, ranges, total, distinct, params)
+    sizes, blobs = np.zeros(ranges, np.int64), {}
+    for r in segments.select("range", "bits", "size", "keys", "counts").collect():
+        sizes[r["range"]], blobs[r["range"]] = r["size"], tuple(map(bytes, (r["bits"], r["keys"], r["counts"])))
+    raw, keys, counts = (b"".join(blobs[r][i] for r in sorted(blobs)) for i in range(3))
+    del blobs
+    offsets = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+    held = Filter(np.frombuffer(raw, np.uint8), offsets, sizes, params.hashes)
+    return _broadcast(slim, LmModel(np.frombuffer(keys, U64), np.frombuffer(counts, np.int64), held, total, distinct, params))
+
+
+RUN_BYTES = 8 << 20
+
+
+def _probed(slim: DataFrame, segments: DataFrame, ranges: int, total: int, distinct: int, params: LmParams) -> DataFrame:
+    """The same scores where no process can hold the filter: a run of texts sends its distinct hashes to the ranges, and each range probes its segment for them."""
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray, np.ndarray]]:
+        for batch in batches:
+            data, offsets = buffers(batch.column(1))
+            for lo, hi, raw, offs in chunks(data, offsets, RUN_BYTES):
+                yield batch.column(2)[lo].as_py(), batch.slice(lo, hi - lo), raw, offs
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for n, _, raw, offs in runs(batches):
+            t, p, _ = tokens(raw, offs)
+            for kind, keys in ((WORD, t), (PAIR, p)):
+                some, (packed,) = by_range(np.unique(keys), ranges)
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), n)), pa.array(np.full(len(some), kind, np.int32)), packed], names=["range", "run", "kind", "asked"])
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for n, part, _, _ in runs(batches):
+            one = lambda c: pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c)
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([-1], pa.int32()), pa.array([-1], pa.int32()), one(part.column(0)), one(part.column(1).cast(pa.string()))], names=["run", "kind", "range", "ids", "texts"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, words, counts = -1, None, None, None
+        for batch in batches:
+            for r, n, kind, asked, bits, size, k, c in zip(*(x if x.type == pa.binary() else x.to_pylist() for x in batch.columns)):
+                if n < 0:
+                    sizes = np.zeros(ranges, np.int64)
+                    sizes[r] = size
+                    at, held = r, Filter(np.frombuffer(bits.as_py(), np.uint8), np.zeros(ranges, np.int64), sizes, params.hashes)
+                    words, counts = np.frombuffer(k.as_py(), U64), np.frombuffer(c.as_py(), np.int64)
+                    continue
+                key = np.frombuffer(asked.as_py(), U64)
+                level, exact = np.zeros(len(key), np.int64), np.zeros(len(key) if kind == WORD else 0, np.int64)
+                if at == r:
+                    level = held.level(key, kind)
+                    if kind == WORD and len(words):
+                        i = np.minimum(np.searchsorted(words, key), len(words) - 1)
+                        exact = np.where(words[i] == key, counts[i], 0)
+                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([kind], pa.int32()), pa.array([r], pa.int32()), pa.array([level.astype(np.uint8).tobytes()], pa.binary()), pa.array([exact.tobytes()], pa.binary())], names=["run", "kind", "range", "levels", "exact"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts, got = None, None, {}
+
+        def out() -> pa.RecordBatch:
+            t, p, first = tokens(*buffers(texts))
+            key, inverse = np.unique(t, return_inverse=True)
+            pair, where = np.unique(p, return_inverse=True)
+            level, levels = (np.frombuffer(b"".join(got.get((kind, "levels"), [])), np.uint8).astype(np.int64) for kind in (WORD, PAIR))
+            c = np.frombuffer(b"".join(got.get((WORD, "exact"), [])), np.int64)
+            if (len(level), len(c), len(levels)) != (len(key), len(key), len(pair)):
+                raise RuntimeError("the documents changed between two readings")
+            n, known, base, value = scored(first, key, inverse, c, level, levels[where], total, distinct, params)
+            return pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(known), pa.array(np.full(len(n), total, np.int64)), pa.array(base), pa.array(value)], names=[c.split()[0] for c in RESULT.split(", ")])
+
+        for batch in batches:
+            for i, kind in enumerate(batch.column(1).to_pylist()):
+                if kind < 0:
+                    if ids is not None:
+                        yield out()
+                    ids, texts, got = batch.column(3)[i].values, batch.column(4)[i].values, {}
+                else:
+                    for name, col in (("levels", 5), ("exact", 6)):
+                        got.setdefault((kind, name), []).append(batch.column(col)[i].as_py())
+        if ids is not None:
+            yield out()
+
+    width, null = min(ranges, 50_000), F.lit(None)
+    # A run is named after its first row.
+    rows = slim.withColumn("row", F.monotonically_increasing_id())
+    binary = null.cast("binary")
+    held = segments.select("range", F.lit(-1).cast("long").alias("run"), F.lit(-1).alias("kind"), binary.alias("asked"), "bits", "size", "keys", "counts")
+    asked = rows.mapInArrow(ask, "range int, run long, kind int, asked binary").select("range", "run", "kind", "asked", binary.alias("bits"), null.cast("long").alias("size"), binary.alias("keys"), binary.alias("counts"))
+    answers = held.unionByName(asked).repartitionById(width, F.col("range") % F.lit(width)).sortWithinPartitions("range", "run", "kind").mapInArrow(answer, "run long, kind int, range int, levels binary, exact binary")
+    kept = rows.mapInArrow(keep, "run long, kind int, range int, ids array<long>, texts array<string>").select("*", binary.alias("levels"), binary.alias("exact"))
+    back = answers.select("run", "kind", "range", null.cast("array<long>").alias("ids"), null.cast("array<string>").alias("texts"), "levels", "exact")
+    parts = min(50_000, max(1, -(-text_bytes(slim) // (2 * RUN_BYTES))))
+    return kept.unionByName(back).repartition(parts, "run").sortWithinPartitions("run", "kind", "range").mapInArrow(finish, RESULT)
+
+
 def _joined(slim: DataFrame, counts: DataFrame, total: int, distinct: int, params: LmParams) -> DataFrame:
     """The same scores (without false positives) by shuffle joins of tokens and counts; for models too large to broadcast."""
 

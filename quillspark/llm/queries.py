@@ -46,7 +46,7 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lm_score.score(table(spark, sf_dir, "documents").select("doc_id", "text"), id_fold(10) != 0, lm_score.LmParams(singles=True))
+    found = lm_score.score(table(spark, sf_dir, "documents").select("doc_id", "text"), id_fold(10) != 0, lm_score.LmParams(singles=True, segmented=True))
     return found.select("doc_id", (id_fold(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

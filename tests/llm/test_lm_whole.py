@@ -1,10 +1,13 @@
-"""The registered language-model score: every bigram counts."""
+"""The registered language-model score: every bigram counts, and the filter is probed at every size."""
 
+import dataclasses
 import math
 import zlib
 
 from made_texts import prose
 
+from pyspark.sql import functions as F
+
 from quillspark.llm import lm_score, queries
 
 
@@ -25,3 +28,18 @@ def test_a_bigram_seen_once_raises_the_score(spark, tmp_path):
     assert seen.n_known == unseen.n_known == 4 and math.isclose(seen.base_score, unseen.base_score)
     # All four bigrams of the first text were seen once, of the second none.
     assert seen.score > unseen.score + 2
+
+
+def test_segments_score_as_the_broadcast_filter_does(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "RUN_BYTES", 4000)
+    # Few bits, so that false positives are common and have to be the same ones.
+    params = lm_score.LmParams(singles=True, segmented=True, bits_per_item=3.0, held_tokens=300)
+    rows = [(i, prose(40, i % 23) + f" Only{i} word") for i in range(60)] + [(90, None), (91, ""), (92, "a A a A a"), (None, "no id"), (93, "x y z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+    df.cache()
+    learned = F.coalesce(F.col("doc_id") % 5 != 0, F.lit(True))
+    show = lambda p: sorted((repr(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 9), round(r.score, 9)) for r in lm_score.score(df, learned, p).collect())
+    small = show(params)
+    assert len(small) == len(rows) and small == show(dataclasses.replace(params, max_filter_bytes=0)) == show(dataclasses.replace(params, max_vocab_bytes=0))
+    exact = show(dataclasses.replace(params, segmented=False, max_vocab_bytes=0))
+    assert [r[:5] for r in exact] == [r[:5] for r in small] and exact != small
