@@ -320,14 +320,17 @@ def _by_segments(slim: DataFrame, segments: DataFrame, ranges: int, params: LmPa
     distinct, total, bits = (int(x or 0) for x in sums)
     if 16 * distinct > params.max_vocab_bytes or bits > params.max_filter_bytes:
         return _probed(slim, segments, ranges, total, distinct, params)
-    sizes, blobs = np.zeros(ranges, np.int64), {}
-    for r in segments.select("range", "bits", "size", "keys", "counts").collect():
-        sizes[r["range"]], blobs[r["range"]] = r["size"], tuple(map(bytes, (r["bits"], r["keys"], r["counts"])))
-    raw, keys, counts = (b"".join(blobs[r][i] for r in sorted(blobs)) for i in range(3))
-    del blobs
-    offsets = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    held = Filter(np.frombuffer(raw, np.uint8), offsets, sizes, params.hashes)
-    return _broadcast(slim, LmModel(np.frombuffer(keys, U64), np.frombuffer(counts, np.int64), held, total, distinct, params))
+    sizes, known = np.zeros(ranges, np.int64), np.zeros(ranges, np.int64)
+    for r in segments.select("range", "size", "n").collect():
+        sizes[r["range"]], known[r["range"]] = r["size"], r["n"]
+    offsets, first = (np.concatenate([[0], np.cumsum(x)]) for x in (sizes, known))
+    held, keys, counts = np.zeros(bits, np.uint8), np.zeros(distinct, U64), np.zeros(distinct, np.int64)
+    # A partition at a time and into place, as the driver would hold several copies of the filter else.
+    for r in segments.select("range", "bits", "keys", "counts").toLocalIterator():
+        at = r["range"]
+        held[offsets[at] // 8 : offsets[at + 1] // 8] = np.frombuffer(r["bits"], np.uint8)[: sizes[at] // 8]
+        keys[first[at] : first[at + 1]], counts[first[at] : first[at + 1]] = np.frombuffer(r["keys"], U64), np.frombuffer(r["counts"], np.int64)
+    return _broadcast(slim, LmModel(keys, counts, Filter(held, offsets[:-1], sizes, params.hashes), total, distinct, params))
 
 
 RUN_BYTES = 8 << 20
