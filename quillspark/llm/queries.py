@@ -21,8 +21,9 @@ def id_fold(n: int) -> Column:
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    toxic, ordinary = toxicity.labelled_sample(docs, table(spark, sf_dir, "labels"), id_fold(5) != 0)
-    scored = toxicity.score(docs, toxicity.train(toxic, ordinary))
+    labels, trainable = table(spark, sf_dir, "labels"), id_fold(5) != 0
+    toxic, ordinary = toxicity.labelled_sample(docs, labels, trainable)
+    scored = toxicity.score(docs, toxicity.train(toxic, ordinary, share=toxicity.toxic_share(docs, labels, trainable)))
     return scored.select("doc_id", (id_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "toxic_windows")
 
 

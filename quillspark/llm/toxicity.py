@@ -5,7 +5,8 @@ and one on the passages that set toxic text apart.  Every text is cut into
 overlapping windows and each window is compressed with both; the bytes the toxic
 dictionary saves are compared with thresholds, and the shares of windows beyond
 each threshold are turned into a probability by a logistic calibration on
-labelled texts that took no part in training the dictionaries.  One pair's
+labelled texts that took no part in training the dictionaries, its intercept
+shifted from the sample's share of toxic texts to that of all labelled rows.  One pair's
 lengths are noisy, as a window's matches shift with its surroundings; three
 pairs that differ in match finder and layout are calibrated together.
 
@@ -128,11 +129,11 @@ def _trained(size: int, samples: list[bytes]) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def train(toxic: Sequence[str | None], ordinary: Sequence[str | None], params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
-    """Fit dictionaries on two thirds of the texts and the calibration on the rest."""
+def train(toxic: Sequence[str | None], ordinary: Sequence[str | None], params: ToxicityParams = ToxicityParams(), share: float | None = None) -> ToxicityModel:
+    """Fit dictionaries on two thirds of the texts and the calibration on the rest; share is that of toxic texts where the two kinds were sampled unequally."""
     raw = lambda s: bytes((s or "").encode("utf-8", "replace")[: params.max_doc_bytes].lower())
     tox, plain = [raw(s) for s in toxic], [raw(s) for s in ordinary]
-    model = ToxicityModel(params, prior=len(tox) / max(1, len(tox) + len(plain)))
+    model = ToxicityModel(params, prior=len(tox) / max(1, len(tox) + len(plain)) if share is None else share)
     if len(tox) < 3 or len(plain) < 3:
         return model
     fit = lambda docs: [d for i, d in enumerate(docs) if i % 3]
@@ -165,6 +166,8 @@ def train(toxic: Sequence[str | None], ordinary: Sequence[str | None], params: T
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         ridge = np.r_[np.full(x.shape[1], 1.0), 1e-6]
         w = w - np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge), z.T @ (p - y) + ridge * w)
+    if share is not None and 0 < share < 1:
+        w[-1] += np.log(share / (1 - share)) - np.log(len(rest(tox)) / len(rest(plain)))
     model.mean, model.scale, model.weights = mean.tolist(), scale.tolist(), w.tolist()
     return model
 
@@ -195,6 +198,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, trainable: Column, param
     return out[0], out[1]
 
 
+def toxic_share(docs: DataFrame, labels: DataFrame, trainable: Column) -> float | None:
+    """The share of toxic rows among all rows that labelled_sample draws from; None without any."""
+    marks = labels.select("doc_id", F.col("toxic").cast("int").alias("_toxic")).where("doc_id is not null and _toxic in (0, 1)")
+    kinds = marks.where(trainable).groupBy("doc_id").agg(F.max("_toxic").alias("_toxic"))
+    return docs.select("doc_id").where(trainable).join(kinds, "doc_id").agg(F.avg("_toxic")).first()[0]
+
+
 ADDED = ("score", "toxic_windows")
 
 
