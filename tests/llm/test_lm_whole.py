@@ -43,3 +43,13 @@ def test_segments_score_as_the_broadcast_filter_does(spark, monkeypatch):
     assert len(small) == len(rows) and small == show(dataclasses.replace(params, max_filter_bytes=0)) == show(dataclasses.replace(params, max_vocab_bytes=0))
     exact = show(dataclasses.replace(params, segmented=False, max_vocab_bytes=0))
     assert [r[:5] for r in exact] == [r[:5] for r in small] and exact != small
+
+
+def test_segments_of_hard_and_missing_texts(hard_docs, empty_docs):
+    for most in (128 << 20, -1):
+        params = lm_score.LmParams(singles=True, segmented=True, max_filter_bytes=most)
+        rows = lm_score.score(hard_docs, F.lit(True), params).collect()
+        assert len(rows) == 10 and {r.n_tokens for r in rows if r.doc_id in (3, 4, 5)} == {1}
+        assert lm_score.score(empty_docs, F.lit(True), params).count() == 0
+        none = lm_score.score(hard_docs, F.lit(False), params).collect()
+        assert {r.train_tokens for r in none} == {0} and all(math.isfinite(r.score) for r in none)
