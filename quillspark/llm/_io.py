@@ -13,16 +13,38 @@ _ours: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's folder (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The cluster's folder (spark.checkpoint.dir); a temporary one only where that is unset and all runs in one process."""
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if told:
         return told.rstrip("/")
+    if not one_machine(spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     key = spark.sparkContext.applicationId
     if key not in _ours:
         _ours[key] = "file://" + tempfile.mkdtemp(prefix="quillspark-")
     return _ours[key]
 
 
+def one_machine(master: str) -> bool:
+    return master.split("[")[0] == "local"
+
+
+def fresh(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, with underscores before them until none is among columns, in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def position(columns: list[str], name: str) -> int:
+    """Where the column is, by the exact name or else in any case, as Spark resolves it."""
+    return columns.index(name) if name in columns else [c.lower() for c in columns].index(name)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/quillspark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     atexit.register(delete, spark, path)

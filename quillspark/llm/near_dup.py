@@ -7,19 +7,24 @@ bin's minimum; empty bins are filled by optimal densification (each probes
 further bins by a universal hash of its own until one is filled).  Groups of
 bins make band keys; nodes that share a key form a bucket.
 
-Candidates are stars: each bucket links its members to its smallest node, so a
-bucket of n nodes yields n-1 pairs.  Pairs are confirmed on the full shingle
-sets in integers.  A star can miss a link between two members of which neither
-resembles the centre; buckets that still hold more than one component after the
-confirmed links are merged therefore elect further centres, 1, 2, 4, ... at a
-time, each paired only with members of other components it has not met, until
-every remaining pair of the bucket has been confirmed or refused.  Nothing is
-capped.  Components come from alternating large-star and small-star rounds over
-tables in the shared folder.
+Candidates are stars: each bucket links its members to one centre, the member
+that meets the most others over all its buckets (the common original of edited
+copies, where there is one), so a bucket of n nodes yields n-1 edges, and
+buckets of one centre are one star.  A star's members are dealt into blocks of
+bounded rows and bytes, each with the centre.  A task holds one block, counts
+intersections of its full sets in integers and emits no more than the edges of
+a spanning forest of its links.  Only a star of several blocks of which the
+confirmed links leave several components needs more: its members outside the
+centre's component are dealt into blocks anew, and each pair of blocks of which
+one is such is a task.  So every two nodes that share a bucket and aren't
+joined already are compared on their full sets; nothing is capped, and no pair
+is emitted unless it is linked.  Components come from alternating large-star
+and small-star rounds over tables in the shared folder.
 
 Defined results: a text without words has an empty set and links with nothing;
 repeated rows and equal texts share a node; a null doc_id never is a component's
-smallest; an empty table gives an empty result; texts are used whole.
+smallest; an empty table gives an empty result; texts are used whole; columns of
+the input, whatever their names, are kept as they are.
 """
 
 from __future__ import annotations
@@ -29,12 +34,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from quillspark.llm._io import Table
+from quillspark.llm._io import Table, fresh, position
 from quillspark.llm._vec import U64, Words, buffers, chunks, grams, mix64
 
 
@@ -46,6 +50,11 @@ class NearDupParams:
     percent: int = 80
     bands: int = 36
     rows: int = 6
+    #: Bounds of a block's nodes and bytes of sets (a larger set is a block by itself).
+    block_rows: int = 2048
+    block_bytes: int = 16 << 20
+    #: Up to so many ids of texts to read again (8 bytes each) are broadcast; more are joined.
+    broadcast_ids: int = 4_000_000
 
     @property
     def bins(self) -> int:
@@ -145,40 +154,129 @@ def _signed(df: DataFrame, params: NearDupParams) -> DataFrame:
     return df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def _sets(df: DataFrame, params: NearDupParams) -> DataFrame:
-    schema = "f1 long, f2 long, items binary"
+def _sets(df: DataFrame, ids: DataFrame, params: NearDupParams) -> DataFrame:
+    """doc_id, f1, f2, items (the set's hashes) of the rows whose doc_id is among ids (one column, low)."""
+    spark = df.sparkSession
+    texts = df.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    ids = ids.distinct()
+    shared = None
+    if ids.count() <= params.broadcast_ids:
+        known = ids.where("low is not null").toPandas()["low"].to_numpy(np.int64)
+        shared = spark.sparkContext.broadcast((np.sort(known), not ids.where("low is null").isEmpty()))
+    else:
+        texts = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("low")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = buffers(batch.column(0))
-            for _, _, raw, offs in chunks(data, offsets):
+            if shared is not None:
+                known, nulls = shared.value
+                has = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+                value = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+                at = np.minimum(np.searchsorted(known, value), max(0, len(known) - 1))
+                batch = batch.filter(pa.array(np.where(has, known[at] == value if len(known) else False, nulls)))
+            data, offsets = buffers(batch.column(1))
+            for lo, hi, raw, offs in chunks(data, offsets):
                 h, first = shingle_sets(raw, offs, params.shingle)
                 f1, f2 = _fingerprint(h, first)
                 items = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(f1), [None, pa.py_buffer((first * 8).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(h))])
-                yield pa.RecordBatch.from_arrays([pa.array(f1), pa.array(f2), items.cast(pa.binary())], names=["f1", "f2", "items"])
-
-    return df.select(F.col("text").cast("string")).mapInArrow(run, schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(f1), pa.array(f2), items.cast(pa.binary())], names=["low", "f1", "f2", "items"])
+
+    return texts.mapInArrow(run, "low long, f1 long, f2 long, items binary")
+
+
+def overlaps(sets: list[np.ndarray], width: int = 2048) -> np.ndarray:
+    """Sizes of the pairwise intersections: shingles of many sets by matrix products, those of few by their pairs."""
+    r = len(sets)
+    out = np.zeros((r, r), np.int32)
+    h, owner = np.concatenate(sets), np.repeat(np.arange(r), [len(x) for x in sets])
+    order = np.argsort(h, kind="stable")
+    h, owner = h[order], owner[order]
+    head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    count = np.diff(np.append(head, len(h)))
+    dense = count > max(1, r // 10)
+    column = np.repeat(np.where(dense, np.cumsum(dense) - 1, -1), count)
+    for lo in range(0, int(dense.sum()), width):
+        mine = np.flatnonzero((column >= lo) & (column < lo + width))
+        x = np.zeros((r, min(width, int(dense.sum()) - lo)), np.float32)
+        x[owner[mine], column[mine] - lo] = 1
+        out += (x @ x.T).astype(np.int32)
+    few = np.repeat((count > 1) & ~dense, count)
+    owner, group = owner[few], np.repeat(np.arange(len(count)), count)[few]
+    step = 1
+    while step < len(owner):
+        same = np.flatnonzero(group[step:] == group[:-step])
+        if not len(same):
+            break
+        a, b = owner[same], owner[same + step]
+        for lo in range(0, len(a), 1 << 22):
+            np.add.at(out, (a[lo : lo + (1 << 22)], b[lo : lo + (1 << 22)]), 1)
+            np.add.at(out, (b[lo : lo + (1 << 22)], a[lo : lo + (1 << 22)]), 1)
+        step += 1
+    return out
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, params: NearDupParams) -> DataFrame:
-    """The pairs (u, v) that pass on their full sets; rows are streamed, no group is gathered."""
-    a = sets.select(F.col("node").alias("u"), F.col("items").alias("x"))
-    b = sets.select(F.col("node").alias("v"), F.col("items").alias("y"))
+def forest(sets: list[np.ndarray], percent: int) -> tuple[list[int], list[int]]:
+    """Edges (member, root) that span the components of the sets' links."""
+    n = np.array([len(x) for x in sets], np.int64)
+    common = overlaps(sets).astype(np.int64)
+    ok = (common > 0) & (100 * common >= percent * (n[:, None] + n[None, :] - common))
+    np.fill_diagonal(ok, False)
+    left, u, v = np.ones(len(sets), bool), [], []
+    for i in np.flatnonzero(ok.any(1)).tolist():
+        if not left[i]:
+            continue
+        left[i], front = False, np.array([i])
+        while len(front):
+            front = np.flatnonzero(ok[front].any(0) & left)
+            left[front] = False
+            u += front.tolist()
+            v += [i] * len(front)
+    return u, v
+
+
+def _linked(df: DataFrame, nodes: DataFrame, tasks: DataFrame, params: NearDupParams) -> DataFrame:
+    """Spanning edges (u, v) of the links within each task; tasks: c, a, b (the task) and node, each task of bounded size."""
+    wanted = nodes.join(tasks.select("node").distinct(), "node", "left_semi")
+    here = tasks.join(nodes.select("node", "f1", "f2", "low", "again"), "node")
+    parts = []
+    for again in (False, True):
+        ids = wanted.where(F.col("again") == again).select("low")
+        if again and ids.isEmpty():
+            break
+        sets = _sets(df, ids, params)
+        # Rows of one doc_id and set more than once: one of them is enough.
+        sets = sets.dropDuplicates(["low", "f1", "f2"]) if again else sets
+        mine = here.where(F.col("again") == again).withColumnRenamed("low", "l").alias("t")
+        match = (F.col("s.f1") == F.col("t.f1")) & (F.col("s.f2") == F.col("t.f2")) & F.col("s.low").eqNullSafe(F.col("t.l"))
+        parts.append(sets.alias("s").join(mine, match).select("c", "a", "b", "node", "items"))
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, members, sets = None, [], []
+
+        def solved() -> pa.RecordBatch:
+            u, v = forest(sets, params.percent) if len(sets) > 1 else ([], [])
+            at = np.array(members, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(at[u] if u else [], pa.int64()), pa.array(at[v] if v else [], pa.int64())], names=["u", "v"])
+
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                if 100 * min(len(p), len(q)) < params.percent * max(len(p), len(q)):
-                    keep.append(False)
-                    continue
-                both = np.sort(np.concatenate([p, q]))
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * common >= params.percent * (len(p) + len(q) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            keys = zip(*(batch.column(i).to_pylist() for i in range(4)))
+            for (c, a, b, node), x in zip(keys, batch.column(4)):
+                if (c, a, b) != task:
+                    if len(sets) > 1:
+                        yield solved()
+                    task, members, sets = (c, a, b), [], []
+                members.append(node)
+                sets.append(np.frombuffer(x.as_buffer(), U64))
+        if len(sets) > 1:
+            yield solved()
+
+    return rows.repartition("c", "a", "b").sortWithinPartitions("c", "a", "b").mapInArrow(run, "u long, v long")
+
 
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+def _blocks(rows: Column, hashes: Column, params: NearDupParams) -> Column:
+    """How many blocks so many rows and hashes need."""
+    return F.greatest(F.lit(1), F.ceil(rows / params.block_rows), F.ceil(hashes * 8 / params.block_bytes)).cast("long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -213,58 +311,54 @@ def classes(df: DataFrame, params: NearDupParams = NearDupParams()) -> DataFrame
     signed = Table(_signed(df, params).withColumn("rid", F.monotonically_increasing_id()), "signed")
     rows = signed.df.drop("bands")
     full = rows.where("n > 0")
-    reps = full.groupBy("f1", "f2").agg(F.min("rid").alias("node"), F.min("doc_id").alias("low"))
+    by_id = full.groupBy("f1", "f2", "doc_id").agg(F.min("rid").alias("rid"), F.count("*").alias("copies"), F.min("n").alias("n"))
+    again = F.min_by(F.col("copies") > 1, F.struct(F.col("doc_id").isNull(), F.col("doc_id")))
+    reps = by_id.groupBy("f1", "f2").agg(F.min("rid").alias("node"), F.min("doc_id").alias("low"), F.min("n").alias("n"), again.alias("again"))
     nodes = Table(reps, "nodes")
     banded = signed.df.where("n > 0").join(nodes.df.select(F.col("node").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("node"), F.explode("bands").alias("key"))
-    bucket = banded.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("centre")).where("members > 1")
+    bucket = banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     buckets = Table(banded.join(bucket, "key"), "buckets")
 
-    stars = buckets.df.where("node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct()
-    wanted = buckets.df.select(F.col("node").alias("rid")).distinct()
-    source = rows.join(wanted, "rid", "left_semi").select("doc_id").distinct()
-    texts = df.select(F.col("doc_id").cast("long"), "text").withColumn("_id", F.col("doc_id"))
-    texts = texts.join(source.withColumnRenamed("doc_id", "_w"), F.col("_id").eqNullSafe(F.col("_w")), "left_semi")
-    near = nodes.df.join(wanted.withColumnRenamed("rid", "node"), "node", "left_semi")
-    sets = Table(_sets(texts, params).join(near.select("f1", "f2", "node"), ["f1", "f2"]).groupBy("node").agg(F.first("items").alias("items")), "sets")
+    met = buckets.df.groupBy("node").agg(F.sum("members").alias("met"))
+    centres = buckets.df.join(met, "node").groupBy("key").agg(F.max_by("node", F.struct("met", -F.col("node"))).alias("c"))
+    sizes = nodes.df.select("node", "n")
+    edges = buckets.df.join(centres, "key").where("node <> c").select("c", "node").distinct()
+    edges = edges.join(sizes, "node").join(sizes.select(F.col("node").alias("c"), F.col("n").alias("nc")), "c")
+    star = edges.groupBy("c").agg((F.count("*") + 1).alias("rows"), (F.sum("n") + F.first("nc")).alias("hashes"), F.min("n").alias("small"), F.first("nc").alias("nc"))
+    # Two nodes alone are refused by their sizes where these are too unlike.
+    star = star.where(f"rows > 2 or 100 * least(small, nc) >= {params.percent} * greatest(small, nc)")
+    star = Table(star.select("c", "nc", _blocks(F.col("rows"), F.col("hashes"), params).alias("blocks")), "stars")
+    members = Table(edges.select("c", "node", "n").join(star.df.select("c", "blocks"), "c"), "members")
+    buckets.drop()
 
-    links = Table(_confirmed(stars, sets.df, params), "links")
-    all_links = [links]
+    zero = F.lit(0).cast("long").alias("a")
+    dealt = members.df.select("c", zero, F.pmod(F.xxhash64("node"), F.col("blocks")).alias("b"), "node")
+    dealt = dealt.unionByName(star.df.select("c", zero, F.explode(F.expr("sequence(0L, blocks - 1)")).alias("b"), F.col("c").alias("node")))
+    links = Table(_linked(df, nodes.df, dealt, params), "links")
     labels = Table(components(links.df), "labels")
-    done, width = 1, 1
-    ranked = None
-    while True:
-        # Buckets that still join several components, with how many of their members have been centres.
-        lab = labels.df
-        source_rows = ranked.df if ranked else buckets.df
-        placed = source_rows.join(lab, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        split = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("members").alias("m")).where(f"a <> b and m > {done + 1}").select("key")
-        unresolved = placed.drop("rank") if ranked is None else placed
-        unresolved = unresolved.join(split, "key", "left_semi")
-        if ranked is None:
-            unresolved = unresolved.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("node")))
-        table = Table(unresolved, "unresolved")
-        if ranked:
-            ranked.drop()
-        if table.df.isEmpty():
-            table.drop()
-            break
-        now = table.df
-        centres = now.where(f"rank > {done} and rank <= {done + width}").select("key", F.col("node").alias("v"), F.col("root").alias("rv"), F.col("rank").alias("kv"))
-        pairs = now.join(centres, "key").where("root <> rv and rank > kv").select(F.col("node").alias("u"), "v").distinct()
-        more = Table(_confirmed(pairs, sets.df, params), "links")
-        done, width = done + width, width * 2
-        ranked = Table(now.drop("root"), "ranked")
-        table.drop()
+
+    wide = star.df.where("blocks > 1")
+    if not wide.isEmpty():
+        rest = members.df.where("blocks > 1").select("c", "node", "n").unionByName(wide.select("c", F.col("c").alias("node"), F.col("nc").alias("n")))
+        rest = rest.join(labels.df, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        home = wide.select(F.col("c").alias("node")).join(labels.df, "node", "left").select(F.col("node").alias("c"), F.coalesce("root", "node").alias("home"))
+        rest = rest.join(home, "c").select("c", "node", "n", (F.col("root") != F.col("home")).alias("out"))
+        rest = Table(rest, "rest")
+        out = F.col("out").cast("long")
+        cut = rest.df.groupBy("c").agg(F.sum(out).alias("ro"), F.sum(out * F.col("n")).alias("ho"), F.sum(1 - out).alias("rm"), F.sum((1 - out) * F.col("n")).alias("hm")).where("ro > 0")
+        cut = cut.select("c", _blocks(F.col("ro"), F.col("ho"), params).alias("no"), _blocks(F.col("rm"), F.col("hm"), params).alias("nm"))
+        # Blocks 0 to no - 1 are of nodes outside the centre's component; each meets every block once.
+        own = F.when(F.col("out"), F.pmod(F.xxhash64("node"), F.col("no"))).otherwise(F.col("no") + F.pmod(F.xxhash64("node"), F.col("nm")))
+        others = F.when(F.col("out"), F.expr("sequence(0L, no + nm - 1)")).otherwise(F.expr("sequence(0L, no - 1)"))
+        pairs = rest.df.join(cut, "c").select("c", "node", own.alias("own"), F.explode(others).alias("other")).select("c", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node")
+        more = Table(_linked(df, nodes.df, pairs, params), "links")
         if not more.df.isEmpty():
-            all_links.append(more)
-            joined = all_links[0].df
-            for t in all_links[1:]:
-                joined = joined.unionByName(t.df)
-            labels = Table(components(joined), "labels")
-        else:
-            more.drop()
-    sets.drop()
-    buckets.drop()
+            labels.drop()
+            labels = Table(components(links.df.unionByName(more.df)), "labels")
+        rest.drop()
+        more.drop()
+    for t in (star, members, links):
+        t.drop()
     placed = nodes.df.join(labels.df, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lows = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     final = placed.select("f1", "f2", "root").join(lows, "root")
@@ -277,32 +371,35 @@ def deduplicate(df: DataFrame, params: NearDupParams = NearDupParams()) -> DataF
     c = Table(classes(df, params), "classes").df
     best = F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("rid").alias("c")))
     chosen = c.where("n > 0").groupBy("root").agg(best.alias("k")).select(F.col("k.c").alias("rid"))
-    kept = c.join(chosen, "rid", "left_semi").select(F.col("doc_id").alias("_d"), F.col("f1").alias("_f1"), F.col("f2").alias("_f2"))
-    # A chosen row is found again by its doc_id and set; where several rows have both, one of them is taken.
-    rows = c.where("n > 0").groupBy(F.col("doc_id").alias("_d"), F.col("f1").alias("_f1"), F.col("f2").alias("_f2")).agg((F.count("*") > 1).alias("_again"))
-    same = [F.col(f"k.{x}").eqNullSafe(F.col(f"r.{x}")) for x in ("_d", "_f1", "_f2")]
-    kept = Table(kept.alias("k").join(rows.alias("r"), same[0] & same[1] & same[2]).select("k.*", "r._again"), "kept").df
     names = df.columns
-    schema = T.StructType([*df.schema.fields, T.StructField("_n", T.LongType()), T.StructField("_g1", T.LongType()), T.StructField("_g2", T.LongType())])
-    at = names.index("text")
+    d, f1, f2, n, again = fresh(names, "d", "f1", "f2", "n", "again")
+    kept = c.join(chosen, "rid", "left_semi").select(F.col("doc_id").alias("d"), "f1", "f2")
+    # A chosen row is found again by its doc_id and set; where several rows have both, one of them is taken.
+    rows = c.where("n > 0").groupBy("doc_id", "f1", "f2").agg((F.count("*") > 1).alias("again"))
+    same = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k.f1") == F.col("r.f1")) & (F.col("k.f2") == F.col("r.f2"))
+    kept = Table(kept.alias("k").join(rows.alias("r"), same).select(F.col("d").alias(d), F.col("k.f1").alias("k1"), F.col("k.f2").alias("k2"), F.col("again").alias(again)), "kept").df
+    k1, k2 = fresh([*names, d, f1, f2, n, again], "k1", "k2")
+    kept = kept.withColumnsRenamed({"k1": k1, "k2": k2})
+    schema = T.StructType([*df.schema.fields, *(T.StructField(x, T.LongType()) for x in (n, f1, f2))])
+    at = position(names, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = buffers(batch.column(at))
+            data, offsets = buffers(batch.column(at).cast(pa.string()))
             for lo, hi, raw, offs in chunks(data, offsets):
                 h, first = shingle_sets(raw, offs, params.shingle)
-                f1, f2 = _fingerprint(h, first)
+                g1, g2 = _fingerprint(h, first)
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(first)), pa.array(f1), pa.array(f2)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(first)), pa.array(g1), pa.array(g2)], names=schema.names)
 
+    own = [F.col(f"`{x}`") for x in names]
     marked = df.mapInArrow(run, schema)
-    blank = marked.where("_n = 0").select(*[F.col(f"`{c}`") for c in names])
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_g1") == F.col("_f1")) & (F.col("_g2") == F.col("_f2"))
-    out = blank
-    for again in (False, True):
-        wanted = kept.where(F.col("_again") == again)
-        if again and wanted.isEmpty():
+    out = marked.where(F.col(n) == 0).select(*own)
+    match = F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.col(f1) == F.col(k1)) & (F.col(f2) == F.col(k2))
+    for repeated in (False, True):
+        wanted = kept.where(F.col(again) == repeated)
+        if repeated and wanted.isEmpty():
             break
-        full = marked.where("_n > 0").join(wanted, match, "left_semi")
-        out = out.unionByName((full.dropDuplicates(["doc_id", "_g1", "_g2"]) if again else full).select(*[F.col(f"`{c}`") for c in names]))
+        full = marked.where(F.col(n) > 0).join(wanted, match, "left_semi")
+        out = out.unionByName((full.dropDuplicates(["doc_id", f1, f2]) if repeated else full).select(*own))
     return out

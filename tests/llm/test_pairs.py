@@ -52,8 +52,8 @@ def edited(text, share, seed):
     return " ".join(w)
 
 
-@pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
-def test_components_equal_brute_force(spark, k, percent):
+@pytest.mark.parametrize(("k", "percent", "bounds"), [(3, 85, {}), (5, 80, {"block_rows": 6}), (3, 85, {"block_bytes": 8000, "broadcast_ids": 0})])
+def test_components_equal_brute_force(spark, k, percent, bounds):
     rows = [(i, prose(60 + i % 40, i)) for i in range(60)]
     # A chain of slow drift, near copies about the threshold, exact copies, short and blank texts.
     text = prose(200, 999)
@@ -62,10 +62,13 @@ def test_components_equal_brute_force(spark, k, percent):
         rows.append((100 + j, text))
     for j in range(30):
         rows.append((200 + j, edited(rows[j][1], 0.015 * (1 + j % 3), j)))
+    # Copies of one text, of which many resemble it and not each other, some two and two.
+    for j in range(40):
+        rows.append((500 + j, edited(rows[3][1], 0.02 + 0.002 * (j % 12), 7000 + j // 2)))
     rows += [(300 + j, rows[0][1].upper()) for j in range(40)]
     rows += [(400, "a b"), (401, "A  b"), (402, ""), (403, None), (404, " \n"), (5, rows[9][1]), (None, rows[9][1]), (None, "lonely words of no id at all")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    params = near_dup.NearDupParams(shingle=k, percent=percent)
+    params = near_dup.NearDupParams(shingle=k, percent=percent, **bounds)
     got = sorted(((r.doc_id, r.n, r.component_id) for r in near_dup.classes(df, params).collect()), key=str)
     want, groups = components_by_force(rows, k, percent)
     assert got == sorted(want, key=str)
@@ -73,6 +76,22 @@ def test_components_equal_brute_force(spark, k, percent):
     assert kept.where("trim(text) not in ('', '\n')").count() == groups
 
 
+def test_overlaps_equal_set_intersections():
+    rng = random.Random(4)
+    sets = [set(rng.sample(range(300), rng.randrange(1, 120))) | {1000 + i // 3} for i in range(45)]
+    got = near_dup.overlaps([np.array(sorted(s), np.uint64) for s in sets], width=64)
+    assert all(got[i, j] == len(sets[i] & sets[j]) for i in range(45) for j in range(45) if i != j)
+
+
+def test_columns_of_any_name_are_kept(spark):
+    text = prose(60, 8)
+    rows = [(1, text, *"abcdefgh"), (2, text, *"ABCDEFGH"), (3, "", *"ijklmnop")]
+    names = ["_n", "_G1", "_d", "f1", "d", "k1", "again", "n"]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    kept = near_dup.deduplicate(df)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
+
+
 def test_densified_signatures_estimate_resemblance():
     params = near_dup.NearDupParams()
     rng = np.random.default_rng(3)
