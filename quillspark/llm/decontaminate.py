@@ -1,18 +1,22 @@
 """Benchmark decontamination by rare seeds and Smith-Waterman alignment.
 
-Words are runs of letters, digits and non-ASCII bytes, ASCII-lower-cased.  One
-pass counts, over all texts, how many contain each word n-gram of the test
-items; an item's n-grams become its seeds but for those several times as
-frequent as its median one, which many texts share by chance.  (Taking only the
-very rarest would favour just those that edited copies lack.)  A second pass joins every
-text with the items by those seeds, gathers neighbouring hits into windows of
-the text, and aligns window and item by words (match +1, mismatch and gap -1,
-local).  A text is a copy of an item if the best score reaches `least` of the
-item's length, so that insertions, deletions and replaced words are tolerated.
+Words are runs of letters, digits and non-ASCII bytes, ASCII-lower-cased.  All
+word n-grams of the test items are seeds.  One pass over the texts joins each
+with the items by the seeds they share, gathers neighbouring hits into windows
+of the text, and aligns window and item by words (match +1, mismatch and gap
+-1, local).  A text is a copy of an item if the best score reaches `least` of
+the item's length, so that insertions, deletions and replaced words are
+tolerated.
+
+Rarity decides how a window is treated, never whether: one hit of a rare seed
+(in at most `rare_items` items of its block) is enough to align it.  A window
+that has common seeds only is aligned unless item and window share too few words
+in any order for that score, which is a proof and not a guess.  So no seed, hit,
+text or candidate is dropped for being frequent, and a single hit suffices.  The
+limit of the method is a copy of which no n words in sequence are left.
 
 Items are taken in blocks of at most `block_grams` n-grams; what is broadcast
-is one block's seeds, however large the benchmark.  No seed, text or candidate
-is dropped for being frequent.
+is one block's seeds, however large the benchmark, and each block costs one pass.
 
 Defined results: null and empty texts and items match nothing; an item of fewer
 words than a seed is its own seed; repeated rows each get their result; ties
@@ -30,21 +34,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm._io import position
 from quillspark.llm._vec import IS_LETTER, U64, Words, buffers, chunks, grams
 
 
 @dataclass(frozen=True)
 class DecontaminateParams:
     gram: int = 3
-    common_factor: float = 8.0
+    rare_items: int = 8
     least: float = 0.5
     slack: int = 8
     block_grams: int = 2_000_000
+    #: Hits held at once, and words of a window aligned at once; longer windows go in overlapping pieces.
+    held_hits: int = 2_000_000
+    piece_words: int = 4096
 
 
 @dataclass
 class Items:
-    """A block of test items: ids, word hashes, and n-grams with where they occur."""
+    """A block of test items: ids, word hashes, and n-grams, ascending, with where they occur and in how many items."""
 
     ids: list[int]
     words: list[np.ndarray]
@@ -52,6 +60,7 @@ class Items:
     item: np.ndarray
     at: np.ndarray
     size: np.ndarray
+    held: np.ndarray
 
 
 def prepare(rows: list[tuple[int, str | None]], n: int) -> Items:
@@ -66,20 +75,13 @@ def prepare(rows: list[tuple[int, str | None]], n: int) -> Items:
         mine = w.counts[d] == size if size < n else w.counts[d] >= n
         parts.append((g[mine], d[mine], at[mine], np.full(int(mine.sum()), size)))
     join = lambda i, t: np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t)
-    return Items([r[0] for r in rows], words, join(0, U64), join(1, np.int64), join(2, np.int64), join(3, np.int64))
-
-
-def seeds(items: Items, frequency: dict[int, int], params: DecontaminateParams) -> Items:
-    """items without the grams that are more than common_factor times as frequent as their item's median gram."""
-    keep = np.zeros(len(items.gram), bool)
-    df = np.array([frequency.get(int(g), 0) for g in items.gram.view(np.int64)], np.int64)
-    for i in range(len(items.ids)):
-        mine = np.flatnonzero(items.item == i)
-        if len(mine):
-            keep[mine[df[mine] <= params.common_factor * max(1.0, float(np.median(df[mine])))]] = True
-    order = np.flatnonzero(keep)
-    order = order[np.argsort(items.gram[order], kind="stable")]
-    return Items(items.ids, items.words, items.gram[order], items.item[order], items.at[order], items.size[order])
+    gram, item, at, length = join(0, U64), join(1, np.int64), join(2, np.int64), join(3, np.int64)
+    order = np.lexsort((at, item, gram, length))
+    gram, item, at, length = gram[order], item[order], at[order], length[order]
+    new = lambda *x: np.concatenate([np.ones(min(1, len(gram)), bool), np.any([y[1:] != y[:-1] for y in x], axis=0)])
+    head = np.flatnonzero(new(gram, length))
+    held = np.add.reduceat(new(gram, length, item).astype(np.int64), head) if len(head) else head
+    return Items([r[0] for r in rows], words, gram, item, at, length, np.repeat(held, np.diff(np.append(head, len(gram)))))
 
 
 def smith_waterman(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -114,49 +116,62 @@ def smith_waterman(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return out
 
 
-def find_in(words: Words, h: np.ndarray, items: Items, params: DecontaminateParams) -> list[tuple[int, int, float, int, int, int]]:
-    """(text, item, score, seeds hit, first word, end word) of the copies in a run of texts; one a text and item."""
-    lists = []
+def hits(words: Words, h: np.ndarray, items: Items, params: DecontaminateParams) -> Iterator[tuple[np.ndarray, ...]]:
+    """(text, item, place in the text, place in the item, items that hold the gram) of the seeds' hits, in portions of bounded size."""
     for size in np.unique(items.size):
-        mine = items.size == size
-        table, rows = items.gram[mine], np.flatnonzero(mine)
+        lo, hi = np.searchsorted(items.size, [size, size + 1])
+        table = items.gram[lo:hi]
         g, doc, at = grams(h, words.first, int(size))
-        lo = np.searchsorted(table, g)
-        lo[lo == len(table)] = 0
-        found = np.flatnonzero(table[lo] == g)
-        count = np.searchsorted(table, g[found], side="right") - lo[found]
-        which = np.repeat(lo[found], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        lists.append((np.repeat(doc[found], count), items.item[rows[which]], np.repeat(at[found], count), items.at[rows[which]]))
-    if not lists:
-        return []
-    doc, item, at, inside = (np.concatenate([x[i] for x in lists]) for i in range(4))
-    if not len(doc):
-        return []
-    order = np.lexsort((at, item, doc))
-    doc, item, at, inside = doc[order], item[order], at[order], inside[order]
-    length = np.array([len(w) for w in items.words])
-    begin = at - inside
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (at[1:] - at[:-1] > length[item[1:]] + params.slack)])
-    heads = np.flatnonzero(new)
-    tails = np.append(heads[1:], len(doc))
-    per_item = np.bincount(items.item, minlength=len(items.ids))
-    work, meta = [], []
-    for a, b in zip(heads.tolist(), tails.tolist()):
-        d, i = int(doc[a]), int(item[a])
-        hit = len(set(inside[a:b].tolist()))
-        if hit < min(2, int(per_item[i])):
-            continue
-        lo = max(0, int(begin[a:b].min()) - params.slack)
-        hi = min(int(words.counts[d]), int(begin[a:b].max()) + int(length[i]) + params.slack)
-        first = int(words.first[d])
-        work.append((items.words[i], h[first + lo : first + hi]))
-        meta.append((d, i, hit, lo))
+        low = np.searchsorted(table, g)
+        low[low == len(table)] = 0
+        found = np.flatnonzero(table[low] == g)
+        count = np.searchsorted(table, g[found], side="right") - low[found]
+        total = np.cumsum(count)
+        begin = 0
+        while begin < len(found):
+            end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + params.held_hits, side="right")))
+            f, c = found[begin:end], count[begin:end]
+            which = lo + np.repeat(low[f], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+            yield np.repeat(doc[f], c), items.item[which], np.repeat(at[f], c), items.at[which], items.held[which]
+            begin = end
+
+
+def shared_words(item: np.ndarray, window: np.ndarray) -> int:
+    """Words in common in any order: no alignment scores more."""
+    a, n = np.unique(item, return_counts=True)
+    at = np.minimum(np.searchsorted(a, window), len(a) - 1)
+    return int(np.minimum(np.bincount(at[a[at] == window], minlength=len(a)), n).sum())
+
+
+def find_in(words: Words, h: np.ndarray, items: Items, params: DecontaminateParams) -> list[tuple[int, int, float, int, int, int]]:
+    """(text, item, score, seeds hit, first word, end word) of the copies in a run of texts; one a text and item."""
+    length = np.array([len(w) for w in items.words], np.int64)
     best: dict[tuple[int, int], tuple[int, int, float, int, int, int]] = {}
-    if work:
-        for (d, i, hit, lo), (score, end) in zip(meta, smith_waterman(work).tolist()):
+    for doc, item, at, inside, held in hits(words, h, items, params):
+        order = np.lexsort((at, item, doc))
+        doc, item, at, inside, held = doc[order], item[order], at[order], inside[order], held[order]
+        begin = at - inside
+        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (at[1:] - at[:-1] > length[item[1:]] + params.slack)])
+        heads = np.flatnonzero(new)
+        work, meta = [], []
+        bounds = zip(heads.tolist(), np.append(heads[1:], len(doc)).tolist(), np.minimum.reduceat(begin, heads).tolist(), np.maximum.reduceat(begin, heads).tolist(), np.minimum.reduceat(held, heads).tolist())
+        for a, b, low, high, rarest in bounds:
+            d, i = int(doc[a]), int(item[a])
+            n, first = int(length[i]), int(words.first[d])
+            lo, hi = max(0, low - params.slack), min(int(words.counts[d]), high + n + params.slack)
+            window, need = h[first + lo : first + hi], params.least * n
+            if rarest > params.rare_items and shared_words(items.words[i], window) < need:
+                continue
+            hit = len(set(inside[a:b].tolist()))
+            # An alignment that scores enough spans at most twice the item.
+            piece = max(params.piece_words, 4 * n)
+            for from_ in range(0, max(1, len(window) - 2 * n), piece - 2 * n):
+                work.append((items.words[i], window[from_ : from_ + piece]))
+                meta.append((d, i, hit, lo, lo + from_))
+        for (d, i, hit, lo, from_), (score, end) in zip(meta, smith_waterman(work).tolist()):
             share = score / len(items.words[i])
             if share >= params.least and share > best.get((d, i), (0, 0, 0.0))[2]:
-                best[d, i] = (d, i, share, hit, lo, lo + end)
+                best[d, i] = (d, i, share, hit, lo, from_ + end)
     return [best[k] for k in sorted(best)]
 
 
@@ -166,39 +181,9 @@ def _blocks(benchmark: DataFrame, params: DecontaminateParams) -> Iterator[Items
     n = max(1, -(-int(total) // (4 * params.block_grams)))
     for b in range(n):
         part = sorted(((r[0], r[1]) for r in rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == b).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        yield prepare(part, params.gram)
-
-
-def _frequencies(docs: DataFrame, items: Items) -> dict[int, int]:
-    """How many texts hold each gram of the block: counted over all texts, at most one row a gram comes back."""
-    shared = docs.sparkSession.sparkContext.broadcast([(int(s), np.unique(items.gram[items.size == s])) for s in np.unique(items.size)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = [np.zeros(len(t), np.int64) for _, t in shared.value]
-        for batch in batches:
-            data, offsets = buffers(batch.column(0))
-            for _, _, raw, offs in chunks(data, offsets):
-                w = Words(raw, offs, IS_LETTER)
-                h = w.hashes()
-                for (size, table), total in zip(shared.value, totals):
-                    g, doc, _ = grams(h, w.first, size)
-                    at = np.searchsorted(table, g)
-                    at[at == len(table)] = 0
-                    hit = np.flatnonzero(table[at] == g)
-                    pairs = np.unique(doc[hit] * len(table) + at[hit])
-                    total += np.bincount(pairs % len(table), minlength=len(table))
-        for (_, table), total in zip(shared.value, totals):
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_pydict({"gram": table[some].view(np.int64), "n": total[some]})
-
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    return {r["gram"]: r["n"] for r in rows}
-
-
-def _seeded(docs: DataFrame, benchmark: DataFrame, params: DecontaminateParams) -> Iterator[Items]:
-    for items in _blocks(benchmark, params):
+        items = prepare(part, params.gram)
         if len(items.gram):
-            yield seeds(items, _frequencies(docs, items), params)
+            yield items
 
 
 PAIRS = "doc_id long, item_id long, score double, seeds_hit int, word_start long, word_end long"
@@ -208,7 +193,7 @@ def find(docs: DataFrame, benchmark: DataFrame, params: DecontaminateParams = De
     """One row for each text and item it copies: doc_id, item_id, score (share of the item), seeds_hit, word_start, word_end."""
     spark = docs.sparkSession
     out = spark.createDataFrame([], PAIRS)
-    for items in _seeded(docs, benchmark, params):
+    for items in _blocks(benchmark, params):
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -231,13 +216,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, params: DecontaminateParams = D
     """docs without the rows that copy an item; rows and columns are otherwise as they were."""
     out = docs
     names = docs.columns
-    at = names.index("text")
-    for items in _seeded(docs, benchmark, params):
+    at = position(names, "text")
+    for items in _blocks(benchmark, params):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                data, offsets = buffers(batch.column(at))
+                data, offsets = buffers(batch.column(at).cast(pa.string()))
                 keep = np.ones(len(batch), bool)
                 for lo, _, raw, offs in chunks(data, offsets):
                     w = Words(raw, offs, IS_LETTER)

@@ -160,3 +160,55 @@ def test_copies_are_found_and_clean_texts_left(spark, empty_docs):
     small = decontaminate.DecontaminateParams(block_grams=100)
     assert collections.Counter((r.doc_id, r.item_id) for r in decontaminate.find(docs, bench, small).collect()) == want
     assert decontaminate.find(empty_docs, bench).count() == 0 and decontaminate.find(docs, bench.limit(0)).count() == 0
+
+
+def found_by_alignment(docs, items, least=0.5):
+    """All pairs aligned by the plain table over letters-and-digits words."""
+    split = lambda t: re.findall(r"[A-Za-z0-9\x80-\U0010ffff]+", (t or "").translate(ASCII_LOWER))
+    return collections.Counter((d, i) for d, t in docs for i, u in items if split(u) and align(split(u), split(t)) >= least * len(split(u)))
+
+
+@pytest.mark.parametrize("copies", [9, 60])
+def test_many_edited_copies_are_all_found(spark, copies):
+    items = [(1, prose(40, 71)), (2, prose(24, 72))]
+    docs = [(k, f"{prose(20, 800 + k)} {edited(items[k % 2][1], 0.18, k)} {prose(20, 900 + k)}") for k in range(copies)]
+    got = collections.Counter((r.doc_id, r.item_id) for r in decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect())
+    want = found_by_alignment(docs, items)
+    assert got == want and sum(want.values()) == copies
+
+
+def test_one_surviving_seed_suffices(spark):
+    words = prose(18, 73).split(" ")
+    loose = words[:3] + ["first"] + [x for k, w in enumerate(words[3:]) for x in ([w, f"ins{k}"] if k % 2 else [w])]
+    items = [(1, " ".join(words)), (2, "red green blue pink teal")]
+    docs = [(1, " ".join(loose)), (2, "red green blue other words here")]
+    got = {(r.doc_id, r.item_id): r.seeds_hit for r in decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1): 1, (2, 2): 1} and set(got) == set(found_by_alignment(docs, items))
+
+
+@pytest.mark.parametrize("bounds", [{}, {"rare_items": 0, "held_hits": 7, "piece_words": 64}])
+def test_copies_at_every_rate_of_edits(spark, bounds):
+    rng = random.Random(11)
+    items = [(i, prose(15 + 3 * i, 4000 + i)) for i in range(10)]
+    docs = []
+    for k in range(240):
+        w = items[k % 10][1].split(" ")
+        out = []
+        for x in w:
+            act = rng.random()
+            rate = (k // 10) / 60
+            out += [] if act < rate / 3 else [x, f"x{rng.randrange(99)}"] if act < 2 * rate / 3 else [f"y{rng.randrange(99)}"] if act < rate else [x]
+        docs.append((k, f"{prose(30, 10_000 + k)} {' '.join(out)} {prose(12, 20_000 + k)}"))
+    docs.append((999, " ".join([items[2][1]] * 40)))
+    params = decontaminate.DecontaminateParams(**bounds)
+    got = collections.Counter((r.doc_id, r.item_id) for r in decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), params).collect())
+    want = found_by_alignment(docs, items)
+    assert not got - want and sum(got.values()) >= 0.99 * sum(want.values()) and sum(want.values()) > 100
+
+
+def test_extra_columns_and_ties(spark):
+    item = "alpha beta gamma delta epsilon zeta"
+    docs = spark.createDataFrame([(1, f"{item} xx yy zz {item}", 5, "p"), (2, "clean text of no item at all", 6, "q")], "doc_id long, text string, score int, item_id string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.find(docs, bench).select("doc_id", "item_id", "score", "word_end").collect()] == [(1, 7, 1.0, 6)]
+    assert [tuple(r) for r in decontaminate.clean(docs, bench).collect()] == [(2, "clean text of no item at all", 6, "q")]
