@@ -19,7 +19,8 @@ holds a whole source, be it a third of the corpus.
 
 Defined results: a null text has size 0; null is a source of its own, last in
 order; sources of size 0 get target 0; an empty table gives an empty result;
-repeated rows are placed one after the other; columns of the input are kept.
+repeated rows are placed one after the other; columns of the input, whatever
+their names, are kept, but for those named as an added column.
 """
 
 from __future__ import annotations
@@ -46,6 +47,7 @@ class MixParams:
     min_block_words: int = 2048
     max_blocks: int = 50_000
     range_digits: int = 3
+    range_rows: int = 20_000
     max_broadcast_rows: int = 200_000
 
 
@@ -99,10 +101,31 @@ def splitting_tree(quotas: DataFrame, params: MixParams = MixParams()) -> DataFr
     return t.select("_no", "_ticket", F.col("_lo").alias("_shard"))
 
 
+ADDED = ("_size", "_total", "_target", "_taken", "_copies")
+
+
+def _apart(df: DataFrame, own: tuple[str, ...], name: str) -> tuple[DataFrame, list[str]]:
+    """The columns in own as they are, and all others as fields of one column, so that no name clashes; and the others' names."""
+    rest = [c for c in df.columns if c.lower() not in own]
+    packed = F.struct(*[F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(rest)]) if rest else F.lit(None)
+    return df.select(*[F.col(c) for c in own], packed.alias(name)), rest
+
+
+def _back(columns: list[str], rest: list[str], name: str) -> list[Column]:
+    """The columns again, in their order."""
+    return [F.col(name)[f"f{rest.index(c)}"].alias(c) if c in rest else F.col(c.lower()).alias(c) for c in columns]
+
+
 def plan(df: DataFrame, params: MixParams = MixParams()) -> DataFrame:
-    """df with `_size`, `_total` and `_target` of its source, `_taken`, and `_copies`, an array of (copy, taken, shard)."""
+    """df (as `measured` returns it) with `_size`, `_total` and `_target` of its source, `_taken`, and `_copies`, an array of (copy, taken, shard)."""
+    names = [c for c in df.columns if c.lower() not in (*ADDED, "_text_key")]
+    df, rest = _apart(df.select(*[F.col(f"`{c}`") for c in names], "_size", "_text_key"), ("doc_id", "source", "_size", "_text_key"), "_rest")
+    # Key ranges are finer where there are more rows, and never cut a key; their number changes no result.
+    digits, rows = params.range_digits, df.count()
+    while rows > params.range_rows << (4 * digits) and digits < 6:
+        digits += 1
     key = F.md5(F.concat_ws(":", F.lit(str(params.seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("_text_key")))
-    sized = df.withColumn("_key", key).drop("_text_key").withColumn("_range", F.substring("_key", 1, params.range_digits))
+    sized = df.withColumn("_key", key).drop("_text_key").withColumn("_range", F.substring("_key", 1, digits))
     # Both levels of sums come from one small table: words by source and key range.
     sums = Table(sized.groupBy(F.col("source").alias("_src"), "_range").agg(F.sum("_size").alias("_words")), "sums").df
     known = Table(targets(sums.groupBy("_src").agg(F.sum("_words").alias("_total")), params), "targets").df
@@ -128,7 +151,7 @@ def plan(df: DataFrame, params: MixParams = MixParams()) -> DataFrame:
 
     copies = F.filter(F.array(*[copy(e) for e in range(params.repeats)]), lambda c: c["taken"] > 0)
     d = d.withColumn("_copies", copies).withColumn("_taken", F.aggregate("_copies", F.lit(0).cast("long"), lambda a, c: a + c["taken"]))
-    return d.drop("_no", "_range", "_key", "_before", "_start", "_shards", "_block", "_goal")
+    return d.select(*_back(names, rest, "_rest"), *ADDED)
 
 
 def measured(df: DataFrame) -> DataFrame:
@@ -141,14 +164,15 @@ def mix(df: DataFrame, params: MixParams = MixParams()) -> DataFrame:
 
     The last copy of a source's stream may be taken in part; its text then ends after the words taken.
     """
-    names = [c for c in df.columns if c not in ("mix_shard", "mix_copy")]
-    d = plan(measured(df.select(*[F.col(f"`{c}`") for c in names])), params).withColumn("_c", F.explode("_copies"))
+    names = [c for c in df.columns if c.lower() not in ("mix_shard", "mix_copy")]
+    apart, rest = _apart(df.select(*[F.col(f"`{c}`") for c in names]), ("doc_id", "source", "text"), "_row")
+    d = plan(measured(apart), params).withColumn("_c", F.explode("_copies"))
     pieces = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     cut = F.array_join(F.slice(pieces, F.lit(1), F.col("_c.taken").cast("int")), "")
     d = d.withColumn("text", F.when(F.col("_c.taken") < F.col("_size"), cut).otherwise(F.col("text")))
     order = F.md5(F.concat_ws(":", F.lit(str(params.seed)), F.lit("local"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("_c.copy").cast("string")))
-    d = d.withColumn("_order", order).select(*[F.col(f"`{c}`") for c in names], F.col("_c.shard").alias("mix_shard"), F.col("_c.copy").alias("mix_copy"), "_order")
-    return d.repartition("mix_shard", F.substring("_order", 1, params.range_digits)).sortWithinPartitions("mix_shard", "_order").drop("_order")
+    d = d.withColumn("_order", order).repartition("_c.shard", F.substring("_order", 1, params.range_digits)).sortWithinPartitions("_c.shard", "_order")
+    return d.select(*_back(names, rest, "_row"), F.col("_c.shard").alias("mix_shard"), F.col("_c.copy").alias("mix_copy"))
 
 
 def oracle(params: MixParams = MixParams()) -> str:

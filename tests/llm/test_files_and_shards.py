@@ -49,6 +49,38 @@ def test_sharding_edge_cases(hard_docs, empty_docs, tmp_path):
     assert hard_docs.sparkSession.read.parquet(f"file://{tmp_path}/out").count() == 10
 
 
+CLASHING = ["_p", "_hot", "_k", "_b", "hot", "_before", "_key", "_no", "_total", "_order", "_text_key", "_size", "_c", "_row", "_rest", "_shards", "_range", "_copies"]
+
+
+def test_columns_of_any_name_are_kept(spark):
+    rows = [(i, prose(9 + i, i), "ab"[i % 2], *range(100 * i, 100 * i + len(CLASHING))) for i in range(12)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "source", *CLASHING])
+    sharded = sharding.assign(df, sharding.ShardParams(shards=3))
+    assert sharded.columns == [*df.columns, "shard", "slot"]
+    assert sorted(tuple(r)[:-2] for r in sharded.collect()) == rows
+    mixed = mixing.mix(df, mixing.MixParams(min_block_words=8))
+    assert mixed.columns == [*df.columns, "mix_shard", "mix_copy"]
+    whole = {r[0]: r for r in rows}
+    got = mixed.collect()
+    assert got and all(tuple(r)[2:-2] == whole[r.doc_id][2:] and whole[r.doc_id][1].startswith(r.text) for r in got)
+    planned = mixing.plan(mixing.measured(df.drop("_size", "_copies", "_total", "_text_key")))
+    assert all(r._key == whole[r.doc_id][3 + CLASHING.index("_key")] for r in planned.collect())
+
+
+def test_large_copies_are_spread_by_bytes(spark):
+    df = spark.range(60).select(F.lit(1).cast("long").alias("doc_id"), F.expr("repeat('long text ', 500)").alias("text"))
+    params = sharding.ShardParams(shards=4, bucket_bytes=20_000)
+    assert sharding.scatter(df, params, 16).groupBy("_b").count().count() > 8
+    check_shards(sharding.assign(df, params).collect(), 4)
+
+
+def test_offsets_over_groups_of_buckets(spark):
+    df = spark.range(500).select((F.col("id") * F.col("id") % 37).cast("int").alias("_b"))
+    got = {r._b: r._before for r in sharding.offsets(df, group=5).collect()}
+    of = collections.Counter(r._b for r in df.collect())
+    assert got == {b: sum(n for k, n in of.items() if k < b) for b in of}
+
+
 def plain_targets(totals, weights=(5, 2, 1), repeats=3):
     """Water filling by rounds."""
     w = [weights[i % len(weights)] for i in range(len(totals))]
