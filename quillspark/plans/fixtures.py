@@ -1,7 +1,8 @@
 """An element relation derived from `documents`, in SQL that Spark and DuckDB both run.
 
 Natural prose hardly ever needs a repair, so each line becomes an element whose
-content is one of 24 forms, by arithmetic on its ids.
+content is one of 24 forms, by arithmetic on its ids: whole lines, or short
+texts of which many hold the line's first word.
 """
 
 from __future__ import annotations
@@ -24,11 +25,11 @@ FROM (SELECT doc_id, CAST(floor(line_no / 25) AS BIGINT) + 1 AS page_no, line_no
   WHEN 10 THEN 'BRANDS) listed' WHEN 11 THEN concat(w, ' ', w, ' again.')
   WHEN 12 THEN concat('RECEIVED BY: John Smith DATE: ', m) WHEN 13 THEN CAST(g % 100 AS STRING)
   WHEN 14 THEN '///' WHEN 15 THEN 'x' WHEN 16 THEN '1998' WHEN 17 THEN 'Company Inc.'
-  WHEN 18 THEN '12345-6789' WHEN 19 THEN 'DEPARTMENT .' ELSE substr(line, 1, 60) END END AS content,
+  WHEN 18 THEN '12345-6789' WHEN 19 THEN 'DEPARTMENT .' ELSE line END END AS content,
  CAST(CASE WHEN doc_id % 7 = 0 AND (line_no % 25) % 3 = 2 THEN 100 WHEN g % 29 = 0 THEN 950 ELSE 40 + ((g * 7) % 5) * 110 END AS DOUBLE) AS x1,
  CAST(30 + (line_no % 25) * 24 + g % 3 AS DOUBLE) AS y1, CAST((g * 37) % 101 AS DOUBLE) / 100 AS confidence,
  CASE WHEN (g + doc_id) % 3 = 0 OR doc_id % 11 = 0 THEN 'trocr' ELSE 'surya' END AS source_model
-FROM (SELECT doc_id, line_no, line, doc_id * 31 + line_no * 17 AS g, substr(concat(line, ' word'), 1, 12) AS w,
+FROM (SELECT doc_id, line_no, line, doc_id * 31 + line_no * 17 AS g, split_part(concat(line, ' word'), ' ', 1) AS w,
   CAST(200 + (doc_id * 7 + line_no) % 700 AS STRING) AS a, CAST(1000 + (doc_id * 13 + line_no * 3) % 9000 AS STRING) AS b,
   CAST((doc_id + line_no) % 14 AS STRING) AS m, CAST((doc_id * 3 + line_no) % 33 AS STRING) AS dd FROM lines) q1) q2
 """

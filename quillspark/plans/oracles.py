@@ -108,13 +108,14 @@ add("n9_duplicate_words", f"SELECT {K}, {_t} AS deduplicated, {_n}::INT AS remov
 
 def cased(shape: str, text: str) -> str:
     a, b = words(shape), words(text)
-    letters = lambda v: f"regexp_replace({v}, '[^A-Za-z]', '', 'g')"
-    by_word = f"array_to_string(list_transform(range(1, len({a}) + 1), lambda i: CASE WHEN {has(letters(f'({a})[i]'), '^[A-Z]+$')} THEN upper(({b})[i]) ELSE ({b})[i] END), ' ')"
-    share = f"length(regexp_replace({shape}, '[^A-Z]', '', 'g')) / nullif(length({letters(shape)}), 0)"
-    return f"CASE WHEN len({a}) = 0 THEN {text} WHEN len({a}) = len({b}) THEN {by_word} WHEN {share} >= 0.70 THEN upper({text}) ELSE {text} END"
+    upper = lambda v: f"upper(replace({v}, 'ß', 'SS'))"
+    letters = lambda v: sub(v, r"[^\p{L}]", "")
+    by_word = f"array_to_string(list_transform(range(1, len({a}) + 1), lambda i: CASE WHEN {has(letters(f'({a})[i]'), '^' + chr(92) + 'p{Lu}+$')} THEN {upper(f'({b})[i]')} ELSE ({b})[i] END), ' ')"
+    share = f"length({sub(shape, '[^' + chr(92) + 'p{Lu}]', '')}) / nullif(length({letters(shape)}), 0)"
+    return f"CASE WHEN len({a}) = 0 THEN {text} WHEN len({a}) = len({b}) THEN {by_word} WHEN {share} >= 0.70 THEN {upper(text)} ELSE {text} END"
 
 
-add("n10_case_transfer", f"SELECT {K}, {cased('content', 'r')} AS cased FROM (SELECT *, CASE WHEN g % 4 = 0 THEN lower(content) || ' extra' ELSE lower(content) END AS r FROM texts WHERE NOT {has('content', '[^' + chr(92) + 'x00-' + chr(92) + 'x7F]')}) q")
+add("n10_case_transfer", f"SELECT {K}, {cased('content', 'r')} AS cased FROM (SELECT *, CASE WHEN g % 4 = 0 THEN lower(content) || ' extra' ELSE lower(content) END AS r FROM texts) q")
 
 # --- geometry
 
@@ -365,7 +366,7 @@ add(
     f"SELECT {K}, region_type, route, CASE WHEN take THEN CASE WHEN route = 'ensemble' THEN {cased('text', 'spaced')} ELSE spaced END ELSE text END AS content, CASE WHEN take THEN 'trocr' ELSE 'surya' END AS source_model, doc_id % 2 = 0 AND y1 / 600.0 >= 0.8 AS in_signature_region FROM ("
     f"SELECT *, CASE route WHEN 'handwriting' THEN readable AND hw >= 0.15 WHEN 'ensemble' THEN CASE WHEN region_type = 'signature' THEN readable AND hw > confidence AND hw >= 0.9 ELSE readable AND hw > confidence END ELSE FALSE END AS take FROM ("
     f"SELECT *, CASE WHEN region_type IS NOT NULL THEN 'ensemble' WHEN doc_id % 3 = 2 AND sure >= 0.45 THEN 'handwriting' WHEN doc_id % 3 = 1 OR sure < 0.45 THEN 'ensemble' WHEN doc_id % 3 = 0 AND confidence < 0.6 AND {strip('text')} <> '' THEN 'handwriting' ELSE 'print' END AS route, {strip(_re2_spaced)} AS spaced, {strip('lower(text)')} <> '' AS readable FROM ("
-    f"SELECT {K}, content AS text, confidence, y1, ((g * 53) % 101)::DOUBLE / 100 AS hw, [0.3, 0.5, 0.7, 0.9][doc_id % 4 + 1] AS sure, CASE WHEN EXISTS (SELECT 1 FROM elements s WHERE s.type = 'signature' AND s.doc_id = e.doc_id AND s.page_no = e.page_no AND {touching('e.', 's.')}) THEN 'signature' END AS region_type FROM texts e WHERE NOT {has('content', '[^' + chr(92) + 'x00-' + chr(92) + 'x7F]')}) a) b "
+    f"SELECT {K}, content AS text, confidence, y1, ((g * 53) % 101)::DOUBLE / 100 AS hw, [0.3, 0.5, 0.7, 0.9][doc_id % 4 + 1] AS sure, CASE WHEN EXISTS (SELECT 1 FROM elements s WHERE s.type = 'signature' AND s.doc_id = e.doc_id AND s.page_no = e.page_no AND {touching('e.', 's.')}) THEN 'signature' END AS region_type FROM texts e) a) b "
     "WHERE confidence >= CASE WHEN region_type IS NOT NULL THEN 0.15 ELSE 0.4 END) c",
 )
 add("r8_page_text", f"SELECT doc_id, page_no, md5(t) AS text_md5, length({strip('t')}) > 20 AS long_enough FROM (SELECT doc_id, page_no, string_agg(content, ' ' ORDER BY elem_idx) AS t FROM texts GROUP BY ALL) q")
@@ -401,12 +402,25 @@ SELECT k AS o_orderkey, round(sc, 6) AS typed_score, CASE WHEN sc IS NULL THEN '
  round(CASE WHEN sc IS NULL THEN 0.3 WHEN sc >= 0.65 THEN least(sc, 0.95) WHEN sc <= 0.45 THEN least(1.0 - sc, 0.95) ELSE 0.5 END, 6) AS confidence FROM s"""
 _punct = PUNCTUATION.replace("'", "''")
 _chars = lambda x, flex: f"translate(replace(lower({x}), ' ', ''), '{_punct}', '')" if flex else f"replace(lower({x}), ' ', '')"
-_cer = lambda flex: f"round(CASE WHEN length({_chars('truth', flex)}) = 0 THEN 0.0 ELSE levenshtein({_chars('truth', flex)}, {_chars('heard', flex)})::DOUBLE / length({_chars('truth', flex)}) END, 9)"
+
+
+def coded(x: str) -> str:
+    """x, in lower case, with a free byte for each other character than ASCII: the distance is one of bytes here."""
+    return f"translate({x}, (SELECT from_ FROM codes), (SELECT to_ FROM codes))"
+
+
+def cer(flex: bool) -> str:
+    t, h = ("ft", "fh") if flex else ("st", "sh")
+    return f"round(CASE WHEN length({t}) = 0 THEN 0.0 ELSE levenshtein({coded(t)}, {coded(h)})::DOUBLE / length({t}) END, 9)"
+
+
 ORACLES["e_character_metrics"] = rf"""
-WITH l AS ({"SELECT doc_id, i - 1 AS line_no, a[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE lang = 'en') q, unnest(range(1, len(a) + 1)) t(i)"}),
- t AS (SELECT doc_id, line_no, {sub('line', '[^' + chr(92) + 'x20-' + chr(92) + 'x7E]', '')} AS truth FROM l),
- p AS (SELECT *, CASE WHEN line_no % 2 = 0 THEN regexp_replace(translate(truth, 'eo.', 'co,'), '^\S+\s+', '') ELSE translate(truth, 'eo.', 'co,') END AS heard FROM t)
-SELECT doc_id, line_no, {_cer(False)} AS strict_cer, {_cer(True)} AS flexible_cer, len({words('lower(truth)')})::INT AS total_ref_words, length({_chars('truth', False)})::INT AS total_ref_chars FROM p"""
+WITH t AS (SELECT doc_id, i - 1 AS line_no, a[i] AS truth FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents) q, unnest(range(1, len(a) + 1)) t(i)),
+ p AS (SELECT *, CASE WHEN line_no % 2 = 0 THEN regexp_replace(translate(truth, 'eo.', 'co,'), '^\S+\s+', '') ELSE translate(truth, 'eo.', 'co,') END AS heard FROM t),
+ others AS (SELECT v, row_number() OVER (ORDER BY v) AS n FROM (SELECT DISTINCT unnest(string_split(regexp_replace(lower(text), '[\x00-\x7F]', '', 'g'), '')) AS v FROM documents) q WHERE v <> ''),
+ codes AS (SELECT coalesce(string_agg(v, '' ORDER BY n), '') AS from_, coalesce(string_agg(chr((CASE WHEN n <= 26 THEN 64 + n WHEN n <= 34 THEN n - 26 ELSE n - 21 END)::INT), '' ORDER BY n), '') AS to_ FROM others),
+ c AS (SELECT *, {_chars('truth', False)} AS st, {_chars('heard', False)} AS sh, {_chars('truth', True)} AS ft, {_chars('heard', True)} AS fh FROM p)
+SELECT doc_id, line_no, {cer(False)} AS strict_cer, {cer(True)} AS flexible_cer, len({words('lower(truth)')})::INT AS total_ref_words, length(st)::INT AS total_ref_chars FROM c"""
 add(
     "v_display",
     "SELECT doc_id, CASE WHEN type = 'text' AND source_model = 'trocr' THEN 'text_trocr' ELSE type END AS kind, CASE WHEN confidence >= 0.40 THEN '#ff3232' WHEN type = 'text' AND source_model = 'trocr' THEN '#ff8c00' ELSE CASE type WHEN 'text' THEN '#1e90ff' WHEN 'table' THEN '#0064c8' WHEN 'signature' THEN '#9400d3' WHEN 'logo' THEN '#00b4b4' WHEN 'layout_region' THEN '#b4b4b4' ELSE '#c8c8c8' END END AS colour, count(*) AS n FROM elements GROUP BY ALL",

@@ -81,8 +81,7 @@ def n9_duplicate_words(spark, d):
 def n10_case_transfer(spark, d):
     """A reading in lower case takes the capitals of the print reading; on every fourth line it has one word more."""
     read = F.when(F.col("g") % 4 == 0, F.concat(F.lower("content"), F.lit(" extra"))).otherwise(F.lower("content"))
-    ascii_only = _texts(spark, d).where(~F.col("content").rlike("[^\\x00-\\x7F]"))
-    return ascii_only.select(*KEY, tx.transfer_case(F.col("content"), read).alias("cased"))
+    return _texts(spark, d).select(*KEY, tx.transfer_case(F.col("content"), read).alias("cased"))
 
 
 # --- geometry
@@ -340,7 +339,6 @@ def r_route_lines(spark, d):
     e = elements(spark, d)
     found = e.where("type = 'signature'").select(*PAGE, F.lit(0).alias("region_idx"), F.lit("signature").alias("type"), "x1", "y1", "x2", "y2")
     lines = e.where("type = 'text'").select(*KEY, F.col("content").alias("text"), "x1", "y1", "x2", "y2", "confidence", "g")
-    lines = lines.where(~F.col("text").rlike("[^\\x00-\\x7F]"))
     lines = routing.line_regions(lines, found)
     sure = F.element_at(F.array(*map(F.lit, (0.3, 0.5, 0.7, 0.9))), (F.col("doc_id") % 4 + 1).cast("int"))
     lines = _typed(lines).withColumns({"hw_text": F.lower("text"), "hw_conf": ((F.col("g") * 53) % 101).cast("double") / 100, "document_confidence": sure, "has_signature": F.col("doc_id") % 2 == 0, "page_height": F.lit(600.0)})
@@ -413,9 +411,9 @@ def c_page_class(spark, d):
 
 
 def _pairs(spark, d) -> DataFrame:
-    """Every line of the English documents, and the same with letters misread and, on even lines, a word lost."""
-    lines = _read(spark, d, "documents").where("lang = 'en'").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    t = lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.regexp_replace("line", "[^\\x20-\\x7E]", "").alias("truth"))
+    """Every line of the documents, and the same with letters misread and, on even lines, a word lost."""
+    lines = _read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "truth"))
+    t = lines.withColumn("line_no", F.col("line_no").cast("long"))
     heard = F.translate("truth", "eo.", "co,")
     return t.withColumn("heard", F.when(F.col("line_no") % 2 == 0, F.regexp_replace(heard, "^\\S+\\s+", "")).otherwise(heard))
 
@@ -488,8 +486,8 @@ def v_display(spark, d):
 
 @query
 def postprocess_all(spark, d):
-    """All steps but spelling, flattened."""
-    p = pipeline.postprocess(_typed(_with_structure(elements(spark, d))))
+    """All steps, flattened."""
+    p = pipeline.postprocess(_typed(_with_structure(elements(spark, d))), spelling.vocabulary_of(_read(spark, d, "documents")))
     return p.select(*KEY, "type", "content", "document_type", "structure_score", "hallucination_score", "num_rows", "num_columns", "normalized_phone", "phone_type", F.col("date_validation.status").alias("date_status"), F.col("phone_validation.status").alias("phone_status"))
 
 
