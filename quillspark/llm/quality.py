@@ -6,9 +6,13 @@ language.  Spark counts the highest order over all texts, with partial sums in
 each task; lower orders' continuation counts, discounts and probabilities are
 DataFrame aggregations and joins of those counts.  What scoring needs is stored
 in sorted arrays of 64-bit hashes of language and n-gram, broadcast to the
-workers.  Byte n-grams saturate, so the arrays grow far slower than the corpus;
-their size is checked all the same, and where all languages together have more
-than `max_entries`, languages are scored in groups, each with its own broadcast.
+workers.  Documents are scored by the model of all of them, so only the highest
+order is looked up, every n-gram being known.  Byte n-grams saturate, so the
+arrays grow far slower than the corpus; their size is checked all the same, and
+where all languages together have more than `max_entries`, languages are scored
+in groups, each with its own broadcast, and a larger language in parts of its
+n-grams, whose sums are added up by document.  The driver holds one of these
+broadcasts at a time.
 
 A document's perplexity is compared with its language's band: the median of the
 log perplexities of that language's documents, give or take `width` times their
@@ -26,14 +30,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quillspark.llm._io import Table
+from quillspark.llm._io import Table, fresh, position
 from quillspark.llm._vec import LOWER, SEPARATORS, U64, Words, buffers, chunks, distinct, grams, mix64, sum_ranges, text_sums
 
 
@@ -254,82 +261,136 @@ def collect(entries: DataFrame, order: int) -> PerplexityModel:
     return PerplexityModel(order, keys, values)
 
 
-def score(model: PerplexityModel, name: str | None, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log10 perplexity or NaN, n-grams) of each text."""
+def models(docs: DataFrame, params: QualityParams = QualityParams()) -> list[tuple[None, PerplexityModel]]:
+    """The whole model of docs with all orders, for any text; it is collected, so this is for corpora of at most max_entries."""
+    entries = Table(estimate(count(docs, params), params), "model").df
+    if entries.count() > params.max_entries:
+        raise ValueError(f"the model has more than {params.max_entries} entries")
+    return [(None, collect(entries, params.order))]
+
+
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+_SPREAD = 1_000_003
+
+
+@dataclass
+class Part:
+    """A broadcast model for the languages in group (None: all) and, of parts, the n-grams of one."""
+
+    group: frozenset[int] | None
+    part: int
+    parts: int
+    shared: Broadcast
+
+
+def fit(docs: DataFrame, params: QualityParams = QualityParams()) -> list[Part]:
+    """The model of docs for scoring docs: the highest order's probabilities, in broadcasts of at most max_entries."""
+    entries = Table(estimate(count(docs, params), params), "model").df.where(F.col("order") == params.order)
+    sizes = entries.groupBy("lang").agg(F.count("*").alias("n"))
+    plans: list[tuple[frozenset[int] | None, int, int]] = []
+    if (sizes.agg(F.sum("n")).first()[0] or 0) <= params.max_entries:
+        plans = [(None, 0, 1)]
+    else:
+        held = 0
+        for r in sizes.orderBy("n", "lang").toLocalIterator():
+            parts = -(-r["n"] // params.max_entries)
+            if parts > 1:
+                plans += [(frozenset([r["lang"]]), j, parts) for j in range(parts)]
+            elif plans and held + r["n"] <= params.max_entries:
+                plans[-1], held = (plans[-1][0] | {r["lang"]}, 0, 1), held + r["n"]
+            else:
+                plans, held = [*plans, (frozenset([r["lang"]]), 0, 1)], r["n"]
+    out = []
+    for group, part, parts in plans:
+        mine = entries if group is None else entries.where(F.col("lang").isin(*group))
+        mine = mine.where(F.col("gram") % _SPREAD % parts == part) if parts > 1 else mine
+        out.append(Part(group, part, parts, docs.sparkSession.sparkContext.broadcast(collect(mine, params.order))))
+    return out
+
+
+def _log_sums(p: Part, name: str | None, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of log10 probabilities of each text's n-grams in this part, and the number of all its n-grams."""
+    model = p.shared.value
     key, first = packed(data, offsets, model.order)
-    n = np.diff(first)
     if not len(key):
-        return np.full(len(n), np.nan), n
+        return np.zeros(len(first) - 1), np.diff(first)
     values, inverse = distinct(key, 8 * model.order)
-    total = sum_ranges(model.log10(language_hash(name), values)[inverse], first)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return np.where(n > 0, -total / n, np.nan), n
+    here = (values % U64(_SPREAD) % U64(p.parts)).astype(np.int64) == p.part
+    known, found = model.find(model.order, language_hash(name), values[here])
+    if not known.all():
+        raise RuntimeError("the documents changed between counting and scoring")
+    log = np.zeros(len(values))
+    log[here] = found
+    return sum_ranges(log[inverse], first), np.diff(first)
 
 
-def models(docs: DataFrame, params: QualityParams = QualityParams()) -> list[tuple[list[int] | None, PerplexityModel]]:
-    """Fit on docs; one (language hashes, model) for each group of languages, None for all of them at once."""
-    entries = Table(estimate(count(docs, params), params), "model").df
-    sizes = entries.groupBy("lang").agg(F.count("*").alias("n"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    if total <= params.max_entries:
-        return [(None, collect(entries, params.order))]
-    groups: list[tuple[list[int], int]] = []
-    for r in sizes.orderBy("n", "lang").toLocalIterator():
-        if groups and groups[-1][1] + r["n"] <= params.max_entries:
-            groups[-1] = ([*groups[-1][0], r["lang"]], groups[-1][1] + r["n"])
-        else:
-            groups.append(([r["lang"]], r["n"]))
-    return [(g, collect(entries.where(F.col("lang").isin(g)), params.order)) for g, _ in groups]
+MEASURED = "rid long, doc_id long, lang string, " + ", ".join(f"{s} long" for s in STATS) + ", base_failed boolean, log_ppl double"
 
 
-STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+def _failed(s: dict[str, np.ndarray], params: QualityParams) -> np.ndarray:
+    return (s["n_words"] < params.min_words) | (100 * s["n_repeat_words"] > params.max_repeat_percent * s["n_words"])
 
 
-def measure(docs: DataFrame, fitted: list[tuple[list[int] | None, PerplexityModel]], bands: dict[str | None, tuple[float, float]] | None = None, params: QualityParams = QualityParams()) -> DataFrame:
-    """doc_id, lang, the statistics, base_failed, log_ppl; with bands, instead the columns of docs for the rows that pass."""
-    context = docs.sparkSession.sparkContext
-    whole = bands is not None
-    base = docs if whole else docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
-    at_lang, at_text = base.columns.index("lang"), base.columns.index("text")
-    schema = base.schema if whole else "doc_id long, lang string, " + ", ".join(f"{s} long" for s in STATS) + ", base_failed boolean, log_ppl double"
-    out = None
-    for group, model in fitted:
-        shared = context.broadcast(model)
+def _measured(p: Part, name: str | None, texts: pa.Array, params: QualityParams) -> dict[str, np.ndarray]:
+    data, offsets = buffers(texts)
+    parts = []
+    for _, _, raw, offs in chunks(data, offsets):
+        s = statistics(raw, offs)
+        total, n = _log_sums(p, name, raw, offs)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            s["log_ppl"] = np.where(n > 0, -total / n, np.nan)
+        parts.append(s)
+    s = {k: np.concatenate([x[k] for x in parts]) for k in parts[0]}
+    return s | {"failed": _failed(s, params)}
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, group=group) -> Iterator[pa.RecordBatch]:
+
+def measure(docs: DataFrame, fitted: list[Part], params: QualityParams = QualityParams()) -> DataFrame:
+    """rid, doc_id, lang, the statistics, base_failed, log_ppl of each row; rid numbers the rows of docs as they are read."""
+    base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
+    out = []
+    for p in fitted:
+
+        def run(batches: Iterator[pa.RecordBatch], p=p) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for name, rows, texts in by_language(batch.column(at_lang).cast(pa.string()), batch.column(at_text)):
-                    if group is not None and language_hash(name) not in group:
+                for name, rows, texts in by_language(batch.column(2), batch.column(3)):
+                    if p.group is not None and language_hash(name) not in p.group:
                         continue
-                    data, offsets = buffers(texts)
-                    parts = []
-                    for _, _, raw, offs in chunks(data, offsets):
-                        s = statistics(raw, offs)
-                        s["log_ppl"] = score(shared.value, name, raw, offs)[0]
-                        parts.append(s)
-                    s = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-                    failed = (s["n_words"] < params.min_words) | (100 * s["n_repeat_words"] > params.max_repeat_percent * s["n_words"])
-                    if whole:
-                        mid, half = bands.get(name, (0.0, np.inf))
-                        slack = half * np.sqrt(1 + params.short_words / np.maximum(s["n_words"], 1))
-                        ok = ~failed & ~(np.abs(s["log_ppl"] - mid) > slack)
-                        if ok.any():
-                            yield batch.take(pa.array(rows[ok]))
-                        continue
-                    ids = batch.column(0).take(pa.array(rows))
+                    s = _measured(p, name, texts, params)
+                    at = pa.array(rows)
                     ppl = pa.array(s["log_ppl"], pa.float64(), mask=np.isnan(s["log_ppl"]))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array([name] * len(rows), pa.string()), *[pa.array(s[k].astype(np.int64)) for k in STATS], pa.array(failed), ppl], names=["doc_id", "lang", *STATS, "base_failed", "log_ppl"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([name] * len(rows), pa.string()), *[pa.array(s[k].astype(np.int64)) for k in STATS], pa.array(s["failed"]), ppl], names=["rid", "doc_id", "lang", *STATS, "base_failed", "log_ppl"])
 
-        part = base.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+        out.append((p.parts, base.mapInArrow(run, MEASURED)))
+    names = [c.split()[0] for c in MEASURED.split(", ")]
+    whole = [d for parts, d in out if parts == 1]
+    split = [d for parts, d in out if parts > 1]
+    if split:
+        # Each part has its share of a document's sum; the rest of the row is the same in all.
+        some = reduce(DataFrame.unionByName, split)
+        some = some.groupBy("rid").agg(*[F.first(c).alias(c) for c in names[1:-1]], F.sum("log_ppl").alias("log_ppl"))
+        whole.append(some.select(*names))
+    return reduce(DataFrame.unionByName, whole)
 
 
 def bands_of(measured: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
-    """(lang, mid, half): each language's band of log10 perplexity, from all documents of enough words."""
-    q = measured.where(f"log_ppl is not null and n_words >= {params.min_words}").groupBy("lang").agg(F.percentile_approx("log_ppl", [0.25, 0.5, 0.75], 10_000).alias("q"))
-    half = F.greatest(F.lit(params.least_width), params.width * (F.col("q")[2] - F.col("q")[0]))
-    return q.select("lang", F.col("q")[1].alias("mid"), half.alias("half"))
+    """(lang, mid, half): each language's band of log10 perplexity, from all documents of enough words.
+
+    Quartiles to nine digits, from counts: of coarse bins, then of the values within those that hold a quartile.
+    """
+    m = measured.where(f"log_ppl is not null and n_words >= {params.min_words}").select("lang", F.floor(F.col("log_ppl") * 10_000).alias("bin"), F.round("log_ppl", 9).alias("v"))
+    up_to = lambda by, order: F.sum("c").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    bins = m.groupBy("lang", "bin").agg(F.count("*").alias("c"))
+    bins = bins.withColumn("n", F.sum("c").over(Window.partitionBy("lang"))).withColumn("top", up_to(["lang"], "bin"))
+    ranks = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.greatest(F.lit(1), F.ceil(q * F.col("n"))).alias("rank")) for q in (0.25, 0.5, 0.75)]))
+    hit = bins.select("lang", "bin", "c", "top", ranks.alias("r")).where("r.rank <= top and r.rank > top - c")
+    hit = Table(hit.select(F.col("lang").alias("l"), F.col("bin").alias("b"), "r.q", (F.col("r.rank") - F.col("top") + F.col("c")).alias("rank")), "quartiles").df
+    wanted = hit.select("l", "b").distinct()
+    fine = m.join(wanted, F.col("lang").eqNullSafe(F.col("l")) & (F.col("bin") == F.col("b")), "left_semi").groupBy("lang", "bin", "v").agg(F.count("*").alias("c"))
+    fine = fine.withColumn("top", up_to(["lang", "bin"], "v"))
+    found = fine.join(hit, F.col("lang").eqNullSafe(F.col("l")) & (F.col("bin") == F.col("b"))).where("rank <= top and rank > top - c")
+    at = lambda q: F.max(F.when(F.col("q") == q, F.col("v")))
+    half = F.greatest(F.lit(params.least_width), params.width * (at(0.75) - at(0.25)))
+    return found.groupBy("lang").agg(at(0.5).alias("mid"), half.alias("half"))
 
 
 def inside_band(params: QualityParams = QualityParams()) -> Column:
@@ -337,18 +398,45 @@ def inside_band(params: QualityParams = QualityParams()) -> Column:
     return F.coalesce(F.abs(F.col("log_ppl") - F.col("mid")) <= slack, F.lit(True))
 
 
-def judge(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
-    """One row a document: the statistics, base_failed, log_ppl, the band (mid, half) and kept."""
-    measured = Table(measure(docs, models(docs, params), None, params), "measured").df
+def _judged(docs: DataFrame, fitted: list[Part], params: QualityParams) -> DataFrame:
+    measured = Table(measure(docs, fitted, params), "measured").df
     bands = Table(bands_of(measured, params), "bands").df
     small = bands.count() <= 100_000
     found = measured.join(F.broadcast(bands) if small else bands, measured["lang"].eqNullSafe(bands["lang"]), "left").drop(bands["lang"])
     return found.withColumn("kept", ~F.col("base_failed") & inside_band(params))
 
 
+def judge(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
+    """One row a document: the statistics, base_failed, log_ppl, the band (mid, half) and kept."""
+    return _judged(docs, fit(docs, params), params).drop("rid")
+
+
 def keep(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
     """The rows of docs that pass, with all their columns."""
-    fitted = models(docs, params)
-    bands = bands_of(Table(measure(docs, fitted, None, params), "measured").df, params)
-    known = {r["lang"]: (r["mid"], r["half"]) for r in bands.toLocalIterator()}
-    return measure(docs, fitted, known, params)
+    fitted = fit(docs, params)
+    judged = _judged(docs, fitted, params)
+    if any(p.parts > 1 for p in fitted):
+        (rid,) = fresh(docs.columns, "rid")
+        passed = judged.where("kept").select(F.col("rid").alias(rid))
+        return docs.withColumn(rid, F.monotonically_increasing_id()).join(passed, rid, "left_semi").drop(rid)
+    known = {r["lang"]: (r["mid"], r["half"]) for r in judged.select("lang", "mid", "half").where("mid is not null").distinct().toLocalIterator()}
+    names = docs.columns
+    at_lang, at_text = position(names, "lang"), position(names, "text")
+    out = []
+    # Each row is measured again rather than shuffled with its text.
+    for p in fitted:
+
+        def run(batches: Iterator[pa.RecordBatch], p=p) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for name, rows, texts in by_language(batch.column(at_lang).cast(pa.string()), batch.column(at_text).cast(pa.string())):
+                    if p.group is not None and language_hash(name) not in p.group:
+                        continue
+                    s = _measured(p, name, texts, params)
+                    mid, half = known.get(name, (0.0, np.inf))
+                    slack = half * np.sqrt(1 + params.short_words / np.maximum(s["n_words"], 1))
+                    ok = ~s["failed"] & ~(np.abs(s["log_ppl"] - mid) > slack)
+                    if ok.any():
+                        yield batch.take(pa.array(rows[ok]))
+
+        out.append(docs.mapInArrow(run, docs.schema))
+    return reduce(DataFrame.unionByName, out)

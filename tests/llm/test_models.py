@@ -141,8 +141,29 @@ def test_bands_reject_gibberish_and_keep_prose(spark):
     assert not got[900].kept and not got[900].base_failed and sum(r.kept for r in got.values()) >= 148
     kept = {r.doc_id for r in quality.keep(docs).collect()}
     assert kept == {i for i, r in got.items() if r.kept}
-    grouped = quality.QualityParams(max_entries=1)
-    assert {r.doc_id for r in quality.keep(docs, grouped).collect()} == kept
+    for most in (1500, 10**5):
+        mixed = docs.unionByName(docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "de")).withColumn("doc_id", F.col("doc_id") + 1000))
+        grouped = quality.QualityParams(max_entries=most)
+        whole = {r.doc_id: r for r in quality.judge(mixed).collect()}
+        parts = {r.doc_id: r for r in quality.judge(mixed, grouped).collect()}
+        assert whole.keys() == parts.keys() and all(w.kept == parts[i].kept and abs(w.log_ppl - parts[i].log_ppl) < 1e-9 for i, w in whole.items())
+        assert {r.doc_id for r in quality.keep(mixed, grouped).collect()} == {i for i, r in whole.items() if r.kept}
+
+
+def test_quartiles_equal_sorted_values(spark):
+    rng = np.random.default_rng(5)
+    rows = [(lang, float(v), 60) for lang, n in (("a", 1), ("b", 2), ("c", 501), (None, 40)) for v in np.round(rng.normal(1.0, 0.0001 if lang == "c" else 0.1, n), 12)]
+    rows += [("c", 9.0, 49), ("d", None, 60)]
+    p = quality.QualityParams()
+    got = {r.lang: (r.mid, r.half) for r in quality.bands_of(spark.createDataFrame(rows, "lang string, log_ppl double, n_words long"), p).collect()}
+    by = collections.defaultdict(list)
+    for lang, v, n in rows:
+        if v is not None and n >= p.min_words:
+            by[lang].append(v)
+    assert got.keys() == by.keys()
+    for lang, v in by.items():
+        at = lambda q: sorted(v)[max(0, math.ceil(q * len(v)) - 1)]
+        assert abs(got[lang][0] - at(0.5)) < 2e-9 and abs(got[lang][1] - max(p.least_width, p.width * (at(0.75) - at(0.25)))) < 1e-8
 
 
 def test_quality_edge_cases(hard_docs, empty_docs):
