@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _ours: dict[str, str] = {}
@@ -75,6 +75,13 @@ class Table:
         delete(self.spark, self.path)
 
 
+def spread(text: Column, limit: int, pieces: int = 32) -> Column:
+    """The text, or of one of more than limit characters that many, in pieces at equal distances from its start to its end."""
+    size = max(1, limit // pieces)
+    at = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.substring(text, (1 + F.floor((F.length(text) - size) * i / (pieces - 1))).cast("int"), F.lit(size)))
+    return F.when(F.length(text) > limit, F.array_join(at, "\n")).otherwise(text)
+
+
 def text_bytes(df: DataFrame) -> int:
     """UTF-8 bytes of the texts, and some for each row, by a scan; a plan's own estimate may be off without bound."""
     got = df.agg(F.sum(F.octet_length("text").cast("long")), F.count("*")).first()

@@ -7,8 +7,12 @@ are clustered (spherical k-means) into several centroids; a text gets the
 language of the centroid with the largest cosine.  Texts further from every
 centroid than almost all training texts were from their own are rejected.
 
-Training reads a sample of at most `max_docs` texts a language, and at most
-`max_doc_bytes` bytes of each; prediction reads every text whole.
+Training reads a sample of at most `max_docs` texts a language, whole ones or,
+of texts of more than `max_doc_chars` characters, pieces from all over them.  It
+runs in one task a language, so neither texts nor vectors come to the driver.
+There may be any number of languages: their centroids are broadcast in blocks of
+`block_languages`, and a text is compared with one block after the other.
+Prediction reads every text whole.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; a
 rejected text is `und` in `language`, and keeps its nearest language in
@@ -28,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from quillspark.llm._io import Table, position, spread
 from quillspark.llm._vec import LOWER, buffers, chunks
 
 UNKNOWN = "und"
@@ -38,14 +43,16 @@ class LanguageParams:
     dims: int = 8192
     centroids: int = 4
     max_docs: int = 400
-    max_doc_bytes: int = 8000
-    max_languages: int = 500
+    max_doc_chars: int = 8000
+    block_languages: int = 256
     reject_quantile: float = 0.002
     rounds: int = 12
 
 
 @dataclass
 class LanguageModel:
+    """A block of languages, ascending, their centroids and to which language each belongs; idf and limit are those of all blocks."""
+
     params: LanguageParams
     languages: list[str]
     idf: np.ndarray
@@ -102,40 +109,100 @@ def _clusters(v: np.ndarray, k: int, rounds: int) -> np.ndarray:
     return centre
 
 
-def train(texts: Sequence[str | None], languages: Sequence[str], params: LanguageParams = LanguageParams()) -> LanguageModel:
-    raw = [(t or "").encode("utf-8", "replace")[: params.max_doc_bytes] for t in texts]
+def _counts_of(texts: Sequence[str | None], dims: int) -> np.ndarray:
+    raw = [(t or "").encode("utf-8", "replace") for t in texts]
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    c = np.concatenate([counts(d, o, params.dims) for _, _, d, o in chunks(data, offsets)]) if raw else np.zeros((0, params.dims), np.float32)
-    labels = np.array(languages, dtype=object)
-    used = c.sum(1) > 0
-    c, labels = c[used], labels[used]
-    idf = (np.log((1 + len(c)) / (1 + (c > 0).sum(0))) + 1).astype(np.float32)
+    c = [counts(d, o, dims) for _, _, d, o in chunks(np.frombuffer(b"".join(raw), np.uint8), offsets)]
+    c = np.concatenate(c) if c else np.zeros((0, dims), np.float32)
+    return c[c.sum(1) > 0]
+
+
+def _idf(texts: int, having: np.ndarray) -> np.ndarray:
+    return (np.log((1 + texts) / (1 + having)) + 1).astype(np.float32)
+
+
+def _centroids(c: np.ndarray, idf: np.ndarray, params: LanguageParams) -> tuple[np.ndarray, np.ndarray]:
+    """A language's centroids, and its texts' cosines with the nearest of them."""
     v = _vectors(c, idf)
-    names = sorted(set(labels.tolist()))
-    centres, owner, own = [], [], []
-    for i, name in enumerate(names):
-        mine = v[labels == name]
-        k = _clusters(mine, params.centroids, params.rounds)
-        centres.append(k)
-        owner += [i] * len(k)
-        own.append((mine @ k.T).max(1))
-    limit = float(np.quantile(np.concatenate(own), params.reject_quantile)) * 0.8 if own else 0.0
-    return LanguageModel(params, names, idf, np.concatenate(centres).astype(np.float32) if centres else np.zeros((0, params.dims), np.float32), np.array(owner, int), limit)
-
-
-def labelled_sample(docs: DataFrame, trainable: Column, params: LanguageParams = LanguageParams()) -> tuple[list[str], list[str]]:
-    """At most max_docs texts of each language (and max_languages languages), those with the smallest hash of doc_id and text length."""
+    k = _clusters(v, params.centroids, params.rounds).astype(np.float32)
+    return k, (v @ k.T).max(1)
+
+
+def _limit(own: list[np.ndarray], params: LanguageParams) -> float:
+    return float(np.quantile(np.concatenate(own), params.reject_quantile)) * 0.8 if own else 0.0
+
+
+def train(texts: Sequence[str | None], languages: Sequence[str], params: LanguageParams = LanguageParams()) -> LanguageModel:
+    """The model of a few texts that are here, in one block."""
+    by = {name: [t for t, x in zip(texts, languages) if x == name] for name in sorted(set(languages))}
+    found = {name: c for name, mine in by.items() if len(c := _counts_of(mine, params.dims))}
+    idf = _idf(sum(map(len, found.values())), sum(((c > 0).sum(0) for c in found.values()), np.zeros(params.dims, np.int64)))
+    parts = [_centroids(c, idf, params) for c in found.values()]
+    centres = np.concatenate([k for k, _ in parts]) if parts else np.zeros((0, params.dims), np.float32)
+    return LanguageModel(params, list(found), idf, centres, np.repeat(np.arange(len(parts)), [len(k) for k, _ in parts]).astype(int), _limit([o for _, o in parts], params))
+
+
+def labelled_sample(docs: DataFrame, trainable: Column, params: LanguageParams = LanguageParams()) -> DataFrame:
+    """(lang, text): at most max_docs texts of each language, those with the smallest hash of doc_id and text length."""
     d = docs.select("doc_id", "text", "lang").where(trainable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    key = F.xxhash64("doc_id", F.length("text"))
-    # Two steps: a group is first cut down within hash ranges, so that no task sorts a whole language.
-    ids = d.select("doc_id", "lang", key.alias("_h"), F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(64)).alias("_r"))
-    few = ids.withColumn("_n", F.row_number().over(Window.partitionBy("lang", "_r").orderBy("_h", "doc_id"))).where(F.col("_n") <= params.max_docs).drop("_n")
-    few = few.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).where(F.col("_n") <= params.max_docs).orderBy("_n", "lang").limit(params.max_docs * params.max_languages)
-    picked = d.join(F.broadcast(few.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi")
-    rows = picked.select("doc_id", "lang", F.substring("text", 1, params.max_doc_bytes).alias("text")).collect()
-    rows.sort(key=lambda r: (r["lang"], r["doc_id"], r["text"]))
-    return [r["text"] for r in rows], [r["lang"] for r in rows]
+    d = d.select("lang", "text", F.xxhash64("doc_id", F.length("text")).alias("_h"), F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(64)).alias("_r"))
+    # Hashes are chosen first, and within ranges before that, so that no task sorts a whole language or any texts.
+    few = d.select("lang", "_h", "_r").distinct()
+    few = few.withColumn("_n", F.row_number().over(Window.partitionBy("lang", "_r").orderBy("_h"))).where(F.col("_n") <= params.max_docs).drop("_n")
+    few = few.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).where(F.col("_n") <= params.max_docs).select("lang", "_h")
+    few = Table(few, "chosen").df
+    few = F.broadcast(few) if few.count() <= params.max_docs * params.block_languages else few
+    return d.join(few, ["lang", "_h"], "left_semi").groupBy("lang", "_h").agg(F.min(spread(F.col("text"), params.max_doc_chars)).alias("text"))
+
+
+def fit(docs: DataFrame, trainable: Column, params: LanguageParams = LanguageParams()) -> list[LanguageModel]:
+    """The model of all languages of the rows where trainable holds, in blocks."""
+    sample = Table(labelled_sample(docs, trainable, params), "sample").df
+    dims = params.dims
+
+    def having(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, texts = np.zeros(dims, np.int64), 0
+        for batch in batches:
+            for lo in range(0, len(batch), 256):
+                c = _counts_of(batch.column(0).slice(lo, 256).to_pylist(), dims)
+                total, texts = total + (c > 0).sum(0), texts + len(c)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"slot": np.append(some, -1), "n": np.append(total[some], texts)})
+
+    seen = {r["slot"]: r["n"] for r in sample.select("text").mapInArrow(having, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()}
+    df = np.zeros(dims, np.int64)
+    for slot, n in seen.items():
+        if slot >= 0:
+            df[slot] = n
+    idf = _idf(seen.get(-1, 0), df)
+    shared = docs.sparkSession.sparkContext.broadcast(idf)
+
+    def cluster(group: pa.Table) -> pa.Table:
+        order = np.argsort(group.column("_h").to_numpy(), kind="stable")
+        c = _counts_of(group.column("text").take(pa.array(order)).to_pylist(), dims)
+        k, own = _centroids(c, shared.value, params) if len(c) else (np.zeros((0, dims), np.float32), np.zeros(0, np.float32))
+        return pa.Table.from_pydict({"lang": group.column("lang").slice(0, 1), "centres": pa.array([k.tobytes()], pa.binary()), "own": pa.array([own.astype(np.float32).tobytes()], pa.binary())})
+
+    found = Table(sample.groupBy("lang").applyInArrow(cluster, "lang string, centres binary, own binary"), "centroids").df.where("octet_length(centres) > 0")
+    limit = _limit([np.frombuffer(r["own"], np.float32) for r in found.select("own").toLocalIterator()], params)
+    out: list[LanguageModel] = []
+    names, parts = [], []
+
+    def close() -> None:
+        owner = np.repeat(np.arange(len(parts)), [len(k) for k in parts])
+        out.append(LanguageModel(params, list(names), idf, np.concatenate(parts), owner.astype(int), limit))
+        names.clear()
+        parts.clear()
+
+    for r in found.orderBy("lang").select("lang", "centres").toLocalIterator():
+        names.append(r["lang"])
+        parts.append(np.frombuffer(r["centres"], np.float32).reshape(-1, dims))
+        if len(names) == params.block_languages:
+            close()
+    if names or not out:
+        parts = parts or [np.zeros((0, dims), np.float32)]
+        close()
+    return out
 
 
 def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -160,31 +227,40 @@ def nearest(data: np.ndarray, offsets: np.ndarray, model: LanguageModel) -> tupl
 ADDED = ("language", "nearest", "score", "rejected")
 
 
-def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """docs with `language`, `nearest`, `score` and `rejected`; one narrow pass."""
-    keep = [c for c in docs.columns if c not in ADDED]
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("language", T.StringType()), T.StructField("nearest", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    at = keep.index("text")
-    # The centroids hold dims * 4 bytes each, centroids * max_languages of them at most.
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        names = np.array([*m.languages, UNKNOWN], dtype=object)
-        for batch in batches:
-            data, offsets = buffers(batch.column(at))
-            for lo, hi, raw, offs in chunks(data, offsets):
-                for a in range(lo, hi, 256):
-                    b = min(hi, a + 256)
-                    o = offs[a - lo : b - lo + 1]
-                    part, o = raw[o[0] : o[-1]], o - o[0]
-                    letters = has_letter(part, o) & (len(m.languages) > 0)
-                    who, s = nearest(part, o, m) if len(m.languages) else (np.zeros(b - a, int), np.zeros(b - a))
-                    near = names[np.where(letters, who, len(m.languages))]
-                    s = np.where(letters, s, 0.0).astype(np.float64)
-                    out = letters & (s < m.limit)
-                    lang = np.where(out, UNKNOWN, near)
-                    piece = batch.slice(a, b - a)
-                    yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(lang, pa.string()), pa.array(near, pa.string()), pa.array(s), pa.array(out)], names=[*keep, *ADDED])
-
-    return docs.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
+def predict(docs: DataFrame, model: LanguageModel | list[LanguageModel]) -> DataFrame:
+    """docs with `language`, `nearest`, `score` and `rejected`; one narrow pass, which is longer by one comparison for each block more."""
+    models = model if isinstance(model, list) else [model]
+    keep = [c for c in docs.columns if c.lower() not in ADDED]
+    docs = docs.select(*[F.col(f"`{c}`") for c in keep])
+    schema = T.StructType([*docs.schema.fields, T.StructField("language", T.StringType()), T.StructField("nearest", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    at, width = position(keep, "text"), len(keep)
+    for block, one in enumerate(models):
+        # Of a block, centroids * block_languages vectors of dims * 4 bytes at most.
+        shared = docs.sparkSession.sparkContext.broadcast(one)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, block=block) -> Iterator[pa.RecordBatch]:
+            m = shared.value
+            names = np.array([*m.languages, UNKNOWN], dtype=object)
+            for batch in batches:
+                data, offsets = buffers(batch.column(at))
+                for lo, hi, raw, offs in chunks(data, offsets):
+                    for a in range(lo, hi, 256):
+                        b = min(hi, a + 256)
+                        o = offs[a - lo : b - lo + 1]
+                        part, o = raw[o[0] : o[-1]], o - o[0]
+                        letters = has_letter(part, o) & (len(m.languages) > 0)
+                        who, s = nearest(part, o, m) if len(m.languages) else (np.zeros(b - a, int), np.zeros(b - a))
+                        near = names[np.where(letters, who, len(m.languages))]
+                        s = np.where(letters, s, 0.0).astype(np.float64)
+                        piece = batch.slice(a, b - a)
+                        if block:
+                            # An earlier block's language stays unless this one's is nearer.
+                            before = piece.column(width + 2).to_numpy()
+                            near = np.where(s > before, near, np.array(piece.column(width + 1).to_pylist(), dtype=object))
+                            s = np.maximum(s, before)
+                        out = letters & (s < m.limit)
+                        lang = np.where(out, UNKNOWN, near)
+                        yield pa.RecordBatch.from_arrays([*piece.columns[:width], pa.array(lang, pa.string()), pa.array(near, pa.string()), pa.array(s), pa.array(out)], names=[*keep, *ADDED])
+
+        docs = docs.mapInArrow(run, schema)
+    return docs
