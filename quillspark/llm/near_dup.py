@@ -403,3 +403,19 @@ def deduplicate(df: DataFrame, params: NearDupParams = NearDupParams()) -> DataF
         full = marked.where(F.col(n) > 0).join(wanted, match, "left_semi")
         out = out.unionByName((full.dropDuplicates(["doc_id", f1, f2]) if repeated else full).select(*own))
     return out
+
+
+def oracle(params: NearDupParams = NearDupParams()) -> str:
+    """DuckDB SQL for the components of documents, from all pairs that share a shingle; for small tables with distinct doc_ids."""
+    k, upper = params.shingle, "".join(map(chr, range(65, 91)))
+    run = " || ' ' || ".join(f"w[i + {j}]" for j in range(k))
+    return rf"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) >= {k} THEN list_distinct(list_transform(range(1, len(w) - {k - 2}), lambda i: {run})) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS x FROM t),
+ f AS MATERIALIZED (SELECT doc_id, len(x) AS n, unnest(x) AS g FROM s),
+ c AS (SELECT a.doc_id AS u, b.doc_id AS v, a.n AS p, b.n AS q, count(*) AS shared FROM f a JOIN f b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= {params.percent} * greatest(a.n, b.n) GROUP BY ALL),
+ l AS MATERIALIZED (SELECT u, v FROM c WHERE 100 * shared >= {params.percent} * (p + q - shared)),
+ e AS MATERIALIZED (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+ r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, e.v FROM r JOIN e ON r.b = e.u),
+ m AS (SELECT a, min(b) AS low FROM r GROUP BY a)
+SELECT doc_id, len(x)::BIGINT AS n_shingles, low AS component_id, doc_id = low AS kept FROM s JOIN m ON a = doc_id"""

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from quillspark.llm import decontaminate, language_id, lm_score, mixing, near_dup, pii, quality, sharding, toxicity, warc
 
 
+NEAR = near_dup.NearDupParams(shingle=3, percent=85)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -42,7 +45,7 @@ def op2_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_dup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"), near_dup.NearDupParams(shingle=3, percent=85))
+    found = near_dup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"), NEAR)
     return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
@@ -89,4 +92,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mix_sources": mixing.oracle()}
+    return {"op3_near_duplicates": near_dup.oracle(NEAR), "op9_warc_segments": warc.oracle(), "op10_mix_sources": mixing.oracle()}

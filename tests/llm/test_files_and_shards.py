@@ -181,6 +181,36 @@ def test_broken_archives_are_told_apart(spark, tmp_path):
     assert got[1] == "missing_segment" and got[2] == "wrong_length" and got[3] == "bad_framing" and got[4] == "complete"
 
 
+def test_archives_of_any_bytes_get_a_status(spark, tmp_path):
+    params = warc.WarcParams()
+    good = next(warc.records_of(7, "http://u", b"payload", None, 0, params))
+    press = lambda r: zlib.compress(r, wbits=31)
+    foreign = press(b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Length: 22\r\n\r\nHTTP/1.1 200 OK\r\n\r\nabc\r\n\r\n")
+    request = press(b"WARC/1.0\r\nWARC-Type: request\r\nContent-Length: 3\r\n\r\nGET\r\n\r\n")
+    files = {
+        "length": press(good.replace(b"Content-Length: ", b"Content-Length: abc")),
+        "plain": b"no gzip at all",
+        "garbage": press(good) + b"\x00\xff" * 40,
+        "segment": press(good.replace(b"WARC-Date", b"WARC-Segment-Number: x\r\nWARC-Date")),
+        "foreign": request + foreign,
+        "head": press(b"nothing of the kind\r\n\r\n"),
+        "empty": b"",
+    }
+    got = {}
+    for name, body in files.items():
+        (tmp_path / name).write_bytes(body)
+        manifest = spark.createDataFrame([(f"file://{tmp_path}/{name}", 0, 0)], warc.MANIFEST)
+        got[name] = sorted((r.status, r.page_id) for r in warc.read(manifest, params).collect())
+    assert got == {"length": [("bad_header", 7)], "plain": [("bad_archive", None)], "garbage": [("bad_archive", None), ("complete", 7)], "segment": [("bad_header", 7)], "foreign": [("wrong_digest", None)], "head": [("bad_header", None)], "empty": []}
+
+
+def test_records_use_standard_fields():
+    first, again = next(warc.records_of(3, None, b"x", None, 5, warc.WarcParams())), next(warc.records_of(4, "u", b"x", 3, 6, warc.WarcParams(), 5))
+    field = lambda r, name: next((x.partition(b": ")[2] for x in r.split(b"\r\n") if x.startswith(name + b": ")), None)
+    assert field(again, b"WARC-Refers-To") == field(first, b"WARC-Record-ID") and field(first, b"WARC-Target-URI") is None
+    assert all(field(r, b"WARC-Block-Digest") for r in (first, again)) and b"\r\nX-" not in first + again
+
+
 def test_chunked_framing():
     for n in (0, 1, 99, 100, 101, 1000):
         data = hashlib.sha256(bytes([n % 256])).digest() * (n // 32 + 1)
