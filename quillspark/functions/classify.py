@@ -68,6 +68,21 @@ def is_signature(ink_ratio: Column, area: Column, width: Column, pixels: Column,
     return (F.max(height) >= 20) & (F.max(region_width) >= 50) & (ink >= 0.003) & (ink <= 0.15) & (parts >= 1) & (parts <= 15)
 
 
+def measured_flags(m: Column) -> dict[str, Column]:
+    """has_signature, has_fax_header, form, edge and stroke of a page from `image.measures`; the body alone counts where there is a signature."""
+    parts = F.filter(m["foot_parts"], lambda p: (p["area"] > 50) & (p["area"] < m["foot_pixels"] * 0.3) & (p["width"] > 20))
+    signed = (m["foot_height"] >= 20) & (m["width"] >= 50) & m["foot_ink"].between(0.003, 0.15) & F.size(parts).between(1, 15)
+    region = F.when(signed, m["body"]).otherwise(m["page"])
+    usable = (region["strokes"] >= 100) & (region["stroke_mean"] >= 0.1)
+    return {
+        "has_signature": signed,
+        "has_fax_header": is_fax_header(m["head_lines"], m["head_ink"], m["head_height"], m["width"]),
+        "form": form_structure(m["horizontal"], m["vertical"], m["pixels"]),
+        "edge": region["edges"],
+        "stroke": F.when(usable, F.least(F.try_divide(region["stroke_deviation"], region["stroke_mean"]) / 0.5, F.lit(1.0))).otherwise(F.lit(0.5)),
+    }
+
+
 def signature_zone(has_signature: Column) -> Column:
     """Box of the zone in shares of the page, null of none."""
     return F.when(has_signature, F.array(*[F.lit(v) for v in (0.0, 0.8, 1.0, 1.0)]))
@@ -110,5 +125,12 @@ def skew(angle: Column) -> Column:
     return F.when(F.count(usable) >= 5, F.percentile(usable, F.lit(0.5))).otherwise(F.lit(0.0))
 
 
+def line_skew(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Aggregate over detected lines: the skew to correct, in degrees; 0 of fewer than ten lines, of fewer than five usable ones, or outside 0.5 to 15."""
+    angle = F.when(F.abs(x2 - x1) > 10, F.degrees(F.atan2(y2 - y1, x2 - x1)))
+    found = F.when(F.count(x1) >= 10, skew(angle)).otherwise(F.lit(0.0))
+    return F.when(needs_rotation(found), found).otherwise(F.lit(0.0))
+
+
 def needs_rotation(angle: Column) -> Column:
     return F.abs(angle).between(0.5, 15.0)

@@ -78,15 +78,20 @@ def grounded_phrases(detections: DataFrame, width: Column, height: Column) -> Da
     return detections.where(~g.too_large(g.box(), width, height, label)).withColumns({"type": label, "description": F.concat(F.lit("Detected "), F.col("label"))})
 
 
-def structure_parts(detections: DataFrame) -> DataFrame:
-    """Structure detections of table crops, shifted to the page and sorted into rows, columns, headers and cells.
+def table_detections(detections: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """Of a detector's boxes (label_id, confidence) those that are tables, label 0, and sure enough."""
+    return detections.where((F.col("confidence") > threshold) & (F.col("label_id") == 0)).drop("label_id")
+
+
+def structure_parts(detections: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Structure detections of table crops that are sure enough, shifted to the page and sorted into rows, columns, headers and cells.
 
     Needs keys, t_idx, label, confidence, box and the table's corner (t_x1, t_y1).
     """
     label = F.lower("label")
     header = label.contains("header")
     part = F.when(label.contains("row") & ~header, "rows").when(label.contains("column") & ~header, "columns").when(header, "headers").otherwise("cells")
-    moved = detections.withColumns({"part": part, "x1": F.col("x1") + F.col("t_x1"), "x2": F.col("x2") + F.col("t_x1"), "y1": F.col("y1") + F.col("t_y1"), "y2": F.col("y2") + F.col("t_y1")})
+    moved = detections.where(F.col("confidence") > threshold).withColumns({"part": part, "x1": F.col("x1") + F.col("t_x1"), "x2": F.col("x2") + F.col("t_x1"), "y1": F.col("y1") + F.col("t_y1"), "y2": F.col("y2") + F.col("t_y1")})
     item = F.struct("x1", "y1", "x2", "y2", "confidence")
     pick = lambda name, key: F.transform(F.array_sort(F.collect_list(F.when(F.col("part") == name, F.struct(F.col(key).alias("k"), F.col("det_idx").alias("i"), item.alias("v"))))), lambda s: s["v"]).alias(name)
     return moved.groupBy(*PAGE, "t_idx").agg(pick("rows", "y1"), pick("columns", "x1"), pick("cells", "det_idx"), pick("headers", "det_idx"))

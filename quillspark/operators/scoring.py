@@ -46,9 +46,11 @@ def score_hallucinations(df: DataFrame, image_width: Column | None = None) -> Da
     table = F.when((F.col("type") == "table") & F.col("x1").isNotNull(), F.struct(*g.box()))
     df = df.withColumn("_w", width).withColumn("_tables", F.collect_list(table).over(page_window()))
     in_table = F.exists("_tables", lambda t: g.intersects(g.box(), [t[c] for c in ("x1", "y1", "x2", "y2")]))
-    score, signals = h.score(F.col("content"), F.col("confidence"), g.box(), F.col("_w"))
     df = df.withColumn("exempt", ~is_text() | in_table | F.col("in_numeric_column"))
-    return df.withColumn("raw_score", F.when(~F.col("exempt"), score)).withColumn("raw_signals", F.when(~F.col("exempt"), signals)).drop("_w", "_tables", "in_numeric_column")
+    # What is exempt needs no score.
+    df = h.scored(df, F.when(~F.col("exempt"), F.col("content")), F.col("confidence"), g.box(), F.col("_w"))
+    df = df.withColumns({"raw_score": F.when(~F.col("exempt"), F.col("_score")), "raw_signals": F.when(~F.col("exempt"), F.col("_signals"))})
+    return df.drop("_w", "_tables", "in_numeric_column", "_score", "_signals", "_pattern", "_patterns", "_valid", "_repeats")
 
 
 def process_hallucinations(df: DataFrame, image_width: Column | None = None, config: Config = DEFAULT) -> DataFrame:

@@ -139,13 +139,18 @@ def placed_words(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 def table_cells(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """(page, t_idx, row, col, x1, y1, x2, y2, is_header, content): the grid of every structured table."""
+    return _filled_cells(df, config).drop("_taken")
+
+
+def _filled_cells(df: DataFrame, config: Config) -> DataFrame:
+    """The cells, with the texts that gave a word to each."""
     t = _structured(df)
     grid = t.select(*PAGE, "t_idx", "_columns", "_headers", F.posexplode("_rows").alias("row", "r"))
     grid = grid.select(*PAGE, "t_idx", "_headers", "row", "r", F.posexplode("_columns").alias("col", "c"))
     header = F.exists(F.coalesce("_headers", F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double>>")), lambda h: (h["x1"] < F.col("c.b")) & (h["x2"] > F.col("c.a")) & (h["y1"] < F.col("r.b")) & (h["y2"] > F.col("r.a")))
     grid = grid.select(*PAGE, "t_idx", "row", "col", *[F.round(v, 2).alias(k) for k, v in (("x1", "c.a"), ("y1", "r.a"), ("x2", "c.b"), ("y2", "r.b"))], header.alias("is_header"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("elem_idx", "word_idx", "word"))), lambda w: w["word"]), " ")
-    filled = placed_words(df, config).groupBy(*PAGE, "t_idx", "row", "col").agg(joined.alias("content"))
+    filled = placed_words(df, config).groupBy(*PAGE, "t_idx", "row", "col").agg(joined.alias("content"), F.collect_set("elem_idx").alias("_taken"))
     return grid.join(filled, [*PAGE, "t_idx", "row", "col"], "left").withColumn("content", F.coalesce("content", F.lit("")))
 
 
@@ -154,11 +159,11 @@ def absorb_tables(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
     Words of such a text that no cell holds are lost with it; two tables may take the same text.
     """
-    absorbed = placed_words(df, config).groupBy(*PAGE, "t_idx").agg(F.collect_set("elem_idx").alias("_taken"), F.min("elem_idx").alias("_to"))
     cell = F.struct("row", "col", F.array(*BOX).alias("bbox"), "content", "is_header")
-    cells = table_cells(df, config).groupBy(*PAGE, F.col("t_idx").alias("elem_idx")).agg(F.array_sort(F.collect_list(cell)).alias("cells"), (F.max("row") + 1).alias("num_rows"), (F.max("col") + 1).alias("num_columns"))
-    taken = absorbed.groupBy(*PAGE).agg(F.array_distinct(F.flatten(F.collect_list("_taken"))).alias("_gone"))
-    out = df.join(cells, list(KEY), "left").join(absorbed.select(*PAGE, F.col("t_idx").alias("elem_idx"), "_to"), list(KEY), "left").join(taken, list(PAGE), "left")
+    taken = F.array_distinct(F.flatten(F.collect_list("_taken"))).alias("_taken")
+    cells = _filled_cells(df, config).groupBy(*PAGE, F.col("t_idx").alias("elem_idx")).agg(F.array_sort(F.collect_list(cell)).alias("cells"), (F.max("row") + 1).alias("num_rows"), (F.max("col") + 1).alias("num_columns"), taken)
+    out = df.join(cells, list(KEY), "left").withColumn("_to", F.array_min("_taken"))
+    out = out.withColumn("_gone", F.flatten(F.collect_list("_taken").over(page_window())))
     out = out.where(~F.coalesce(F.array_contains("_gone", F.col("elem_idx")) & is_text(), F.lit(False)))
     order = Window.partitionBy(*PAGE).orderBy(F.coalesce("_to", "elem_idx"), F.when(F.col("_to").isNotNull(), 0).otherwise(1), "elem_idx")
-    return out.withColumn("elem_idx", (F.row_number().over(order) - 1).cast("long")).drop("_to", "_gone", "structure")
+    return out.withColumn("elem_idx", (F.row_number().over(order) - 1).cast("long")).drop("_taken", "_to", "_gone", "structure")

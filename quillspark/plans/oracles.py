@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillspark.functions.contacts import MONTHS
+from quillspark.functions.language import FREQUENT
 from quillspark.functions.metrics import PUNCTUATION
 from quillspark.functions.text import KEPT_ABBREVIATIONS, SIGNATURE_LABEL
 from quillspark.operators.spelling import CONFUSED
@@ -377,11 +378,29 @@ ORACLES["i7_calibration"] = "SELECT event_id, round(greatest(0.0, least(1.0, 1.0
 _agg = lambda name, key, cond: f"coalesce(string_agg({key}, '|' ORDER BY {name}) FILTER ({cond}), '')"
 add(
     "i9_structure_parts",
-    f"SELECT doc_id, page_no, {_agg('y1, elem_idx', '(y1 + 20)::INT::VARCHAR', 'k = 0')} AS rows, {_agg('x1, elem_idx', '(x1 + 30)::INT::VARCHAR', 'k = 1')} AS columns, {_agg('elem_idx', '(y1 + 20)::INT::VARCHAR', 'k IN (2, 4)')} AS headers, {_agg('elem_idx', '(y1 + 20)::INT::VARCHAR', 'k IN (3, 5)')} AS cells FROM (SELECT *, g % 6 AS k FROM texts) q GROUP BY ALL",
+    f"SELECT doc_id, page_no, {_agg('y1, elem_idx', '(y1 + 20)::INT::VARCHAR', 'k = 0')} AS rows, {_agg('x1, elem_idx', '(x1 + 30)::INT::VARCHAR', 'k = 1')} AS columns, {_agg('elem_idx', '(y1 + 20)::INT::VARCHAR', 'k IN (2, 4)')} AS headers, {_agg('elem_idx', '(y1 + 20)::INT::VARCHAR', 'k IN (3, 5)')} AS cells FROM (SELECT *, g % 6 AS k FROM texts WHERE confidence > 0.5) q GROUP BY ALL",
 )
 
 # --- classification and metrics
 
+add("i8_table_detections", f"SELECT {K}, confidence FROM texts WHERE confidence > 0.7 AND g % 3 = 0")
+ORACLES["i5_line_skew"] = """
+WITH l AS (SELECT user_id, (event_id * 13 % 50 - 10)::DOUBLE AS dx, (event_id * 17 % 7 - 2)::DOUBLE AS dy FROM events),
+ a AS (SELECT user_id, CASE WHEN abs(dx) > 10 THEN degrees(atan2(dy, dx)) END AS a FROM l),
+ m AS (SELECT user_id, count(*) AS n, count(a) FILTER (a > -30 AND a < 30) AS k, median(a) FILTER (a > -30 AND a < 30) AS mid FROM a GROUP BY user_id)
+SELECT user_id, round(CASE WHEN n >= 10 AND k >= 5 AND abs(mid) BETWEEN 0.5 AND 15 THEN mid ELSE 0.0 END, 6) AS skew FROM m"""
+ORACLES["c_pixels"] = """
+WITH s AS (SELECT s_suppkey, 2 + s_suppkey % 3 AS t, 15 + s_suppkey % 61 AS body, CASE WHEN s_suppkey % 2 = 1 THEN 20 + s_suppkey % 40 ELSE 0 END AS head, CASE WHEN s_suppkey % 3 = 0 THEN 15 + s_suppkey % 30 ELSE 0 END AS foot FROM supplier),
+ h AS (SELECT *, CASE WHEN body >= 20 THEN body * t ELSE 0 END + CASE WHEN head >= 20 THEN head * t ELSE 0 END + CASE WHEN foot >= 20 THEN foot * 6 ELSE 0 END AS horizontal,
+  foot > 20 AND foot * 6 > 50 AND foot * 6 / 8800.0 BETWEEN 0.003 AND 0.15 AS signed, head >= 25 AND head * t > 20 AND head * t / 6600.0 > 0.02 AND head * t / 6600.0 < 0.25 AS fax FROM s)
+SELECT s_suppkey, horizontal::INT AS horizontal, 0 AS vertical, round(least(horizontal::DOUBLE / 44000 / 0.01, 1.0), 6) AS form, signed AS has_signature, fax AS has_fax_header, CASE WHEN signed THEN '0.0,0.8,1.0,1.0' END AS zone FROM h"""
+_votes = ", ".join(f"len(list_filter(w, lambda x: x IN {names})) AS {k}" for k, names in FREQUENT.items())
+ORACLES["i11_language"] = f"""
+WITH w AS (SELECT doc_id, length({strip('text')}) AS n, list_transform({words('lower(text)')}, lambda x: {sub('x', '[^' + chr(92) + 'pL]', '')}) AS w FROM documents),
+ v AS (SELECT doc_id, n, {_votes} FROM w)
+SELECT doc_id, CASE WHEN n > 20 THEN CASE WHEN en >= greatest(de, fr, es) THEN 'en' WHEN de >= greatest(fr, es) THEN 'de' WHEN fr >= es THEN 'fr' ELSE 'es' END ELSE 'en' END AS language FROM v"""
+ORACLES["e8_metadata"] = "SELECT doc_id, CASE WHEN doc_id % 4 <> 0 AND doc_id % 3 <> 1 THEN coalesce(lang, 'unknown') ELSE 'unknown' END AS doc_type, CASE WHEN doc_id % 4 <> 0 THEN coalesce((n_chars % 100) / 100.0, 0.0)::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM documents"
+
 ORACLES["c_features"] = """
 WITH e AS (SELECT user_id, (value % 40) + 5 AS h, (event_id * 7 % 61 - 30)::DOUBLE AS a, (event_id % 900)::DOUBLE AS area FROM events)
 SELECT user_id, round(CASE WHEN count(h) < 10 THEN 0.5 ELSE greatest(0.0, least(1.0, 1.0 - stddev_pop(h) / avg(h) / 0.4)) END, 6) AS uniformity,

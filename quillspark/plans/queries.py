@@ -8,15 +8,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.functions import classify, display, metrics
+from quillspark.functions import classify, display, language, metrics
 from quillspark.functions import contacts as ct
 from quillspark.functions import geometry as g
 from quillspark.functions import hallucination as h
+from quillspark.functions import image as image_measures
 from quillspark.functions import text as tx
 from quillspark.operators import cleaning, contacts, layout, regions, routing, scoring, spelling, tables
 from quillspark.plans import evaluation, pipeline
 from quillspark.plans.fixtures import GRID_COLUMNS, GRID_ROWS, elements
 from quillspark.schema import KEY, PAGE, page_window
+from quillspark.sources.documents import document_metadata
+from quillspark.sources.lineage import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -129,16 +132,15 @@ def i2_padded_boxes(spark, d):
 @query
 def h_scores(spark, d):
     """H1 with its parts H3, H4 and H5, for each text by itself."""
-    score, signals = h.score(F.col("content"), F.col("confidence"), g.box(), F.lit(612.0))
-    pattern, names = h.character_patterns(F.col("content"))
-    return _texts(spark, d).select(
+    t = h.scored(_texts(spark, d), F.col("content"), F.col("confidence"), g.box(), F.lit(612.0))
+    return t.select(
         *KEY,
-        F.round(score, 6).alias("score"),
-        _joined(signals).alias("signals"),
-        F.round(pattern, 6).alias("pattern_score"),
-        _joined(names).alias("patterns"),
-        h.is_valid_text(F.col("content")).alias("valid"),
-        h.has_repetition(F.col("content")).alias("repeats"),
+        F.round("_score", 6).alias("score"),
+        _joined(F.col("_signals")).alias("signals"),
+        F.round("_pattern", 6).alias("pattern_score"),
+        _joined(F.col("_patterns")).alias("patterns"),
+        F.col("_valid").alias("valid"),
+        F.col("_repeats").alias("repeats"),
     )
 
 
@@ -287,7 +289,7 @@ def step16_table_cells(spark, d):
 @query
 def step16_absorb_tables(spark, d):
     """T13 and T14: the page in its new order."""
-    t = tables.absorb_tables(_with_structure(elements(spark, d)))
+    t = tables.absorb_tables(cut(_with_structure(elements(spark, d))))
     return t.select(*KEY, "type", "content", "num_rows", "num_columns")
 
 
@@ -407,6 +409,56 @@ def c_page_class(spark, d):
     return r.select("o_orderkey", F.round("s", 6).alias("typed_score"), "c.document_type", F.round("c.confidence", 6).alias("confidence"))
 
 
+@query
+def c_pixels(spark, d):
+    """C1 to C4, C9 and C15: measures of pixels and what follows from them, over pages with bars by arithmetic on the supplier's key."""
+    k = F.col("s_suppkey").cast("int")
+    t, body, head, foot = 2 + k % 3, 15 + k % 61, F.when(k % 2 == 1, 20 + k % 40).otherwise(0), F.when(k % 3 == 0, 15 + k % 30).otherwise(0)
+    hexes = lambda what, n: F.expr(f"repeat('{what}', {n})") if isinstance(n, int) else F.repeat(F.lit(what), n)
+    row = lambda x, n: F.concat(hexes("FF", x), hexes("00", n), hexes("FF", 200 - x - n))
+    blank = lambda n: hexes("FF" * 200, n)
+    image = F.concat(blank(10), F.repeat(row(10, head), t), blank(50 - t), F.repeat(row(10, body), t), blank(130 - t), F.repeat(row(30, foot), F.lit(6)), blank(24))
+    m = _read(spark, d, "supplier").select("s_suppkey", image_measures.measures()(F.lit(220), F.lit(200), F.unhex(image)).alias("m"))
+    f = classify.measured_flags(F.col("m"))
+    zone = classify.signature_zone(f["has_signature"])
+    return m.select(
+        "s_suppkey",
+        F.col("m.horizontal").alias("horizontal"),
+        F.col("m.vertical").alias("vertical"),
+        F.round(f["form"], 6).alias("form"),
+        f["has_signature"].alias("has_signature"),
+        f["has_fax_header"].alias("has_fax_header"),
+        F.array_join(zone.cast("array<string>"), ",").alias("zone"),
+    )
+
+
+@query
+def i5_line_skew(spark, d):
+    """I5's gates over lines by arithmetic, an event a line and a user a page."""
+    e = _read(spark, d, "events").withColumns({"x1": F.col("event_id") % 7, "y1": F.col("event_id") % 11})
+    e = e.withColumns({"x2": F.col("x1") + F.col("event_id") * 13 % 50 - 10, "y2": F.col("y1") + F.col("event_id") * 17 % 7 - 2})
+    return e.groupBy("user_id").agg(F.round(classify.line_skew(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")), 6).alias("skew"))
+
+
+@query
+def i8_table_detections(spark, d):
+    dets = _texts(spark, d).select(*KEY, "confidence", (F.col("g") % 3).alias("label_id"))
+    return routing.table_detections(dets).select(*KEY, "confidence")
+
+
+@query
+def i11_language(spark, d):
+    return _read(spark, d, "documents").select("doc_id", language.detected(F.col("text")).alias("language"))
+
+
+@query
+def e8_metadata(spark, d):
+    """First pages: none, without a class, or with one."""
+    page = F.struct(F.when(F.col("doc_id") % 3 != 1, F.col("lang")).alias("document_type"), (F.col("n_chars") % 100 / 100).alias("classification_confidence"))
+    docs = _read(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 4 != 0, F.array(page)).otherwise(F.array()).alias("pages"))
+    return document_metadata(docs)
+
+
 # --- evaluation
 
 
@@ -467,7 +519,7 @@ def e11_baseline(spark, d):
 
 @query
 def e7_document_text(spark, d):
-    e = tables.absorb_tables(_with_structure(elements(spark, d)))
+    e = tables.absorb_tables(cut(_with_structure(elements(spark, d))))
     t = evaluation.document_text(e)
     return t.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").alias("n"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EXTENSIONS = tuple("avif bmp gif heic jpeg jpg pdf png tif tiff webp".split())
@@ -23,15 +23,25 @@ def list_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return files.where(known), files.where(~known)
 
 
+def _known(path: str) -> Column:
+    return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)).isin(*EXTENSIONS)
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Decoded images (png, jpg, bmp, gif) with origin, height, width, mode and data; broken files are left out."""
-    return spark.read.format("image").option("dropInvalid", "true").load(path).select("image.*")
+    """Decoded images (png, jpg, bmp, gif) with origin, height, width, mode, data and processing_error: a file that can't be decoded is a row with that and without pixels.
+
+    Other formats (tif, webp, heic, avif) are such rows too; `with_pages` takes a decoder for them.
+    """
+    i = spark.read.format("image").load(path).select("image.*").where(_known("origin"))
+    broken = F.col("height") < 0
+    shown = [F.when(~broken, F.col(c)).alias(c) for c in ("height", "width", "nChannels", "mode", "data")]
+    return i.select("origin", *shown, F.when(broken, F.lit("image can't be decoded")).alias("processing_error"))
 
 
 def read_contents(spark: SparkSession, path: str) -> DataFrame:
     """(path, content) of the documents of a folder, for `with_pages`."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*EXTENSIONS))
+    return files.where(_known("path"))
 
 
 def with_pages(files: DataFrame, rasterize: Callable[[bytes, int], list[bytes]], dpi: int = 200) -> DataFrame:

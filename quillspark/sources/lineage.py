@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, written once to the folder in spark.checkpoint.dir and read back; a temporary folder only where none is set."""
+    """df, written once to the folder in spark.checkpoint.dir and read back; a temporary folder only where none is set and all runs in one process."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         told = spark.conf.get("spark.checkpoint.dir", None)
+        if not told and spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(told or "file://" + tempfile.mkdtemp(prefix="quillspark-"))
     return df.checkpoint()

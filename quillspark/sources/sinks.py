@@ -12,9 +12,10 @@ def as_json(nested: DataFrame) -> DataFrame:
     return nested.select("doc_id", F.to_json(F.struct(F.col("doc_id").cast("string").alias("filename"), *columns)).alias("value"))
 
 
-def write_json(nested: DataFrame, path: str) -> None:
-    """One folder a document (path/doc_id=...), each with its JSON as text."""
-    as_json(nested).write.mode("overwrite").partitionBy("doc_id").text(path)
+def write_json(nested: DataFrame, path: str, buckets: int = 64) -> None:
+    """JSON lines, one a document (its filename field tells which), in folders by hash of doc_id (path/bucket=...), however many documents there are."""
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket")
+    as_json(nested).select(bucket, "value").write.mode("overwrite").partitionBy("bucket").text(path)
 
 
 def write_elements(df: DataFrame, path: str) -> None:
