@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.llm._io import position, spread
 from quillspark.llm._vec import buffers, text_sums
 
 KINDS = ("email", "ip", "card", "phone")
@@ -130,7 +131,7 @@ def spans_of(tags: np.ndarray) -> list[Span]:
 
 @dataclass(frozen=True)
 class PiiParams:
-    """window and stride in characters; max_docs bounds the sample of documents that training reads, max_doc_chars what it reads of one."""
+    """window and stride in characters; max_docs bounds the sample of documents that training reads, max_doc_chars what it reads of one (from all over it)."""
 
     window: int = 64
     stride: int = 32
@@ -249,7 +250,7 @@ class BiLstmCrf:
         """The best tags of one stretch of emissions (length, tags)."""
         a = self.transitions()
         v = s[0] + np.where(self.begin, 0, -1e4)
-        back = np.zeros(s.shape, np.int64)
+        back = np.zeros(s.shape, np.int8)
         for t in range(1, len(s)):
             m = v[:, None] + a
             back[t] = m.argmax(0)
@@ -362,35 +363,38 @@ def _valid(kind: str, s: str) -> bool:
 
 
 def model_spans(texts: list[str], net: BiLstmCrf, params: PiiParams) -> list[list[Span]]:
-    """The network's spans of each text, all windows of all texts in batches."""
-    plans, xs, coded = [], [], []
-    for text in texts:
-        runs = windows_of(text, params)
-        c: dict[int, np.ndarray] = {a: classes(text[a:b]) for a, b, _ in runs}
-        plans.append(runs)
-        coded.append(c)
-        for a, b, starts in runs:
-            for w in starts:
-                x = np.zeros(params.window, np.int64)
-                part = c[a][w - a : w - a + params.window]
-                x[: len(part)] = part
-                xs.append(x)
-    s = np.concatenate([net.emissions(np.array(xs[i : i + 512])) for i in range(0, len(xs), 512)]) if xs else np.zeros((0, params.window, TAGS))
+    """The network's spans of each text; windows of all texts go through the network 512 at a time, and a stretch is decoded once its last one is through."""
     weight = np.minimum(np.arange(1, params.window + 1), np.arange(params.window, 0, -1)).astype(np.float32)[:, None]
-    out, at = [], 0
-    for text, runs in zip(texts, plans):
-        spans: list[Span] = []
-        for a, b, starts in runs:
-            total, mass = np.zeros((b - a, TAGS), np.float32), np.zeros((b - a, 1), np.float32)
+    out: list[list[Span]] = [[] for _ in texts]
+    waiting: list[tuple[int, int, int, int, bool]] = []
+    xs = np.zeros((512, params.window), np.int8)
+    sums: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+
+    def through() -> None:
+        s = net.emissions(xs[: len(waiting)].astype(np.int64)) if waiting else ()
+        for (k, a, b, w, last), e in zip(waiting, s):
+            total, mass = sums.setdefault((k, a), (np.zeros((b - a, TAGS), np.float32), np.zeros((b - a, 1), np.float32)))
+            n = min(params.window, b - w)
+            total[w - a : w - a + n] += e[:n] * weight[:n]
+            mass[w - a : w - a + n] += weight[:n]
+            if last:
+                del sums[k, a]
+                for kind, i, j in spans_of(net.viterbi(total / np.maximum(mass, 1e-9))):
+                    if _valid(kind, texts[k][a + i : a + j]):
+                        out[k].append((kind, a + i, a + j))
+        waiting.clear()
+
+    for k, text in enumerate(texts):
+        for a, b, starts in windows_of(text, params):
             for w in starts:
-                n = min(params.window, b - w)
-                total[w - a : w - a + n] += s[at, :n] * weight[:n]
-                mass[w - a : w - a + n] += weight[:n]
-                at += 1
-            for kind, i, j in spans_of(net.viterbi(total / np.maximum(mass, 1e-9))):
-                if _valid(kind, text[a + i : a + j]):
-                    spans.append((kind, a + i, a + j))
-        out.append(spans)
+                part = classes(text[w : min(b, w + params.window)])
+                x = xs[len(waiting)]
+                x[:] = 0
+                x[: len(part)] = part
+                waiting.append((k, a, b, w, w == starts[-1]))
+                if len(waiting) == len(xs):
+                    through()
+    through()
     return out
 
 
@@ -399,9 +403,14 @@ def joined(spans: list[Span]) -> str:
 
 
 def sample(docs: DataFrame, params: PiiParams = PiiParams()) -> list[str]:
-    """At most max_docs texts with a digit or an at sign, those with the smallest hash of doc_id and length, cut to max_doc_chars."""
-    some = docs.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("doc_id", F.length("text")).alias("h"), F.substring("text", 1, params.max_doc_chars).alias("text"))
-    return [r["text"] for r in some.orderBy("h", "text").limit(params.max_docs).collect()]
+    """At most max_docs texts with a digit or an at sign, those with the smallest hash of doc_id and length; of longer texts max_doc_chars, from all over them.
+
+    Hashes are chosen first, so that no other texts are sorted or reach the driver.
+    """
+    some = docs.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("doc_id", F.length("text")).alias("h"), "text")
+    few = some.select("h").distinct().orderBy("h").limit(params.max_docs)
+    picked = some.join(F.broadcast(few), "h", "left_semi").groupBy("h").agg(F.min(spread(F.col("text"), params.max_doc_chars)).alias("text"))
+    return [r["text"] for r in sorted(picked.collect(), key=lambda r: r["h"])]
 
 
 def fit(docs: DataFrame, params: PiiParams = PiiParams()) -> BiLstmCrf:
@@ -414,9 +423,9 @@ ADDED = ("n_email", "n_ip", "n_card", "n_phone", "base_spans", "spans")
 
 def find(docs: DataFrame, net: BiLstmCrf, params: PiiParams = PiiParams()) -> DataFrame:
     """docs with the base counts, `base_spans` and `spans` (kind:start:end, comma-joined); one narrow pass."""
-    keep = [c for c in docs.columns if c not in ADDED]
+    keep = [c for c in docs.columns if c.lower() not in ADDED]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(f"n_{k}", T.LongType()) for k in KINDS] + [T.StructField("base_spans", T.StringType()), T.StructField("spans", T.StringType())])
-    at = keep.index("text")
+    at = position(keep, "text")
     # A few thousand weights, whatever the corpus.
     shared = docs.sparkSession.sparkContext.broadcast(net)
 

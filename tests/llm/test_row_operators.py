@@ -1,12 +1,14 @@
 """Toxicity, personal data and language identification: operators that look at one row at a time."""
 
+import dataclasses
 import re
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from quillspark.llm import language_id, pii, toxicity
+from quillspark.llm import _io, language_id, pii, toxicity
 
 
 def test_toxicity_separates_marked_texts():
@@ -120,3 +122,30 @@ def test_letters_of_any_script():
 
     data, offsets = buffers(pa.array(["", "12 .,", "a", "中", "– …", None, "é"]))
     assert language_id.has_letter(data, offsets).tolist() == [False, False, True, True, False, False, True]
+
+
+def test_blocks_of_languages_make_no_difference(spark, sf, empty_docs):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    learned = F.col("doc_id") % 3 != 0
+    params = language_id.LanguageParams(max_docs=30)
+    whole, parts = language_id.fit(docs, learned, params), language_id.fit(docs, learned, dataclasses.replace(params, block_languages=1))
+    assert len(whole) == 1 and len(parts) == len(whole[0].languages) > 2
+    show = lambda m: sorted((repr(r.doc_id), r.nearest, round(r.score, 5), r.rejected) for r in language_id.predict(docs, m).collect())
+    assert show(whole) == show(parts)
+    assert {r.language for r in language_id.predict(docs, language_id.fit(empty_docs, F.lit(True))).collect()} == {"und"}
+
+
+def test_samples_reach_all_over_long_texts(spark):
+    text = "a" * 50_000 + "z1" * 3000 + "b" * 50_000
+    df = spark.createDataFrame([(1, text), (2, None), (3, "short"), (3, "short")], "doc_id long, text string")
+    got = [r[0] for r in df.select(_io.spread(F.col("text"), 6400).alias("t")).collect()]
+    assert len(got[0]) == 6400 + 31 and got[0].startswith("aaa") and got[0].endswith("bbb") and "z1z1" in got[0] and got[1:] == [None, "short", "short"]
+    assert len(pii.sample(df, pii.PiiParams(max_doc_chars=640))) == 1
+
+
+def test_windows_in_parts_equal_windows_at_once():
+    params = pii.PiiParams(rounds=20, synthetic=200)
+    net = pii.train(pii.synthetic(200, 1), params)
+    texts = [" ".join(t for t, _ in pii.synthetic(40, k)) for k in range(6)]
+    whole = pii.model_spans(texts, net, params)
+    assert [pii.model_spans([t], net, params)[0] for t in texts] == whole and any(whole)
