@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.llm._io import position, spread
 from quillspark.llm._vec import LOWER, buffers
 
 
@@ -46,7 +47,7 @@ class DictionaryPair:
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    """max_docs bounds the labelled sample of each kind, max_doc_bytes what training reads of one text."""
+    """max_docs bounds the labelled sample of each kind, max_doc_bytes what training reads of one text (from all over it), max_windows the trainer's sample of ordinary windows, drawn over all of these."""
 
     window: int = 64
     stride: int = 52
@@ -56,6 +57,7 @@ class ToxicityParams:
     gram: int = 6
     max_docs: int = 3000
     max_doc_bytes: int = 20_000
+    max_windows: int = 20_000
     thresholds: tuple[int, ...] = (2, 3, 4, 6)
 
 
@@ -131,7 +133,7 @@ def _trained(size: int, samples: list[bytes]) -> bytes:
 
 def train(toxic: Sequence[str | None], ordinary: Sequence[str | None], params: ToxicityParams = ToxicityParams(), share: float | None = None) -> ToxicityModel:
     """Fit dictionaries on two thirds of the texts and the calibration on the rest; share is that of toxic texts where the two kinds were sampled unequally."""
-    raw = lambda s: bytes((s or "").encode("utf-8", "replace")[: params.max_doc_bytes].lower())
+    raw = lambda s: bytes((s or "").encode("utf-8", "replace").lower())
     tox, plain = [raw(s) for s in toxic], [raw(s) for s in ordinary]
     model = ToxicityModel(params, prior=len(tox) / max(1, len(tox) + len(plain)) if share is None else share)
     if len(tox) < 3 or len(plain) < 3:
@@ -143,9 +145,9 @@ def train(toxic: Sequence[str | None], ordinary: Sequence[str | None], params: T
     least = 2 if len(a) < 60 else 4
     good = {g for g, c in in_tox.items() if c >= least and c / len(a) > 5 * (in_plain.get(g, 0) + 1) / len(b)}
     marked: Counter = Counter(p for d in a for p in set(_passages(d, good, n)))
-    usual = [w for d in b for w in windows(d, params)[:60]]
+    usual = [w for d in b for w in windows(d, params)]
     rng = np.random.default_rng(7)
-    usual = [usual[i] for i in rng.permutation(len(usual))[:20_000]]
+    usual = [usual[i] for i in rng.permutation(len(usual))[: params.max_windows]]
     fragments = [p for p, c in sorted(marked.items()) for _ in range(min(c, 20))]
     for pair in params.pairs:
         if pair.trained:
@@ -183,7 +185,7 @@ def score_bytes(raw: bytes, model: ToxicityModel, c: Compressors | None) -> tupl
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, trainable: Column, params: ToxicityParams = ToxicityParams()) -> tuple[list[str], list[str]]:
-    """At most max_docs texts of each kind, those with the smallest hash of their doc_id; only so much reaches the driver."""
+    """At most max_docs texts of each kind, one a doc_id, those with the smallest hash of it; of longer texts max_doc_bytes characters from all over them.  Only so much reaches the driver."""
     marks = labels.select("doc_id", F.col("toxic").cast("int").alias("_toxic")).where("doc_id is not null and _toxic in (0, 1)")
     d = docs.select("doc_id", "text").where(trainable & F.col("doc_id").isNotNull())
     out = []
@@ -192,9 +194,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, trainable: Column, param
         if kind == 0:
             picked = picked.join(marks.where("_toxic = 1").select("doc_id").distinct(), "doc_id", "left_anti")
         chosen = picked.where(trainable).orderBy(F.xxhash64("doc_id", F.lit(kind)), "doc_id").limit(params.max_docs)
-        rows = d.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", F.substring("text", 1, params.max_doc_bytes).alias("text")).collect()
-        rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-        out.append([r["text"] for r in rows[: params.max_docs]])
+        rows = d.join(F.broadcast(chosen), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(spread(F.col("text"), params.max_doc_bytes)).alias("text"))
+        out.append([r["text"] for r in sorted(rows.collect(), key=lambda r: r["doc_id"])])
     return out[0], out[1]
 
 
@@ -210,14 +211,14 @@ ADDED = ("score", "toxic_windows")
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """docs with `score` and `toxic_windows`; one narrow pass, no shuffle."""
-    keep = [c for c in docs.columns if c not in ADDED]
+    keep = [c for c in docs.columns if c.lower() not in ADDED]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("score", T.DoubleType()), T.StructField("toxic_windows", T.LongType())])
     names = [c for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Compressors(model) if model.weights else None
         for batch in batches:
-            data, offsets = buffers(batch.column(names.index("text")))
+            data, offsets = buffers(batch.column(position(names, "text")))
             low = LOWER[data].tobytes()
             got = [score_bytes(low[a:b], model, c) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             cols = [*batch.columns, pa.array([s for s, _ in got], pa.float64()), pa.array([n for _, n in got], pa.int64())]
