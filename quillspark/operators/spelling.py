@@ -39,6 +39,31 @@ def masked(w: Column) -> Column:
     return F.flatten(F.transform(at, lambda i: F.transform(F.filter(at, lambda j: j > i), lambda j: both(i, j))))
 
 
+#: From these lengths on, words are matched by intact parts; left-out letters and masks grow with a word's length squared and cubed.
+LONG_ONE, LONG_TWO = 32, 17
+
+
+def one_edit_keys(w: Column) -> Column:
+    """Keys of which two words one edit or swap apart share one: without a letter, or of long words an intact beginning or end."""
+    n = F.length(w)
+
+    def ends(m: Column) -> Column:
+        p = (F.floor(m / 2) - 1).cast("int")
+        return F.array(F.concat(F.lit("<"), F.substring(w, F.lit(1), p)), F.concat(F.lit(">"), F.substring(w, n - p + 1, p)))
+
+    short, long = F.concat(F.array(w), without_one(w)), F.concat(ends(n - 1), ends(n))
+    # Words of both kinds of length may be one apart.
+    return F.array_distinct(F.when(n < LONG_ONE, short).when(n > LONG_ONE + 1, long).otherwise(F.concat(short, long)))
+
+
+def two_edit_keys(w: Column) -> Column:
+    """Keys of which two words of one length with two other letters share one: with two masked, or of long words an intact third."""
+    n = F.length(w)
+    a, b = F.floor(n / 3).cast("int"), F.floor(n * 2 / 3).cast("int")
+    part = lambda i, lo, size: F.concat_ws(":", n.cast("string"), F.lit(i), F.substring(w, lo, size))
+    return F.when(n < LONG_TWO, masked(w)).otherwise(F.array(part("1", F.lit(1), a), part("2", a + 1, b - a), part("3", b + 1, n - b)))
+
+
 def is_plausible(wrong: Column, candidate: Column) -> Column:
     """Whether a recognizer could have read one for the other: one or two letters that look alike, or one letter lost or gained."""
     a, b = F.lower(wrong), F.lower(candidate)
@@ -71,11 +96,11 @@ def corrections(unknown: DataFrame, vocabulary: DataFrame) -> DataFrame:
     Dictionary words one edit away (a swap is one) shut out those two edits away, even if none of them is plausible; of several the most frequent wins.
     """
     v = vocabulary.select(F.col("word"), F.col("freq"))
-    near = lambda c: F.explode(F.array_distinct(F.concat(F.array(F.col(c)), without_one(F.col(c))))).alias("k")
+    near = lambda c: F.explode(one_edit_keys(F.col(c))).alias("k")
     one = unknown.select("wrong", near("wrong")).join(v.select("word", "freq", near("word")), "k").select("wrong", "word", "freq").distinct()
     one = one.where((F.levenshtein("wrong", "word") == 1) | _transposed(F.col("wrong"), F.col("word")))
     rest = unknown.join(one, "wrong", "left_anti")
-    two = rest.select("wrong", F.explode(masked(F.col("wrong"))).alias("k")).join(v.select("word", "freq", F.explode(masked(F.col("word"))).alias("k")), "k").select("wrong", "word", "freq").distinct()
+    two = rest.select("wrong", F.explode(two_edit_keys(F.col("wrong"))).alias("k")).join(v.select("word", "freq", F.explode(two_edit_keys(F.col("word"))).alias("k")), "k").select("wrong", "word", "freq").distinct()
     good = one.unionByName(two).where(is_plausible(F.col("wrong"), F.col("word")))
     best = F.row_number().over(Window.partitionBy("wrong").orderBy(F.desc("freq"), "word"))
     return good.withColumn("_n", best).where("_n = 1").select("wrong", F.col("word").alias("right"))

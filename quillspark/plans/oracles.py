@@ -359,6 +359,57 @@ both_kinds AS (SELECT doc_id, page_no, 0 AS o, elem_idx AS i, 'signature' AS typ
   UNION ALL SELECT doc_id, page_no, 1, i, 'handwriting', kept[i].x1, kept[i].y1, kept[i].x2, kept[i].y2 FROM last, unnest(range(1, len(kept) + 1)) t(i))"""
 add("r2_handwritten_regions", "SELECT doc_id, page_no, (row_number() OVER (PARTITION BY doc_id, page_no ORDER BY o, i) - 1)::INT AS region_idx, type, x1, y1, x2, y2 FROM both_kinds", _REGIONS, True)
 
+# --- spelling, by comparing every unknown word with every dictionary word of about its length
+
+_OTHERS = r"""others AS (SELECT v, row_number() OVER (ORDER BY v) AS n FROM (SELECT DISTINCT unnest(string_split(regexp_replace(lower(text), '[\x00-\x7F]', '', 'g'), '')) AS v FROM (SELECT text FROM documents UNION ALL SELECT '“”–…') d) q WHERE v <> ''),
+ codes AS (SELECT coalesce(string_agg(v, '' ORDER BY n), '') AS from_, coalesce(string_agg(chr((CASE WHEN n <= 26 THEN 64 + n WHEN n <= 34 THEN n - 26 ELSE n - 21 END)::INT), '' ORDER BY n), '') AS to_ FROM others)"""
+
+
+def coded(x: str) -> str:
+    """x, in lower case, with a free byte for each other character than ASCII: DuckDB's distances are of bytes."""
+    return f"translate({x}, (SELECT from_ FROM codes), (SELECT to_ FROM codes))"
+
+
+_PAIRS = sorted({*CONFUSED, *(p[::-1] for p in CONFUSED)})
+_apart = "list_filter(range(1, length(wrong) + 1), lambda i: wrong[i] <> word[i])"
+_swapped = f"(len({_apart}) = 2 AND ({_apart})[2] = ({_apart})[1] + 1 AND wrong[({_apart})[1]] = word[({_apart})[2]] AND wrong[({_apart})[2]] = word[({_apart})[1]])"
+_long, _short = "CASE WHEN length(wrong) < length(word) THEN word ELSE wrong END", "CASE WHEN length(wrong) < length(word) THEN wrong ELSE word END"
+_lost = f"list_filter(range(1, length({_long}) + 1), lambda i: substr({_long}, 1, i - 1) || substr({_long}, i + 1) = ({_short}))"
+_plausible = (
+    f"CASE WHEN length(wrong) = length(word) THEN len({_apart}) BETWEEN 1 AND 2 AND len(list_filter({_apart}, lambda i: wrong[i] || word[i] NOT IN {tuple(_PAIRS)})) = 0 "
+    f"ELSE coalesce(regexp_matches(({_long})[({_lost})[1]], '^[a-jl-rt-wy]$'), FALSE) END"
+)
+_VOCABULARY = r"""voc AS MATERIALIZED (SELECT word, count(*) AS freq FROM (SELECT unnest(string_split_regex(lower(text), '[^\p{L}]+')) AS word FROM documents) q WHERE word <> '' GROUP BY word HAVING count(*) >= 2)"""
+
+
+def corrections() -> str:
+    """CTEs from unknown (wrong) to best (wrong, right)."""
+    return f"""
+u AS MATERIALIZED (SELECT wrong, length(wrong) AS n, {coded('wrong')} AS cw FROM unknown), v AS MATERIALIZED (SELECT word, freq, length(word) AS n, {coded('word')} AS cv FROM voc),
+same AS MATERIALIZED (SELECT wrong, word, freq, hamming(cw, cv) AS h FROM u JOIN v USING (n) WHERE hamming(cw, cv) <= 2),
+one AS MATERIALIZED (SELECT wrong, word, freq FROM same WHERE h = 1 OR h = 2 AND {_swapped} UNION ALL SELECT wrong, word, freq FROM u JOIN v ON v.n = u.n + 1 WHERE levenshtein(cw, cv) = 1 UNION ALL SELECT wrong, word, freq FROM u JOIN v ON v.n = u.n - 1 WHERE levenshtein(cw, cv) = 1),
+near AS (SELECT * FROM one UNION ALL SELECT wrong, word, freq FROM same WHERE h = 2 AND wrong NOT IN (SELECT wrong FROM one)),
+best AS MATERIALIZED (SELECT wrong, arg_min(word, (-freq, word)) AS "right" FROM near WHERE {_plausible} GROUP BY wrong)"""
+
+
+ORACLES["step12_spelling"] = f"""
+WITH {_OTHERS}, {_VOCABULARY},
+unknown AS MATERIALIZED (SELECT DISTINCT translate(word, 'eo', 'co') AS wrong FROM voc WHERE length(word) >= 5 AND translate(word, 'eo', 'co') NOT IN (SELECT word FROM voc)), {corrections()}
+SELECT wrong, "right" FROM best"""
+
+_upper = "regexp_matches(st, '^[^\\p{Ll}]*\\p{Lu}[^\\p{Ll}]*$')"
+_eligible = f"length(st) >= 5 AND NOT ({_upper} AND length(st) <= 6) AND NOT regexp_matches(st, '[\\p{{Nd}}/-]') AND NOT (regexp_matches(st, '^\\p{{Lu}}') AND NOT {_upper})"
+_shout = lambda x: f"upper(replace({x}, 'ß', 'SS'))"
+add(
+    "step12_correct_texts",
+    f"SELECT {K}, coalesce(fixed, content) AS content FROM heard LEFT JOIN lines2 USING (doc_id, page_no, elem_idx)",
+    f"{_OTHERS}, {_VOCABULARY}, heard AS MATERIALIZED (SELECT {K}, translate(content, 'eo', 'co') AS content FROM texts),"
+    f" tokens AS (SELECT {K}, i, w[i] AS token, regexp_replace(w[i], '[:.,;!?]+$', '') AS st FROM (SELECT {K}, {words('content')} AS w FROM heard) q, unnest(range(1, len(w) + 1)) t(i)),"
+    f" named AS MATERIALIZED (SELECT *, CASE WHEN {_eligible} THEN lower(st) END AS wrong FROM tokens),"
+    f" unknown AS MATERIALIZED (SELECT DISTINCT wrong FROM named WHERE wrong IS NOT NULL AND wrong NOT IN (SELECT word FROM voc)), {corrections()},"
+    f" lines2 AS (SELECT {K}, string_agg(coalesce(CASE WHEN st = {_shout('st')} THEN {_shout('b.right')} ELSE b.right END || substr(token, length(st) + 1), token), ' ' ORDER BY i) AS fixed FROM named LEFT JOIN best b USING (wrong) GROUP BY ALL)",
+)
+
 _re2_spaced = "lower(text)"
 for _p, _r in ((r"\s+([.,;:!?])", r"\1"), (r"([(\[{])\s+", r"\1"), (r"\s+([)\]}])", r"\1"), (r"([!?.,;:])\s+([!?.,;:])", r"\1\2"), (r"(\w)\s+-\s+(\w)", r"\1-\2"), (r"(\w)\s+''\s*(\w)", r"\1''\2"), (r"(\w)\s+''", r"\1''"), (r"''\s+(\w)", r"''\1"), (" {2,}", " ")):
     _re2_spaced = sub(_re2_spaced, _p, _r)
@@ -423,11 +474,6 @@ _punct = PUNCTUATION.replace("'", "''")
 _chars = lambda x, flex: f"translate(replace(lower({x}), ' ', ''), '{_punct}', '')" if flex else f"replace(lower({x}), ' ', '')"
 
 
-def coded(x: str) -> str:
-    """x, in lower case, with a free byte for each other character than ASCII: the distance is one of bytes here."""
-    return f"translate({x}, (SELECT from_ FROM codes), (SELECT to_ FROM codes))"
-
-
 def cer(flex: bool) -> str:
     t, h = ("ft", "fh") if flex else ("st", "sh")
     return f"round(CASE WHEN length({t}) = 0 THEN 0.0 ELSE levenshtein({coded(t)}, {coded(h)})::DOUBLE / length({t}) END, 9)"
@@ -436,8 +482,7 @@ def cer(flex: bool) -> str:
 ORACLES["e_character_metrics"] = rf"""
 WITH t AS (SELECT doc_id, i - 1 AS line_no, a[i] AS truth FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents) q, unnest(range(1, len(a) + 1)) t(i)),
  p AS (SELECT *, CASE WHEN line_no % 2 = 0 THEN regexp_replace(translate(truth, 'eo.', 'co,'), '^\S+\s+', '') ELSE translate(truth, 'eo.', 'co,') END AS heard FROM t),
- others AS (SELECT v, row_number() OVER (ORDER BY v) AS n FROM (SELECT DISTINCT unnest(string_split(regexp_replace(lower(text), '[\x00-\x7F]', '', 'g'), '')) AS v FROM documents) q WHERE v <> ''),
- codes AS (SELECT coalesce(string_agg(v, '' ORDER BY n), '') AS from_, coalesce(string_agg(chr((CASE WHEN n <= 26 THEN 64 + n WHEN n <= 34 THEN n - 26 ELSE n - 21 END)::INT), '' ORDER BY n), '') AS to_ FROM others),
+ {_OTHERS},
  c AS (SELECT *, {_chars('truth', False)} AS st, {_chars('heard', False)} AS sh, {_chars('truth', True)} AS ft, {_chars('heard', True)} AS fh FROM p)
 SELECT doc_id, line_no, {cer(False)} AS strict_cer, {cer(True)} AS flexible_cer, len({words('lower(truth)')})::INT AS total_ref_words, length(st)::INT AS total_ref_chars FROM c"""
 add(

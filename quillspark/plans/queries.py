@@ -237,8 +237,8 @@ def step11_parentheses(spark, d):
 
 @query
 def step12_spelling(spark, d):
-    """Frequent English words with a letter misread, corrected against the corpus's own words."""
-    docs = _read(spark, d, "documents").where("lang = 'en'")
+    """Words with letters misread, corrected against the corpus's own words."""
+    docs = _read(spark, d, "documents")
     vocabulary = spelling.vocabulary_of(docs)
     wrong = vocabulary.where("length(word) >= 5").select(F.translate("word", "eo", "co").alias("wrong")).distinct().join(vocabulary.select(F.col("word").alias("wrong")), "wrong", "left_anti")
     return spelling.corrections(wrong, vocabulary)
@@ -246,7 +246,7 @@ def step12_spelling(spark, d):
 
 @query
 def step12_correct_texts(spark, d):
-    docs = _read(spark, d, "documents").where("lang = 'en'")
+    docs = _read(spark, d, "documents")
     e = elements(spark, d).where("type = 'text'").withColumn("content", F.translate("content", "eo", "co"))
     return spelling.correct_nonwords(e, spelling.vocabulary_of(docs)).select(*KEY, "content")
 

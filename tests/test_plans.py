@@ -117,6 +117,21 @@ def test_corrections_equal_brute_force(spark):
     assert {r.wrong: r.right for r in got.collect()} == corrections_by_force(wrong, vocabulary)
 
 
+def test_long_words_are_corrected_as_short_ones(spark):
+    import random
+
+    rng = random.Random(6)
+    vocabulary = {"".join(rng.choice("acehilnotu") for _ in range(n)): 1 + n % 7 for n in (15, 16, 17, 18, 25, 30, 31, 32, 33, 34, 35, 50, 51) for _ in range(12)}
+    wrong = set()
+    for k, w in enumerate(vocabulary):
+        i, j = sorted(rng.sample(range(len(w) - 1), 2))
+        swap = lambda x, at: x[:at] + {"e": "c", "a": "o", "l": "i", "h": "n"}.get(x[at], x[at]) + x[at + 1 :]
+        wrong |= {swap(w, i), swap(swap(w, i), j), w[:i] + w[i + 1 :], w[:j] + "t" + w[j:], w[:i] + w[i + 1] + w[i] + w[i + 2 :]}
+    wrong = sorted(w for w in wrong if w not in vocabulary)
+    got = spelling.corrections(spark.createDataFrame([(w,) for w in wrong], "wrong string"), spark.createDataFrame(list(vocabulary.items()), "word string, freq long"))
+    assert {r.wrong: r.right for r in got.collect()} == corrections_by_force(wrong, vocabulary)
+
+
 def test_spelling_guards(spark):
     vocabulary = spark.createDataFrame([("hello", 5), ("house", 3)], "word string, freq long")
     df = page(spark, text("hcllo, HCLLOO  Hcllo hcll0 a-hcllo HCLLO house"), text(""))
@@ -141,7 +156,7 @@ def test_sql_functions(spark):
 @pytest.fixture(scope="module")
 def duck(sf):
     con = duckdb.connect()
-    for t in ("documents", "events", "orders"):
+    for t in ("documents", "events", "orders", "supplier"):
         con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     return con
 
