@@ -476,15 +476,53 @@ _chars = lambda x, flex: f"translate(replace(lower({x}), ' ', ''), '{_punct}', '
 
 def cer(flex: bool) -> str:
     t, h = ("ft", "fh") if flex else ("st", "sh")
-    return f"round(CASE WHEN length({t}) = 0 THEN 0.0 ELSE levenshtein({coded(t)}, {coded(h)})::DOUBLE / length({t}) END, 9)"
-
-
+    return f"CASE WHEN length({t}) = 0 THEN 0.0::DOUBLE ELSE levenshtein({coded(t)}, {coded(h)})::DOUBLE / length({t}) END"
+
+
+_heard = r"CASE WHEN line_no % 2 = 0 THEN regexp_replace(translate(line, 'eo.', 'co,'), '^\S+\s+', '') ELSE translate(line, 'eo.', 'co,') END"
+_lines = "SELECT doc_id, i - 1 AS line_no, a[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents) q, unnest(range(1, len(a) + 1)) t(i)"
+
+
+def measures(truth: str) -> str:
+    """CTEs up to measured: error rates of each line, truth being an expression of it.
+
+    Words are bytes where a line has few enough; else their distance goes by anti-diagonals, whose cells don't depend on each other; d1 and d2 are the last two of them.
+    """
+    spaced = lambda x: f"translate(lower({x}), '{_punct}', '{' ' * len(PUNCTUATION)}')"
+    low = lambda k: f"greatest(0, {k} - m)"
+    cell = f"CASE WHEN i = 0 OR i = k + 1 THEN k + 1 ELSE least(d1[i - {low('k')}] + 1, d1[i - {low('k')} + 1] + 1, d2[i - {low('(k - 1)')}] + CASE WHEN a[i] = b[k + 1 - i] THEN 0 ELSE 1 END) END"
+    as_bytes = lambda x: f"array_to_string(list_transform({x}, lambda v: chr(v::INT)), '')"
+    rate = lambda d, n: f"CASE WHEN {n} = 0 THEN 0.0::DOUBLE ELSE {d}::DOUBLE / {n} END"
+    return rf"""t AS ({_lines}), {_OTHERS},
+ p AS MATERIALIZED (SELECT doc_id, line_no, {truth} AS truth, {_heard} AS heard FROM t),
+ c AS (SELECT *, {_chars('truth', False)} AS st, {_chars('heard', False)} AS sh, {_chars('truth', True)} AS ft, {_chars('heard', True)} AS fh FROM p),
+ chars AS MATERIALIZED (SELECT doc_id, line_no, {cer(False)} AS strict_cer, {cer(True)} AS flexible_cer, length(st)::INT AS total_ref_chars FROM c),
+ w AS (SELECT doc_id, line_no, 0 AS flex, {words('lower(truth)')} AS x, {words('lower(heard)')} AS y FROM p UNION ALL SELECT doc_id, line_no, 1, {words(spaced('truth'))}, {words(spaced('heard'))} FROM p),
+ coded_words AS MATERIALIZED (SELECT doc_id, line_no, flex, list_transform(x, lambda v: list_position(known, v)) AS a, list_transform(y, lambda v: list_position(known, v)) AS b, len(x) AS n, len(y) AS m, len(known) AS size FROM (SELECT *, list_distinct(list_concat(x, y)) AS known FROM w) q),
+ diagonal(doc_id, line_no, flex, k, a, b, n, m, d1, d2) USING KEY (doc_id, line_no, flex) AS (SELECT doc_id, line_no, flex, 0::BIGINT, a, b, n, m, [0::BIGINT], []::BIGINT[] FROM coded_words WHERE size > 127
+  UNION SELECT doc_id, line_no, flex, k + 1, a, b, n, m, list_transform(range({low('(k + 1)')}, least(k + 1, n) + 1), lambda i: {cell}), d1 FROM diagonal WHERE k < n + m),
+ done AS MATERIALIZED (SELECT doc_id, line_no, flex, n, d1[1] AS d FROM diagonal WHERE k = n + m
+  UNION ALL SELECT doc_id, line_no, flex, n, levenshtein({as_bytes('a')}, {as_bytes('b')}) FROM coded_words WHERE size <= 127),
+ rates AS (SELECT s.doc_id, s.line_no, {rate('s.d', 's.n')} AS strict_wer, {rate('f.d', 'f.n')} AS flexible_wer, s.n::INT AS total_ref_words FROM done s JOIN done f ON s.doc_id = f.doc_id AND s.line_no = f.line_no AND s.flex = 0 AND f.flex = 1),
+ errors AS (SELECT *, trunc(flexible_wer * greatest(total_ref_words, 1))::INT AS content_errors FROM rates),
+ measured AS MATERIALIZED (SELECT *, greatest(0, trunc(strict_wer * greatest(total_ref_words, 1))::INT - content_errors) AS formatting_errors FROM errors JOIN chars USING (doc_id, line_no))"""
+
+
+_all = ", ".join(f"round({c}, 9) AS {c}" for c in ("strict_wer", "flexible_wer", "strict_cer", "flexible_cer"))
 ORACLES["e_character_metrics"] = rf"""
-WITH t AS (SELECT doc_id, i - 1 AS line_no, a[i] AS truth FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents) q, unnest(range(1, len(a) + 1)) t(i)),
- p AS (SELECT *, CASE WHEN line_no % 2 = 0 THEN regexp_replace(translate(truth, 'eo.', 'co,'), '^\S+\s+', '') ELSE translate(truth, 'eo.', 'co,') END AS heard FROM t),
- {_OTHERS},
+WITH t AS ({_lines}), {_OTHERS},
+ p AS (SELECT doc_id, line_no, line AS truth, {_heard} AS heard FROM t),
  c AS (SELECT *, {_chars('truth', False)} AS st, {_chars('heard', False)} AS sh, {_chars('truth', True)} AS ft, {_chars('heard', True)} AS fh FROM p)
-SELECT doc_id, line_no, {cer(False)} AS strict_cer, {cer(True)} AS flexible_cer, len({words('lower(truth)')})::INT AS total_ref_words, length(st)::INT AS total_ref_chars FROM c"""
+SELECT doc_id, line_no, round({cer(False)}, 9) AS strict_cer, round({cer(True)}, 9) AS flexible_cer, len({words('lower(truth)')})::INT AS total_ref_words, length(st)::INT AS total_ref_chars FROM c"""
+ORACLES["e_metrics"] = f"WITH RECURSIVE {measures('line')} SELECT doc_id, line_no, {_all}, formatting_errors, content_errors, total_ref_words, total_ref_chars FROM measured"
+_scored = f"""WITH RECURSIVE {measures(underscores('line'))},
+ kinds AS (SELECT *, doc_id * 1000000 + line_no AS id FROM measured), typed AS (SELECT *, CASE id % 3 WHEN 0 THEN 'typed' WHEN 1 THEN 'handwritten' ELSE 'other' END AS kind FROM kinds),
+ limits AS (SELECT *, CASE kind WHEN 'handwritten' THEN 0.2 ELSE 0.4 END::DOUBLE AS wer_limit, CASE kind WHEN 'handwritten' THEN 0.1 WHEN 'typed' THEN 0.3 ELSE 0.2 END::DOUBLE AS cer_limit FROM typed),
+ scored AS MATERIALIZED (SELECT *, flexible_wer <= wer_limit AS wer_pass, flexible_cer <= cer_limit AS cer_pass FROM limits),
+ total AS (SELECT count(*) AS n, count(*) FILTER (wer_pass AND cer_pass) AS passed, avg(strict_wer) AS wer, avg(strict_cer) AS cer, avg(flexible_wer) AS fwer, avg(flexible_cer) AS fcer, sum(formatting_errors)::BIGINT AS formatting_errors, sum(content_errors)::BIGINT AS content_errors FROM scored)"""
+ORACLES["e9_pass_fail"] = f"{_scored} SELECT id AS doc_id, kind AS truth_type, round(flexible_wer, 9) AS flexible_wer, round(flexible_cer, 9) AS flexible_cer, wer_limit, cer_limit, wer_pass, cer_pass, wer_pass AND cer_pass AS passed FROM scored"
+ORACLES["e10_summary"] = f"{_scored} SELECT n AS expected, n AS total, passed, round(wer, 9) AS avg_wer, round(cer, 9) AS avg_cer, round(fwer, 9) AS avg_flexible_wer, round(fcer, 9) AS avg_flexible_cer, formatting_errors, content_errors, n > 0 AND passed = n AS succeeded FROM total"
+ORACLES["e11_baseline"] = f"{_scored} SELECT round((0.25 - wer) * 100, 7) AS wer_delta, round((0.10 - cer) * 100, 7) AS cer_delta, passed - 1 AS passed_before, passed, n AS total_before, n AS total FROM total"
 add(
     "v_display",
     "SELECT doc_id, CASE WHEN type = 'text' AND source_model = 'trocr' THEN 'text_trocr' ELSE type END AS kind, CASE WHEN confidence >= 0.40 THEN '#ff3232' WHEN type = 'text' AND source_model = 'trocr' THEN '#ff8c00' ELSE CASE type WHEN 'text' THEN '#1e90ff' WHEN 'table' THEN '#0064c8' WHEN 'signature' THEN '#9400d3' WHEN 'logo' THEN '#00b4b4' WHEN 'layout_region' THEN '#b4b4b4' ELSE '#c8c8c8' END END AS colour, count(*) AS n FROM elements GROUP BY ALL",

@@ -162,7 +162,7 @@ def duck(sf):
 
 
 ORACLES = __spark_entry__.oracle_sql()
-SLOW = {"e_character_metrics"}
+SLOW = {"e_character_metrics", "e9_pass_fail", "e11_baseline"}
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n in ORACLES and n not in SLOW])
