@@ -7,15 +7,13 @@ bytes a distinct n-gram and task; each range is merged by streaming its runs.
 
 The filter is one of segments, a segment a hash range.  An n-gram of count c is
 held at the levels 1 to 1 + floor(log2 c): level j is a set of bits chosen by
-hashes of the n-gram and j.  Without `singles` bigrams are held at the levels 1
-to floor(log2 c), so that one seen once is not held.  A count is read back by probing level after level
+hashes of the n-gram and j.  A count is read back by probing level after level
 until one is missing.  Bigram and word estimates are interpolated.
 
 The filter and the exact word counts are broadcast only while they are within
-`max_filter_bytes` and `max_vocab_bytes`.  Beyond, with `segmented`, the hashes
-of each run of texts are sent to the segments of their ranges, probed there and
-sent back: the same bits and hashes, so equal scores at every size.  Without it
-the tokens are joined with the counts themselves, which has no false positives.
+`max_filter_bytes` and `max_vocab_bytes`.  Beyond, the hashes of each run of
+texts are sent to the segments of their ranges, probed there and sent back: the
+same bits and hashes, false positives included, so equal scores at every size.
 
 Defined results: a null text is an empty one (one token, the end); long texts
 are scored whole; repeated rows get equal scores; without training texts every
@@ -50,8 +48,6 @@ class LmParams:
     held_tokens: int = 1_500_000
     max_vocab_bytes: int = 128 << 20
     max_filter_bytes: int = 128 << 20
-    singles: bool = False
-    segmented: bool = False
 
 
 def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,7 +93,7 @@ SEGMENT = "range int, bits binary, size long, keys binary, counts binary, n long
 
 
 def count(training: DataFrame, params: LmParams = LmParams()) -> tuple[Table, int]:
-    """The counts over all training texts as packed rows (range, kind, keys, counts, n, total), one a range and kind, or if segmented as rows of SEGMENT (with the words' keys and counts), one a range; and the number of ranges."""
+    """The filter's segments and the words' counts over all training texts as rows of SEGMENT, one a range; and the number of ranges."""
     spark = training.sparkSession
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes(training) // params.range_bytes))
 
@@ -125,7 +121,7 @@ def count(training: DataFrame, params: LmParams = LmParams()) -> tuple[Table, in
                     held, size = {WORD: [], PAIR: []}, 0
         yield from out()
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         runs: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
         waiting: dict[tuple[int, int], int] = {}
         for batch in batches:
@@ -138,38 +134,31 @@ def count(training: DataFrame, params: LmParams = LmParams()) -> tuple[Table, in
                     waiting[at] = 1
         for (r, kind), parts in sorted(runs.items()):
             k, c = _added(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]))
-            total, n = int(c.sum()), len(k)
-            if kind == PAIR and not params.singles:
-                k, c = k[c > 1], c[c > 1]
-            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([kind], pa.int32()), pa.array([k.tobytes()], pa.binary()), pa.array([c.astype(np.int64).tobytes()], pa.binary()), pa.array([n], pa.int64()), pa.array([total], pa.int64())], names=["range", "kind", "keys", "counts", "n", "total"])
+            yield r, kind, k, c.astype(np.int64)
 
     def seal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r, group in itertools.groupby(merge(batches), key=lambda b: b.column(0)[0].as_py()):
+        for r, group in itertools.groupby(merge(batches), key=lambda x: x[0]):
             parts, words = [], (b"", b"", 0, 0)
-            for b in group:
-                kind, *row = (c[0].as_py() for c in b.columns[1:])
-                parts.append((kind, np.frombuffer(row[0], U64), np.frombuffer(row[1], np.int64)))
+            for _, kind, k, c in group:
+                parts.append((kind, k, c))
                 if kind == WORD:
-                    words = tuple(row)
+                    words = (k.tobytes(), c.tobytes(), len(k), int(c.sum()))
             bits, size = segment(parts, params)
             yield pa.RecordBatch.from_pylist([dict(zip((c.split()[0] for c in SEGMENT.split(", ")), (r, bits.tobytes(), size, *words)))], schema=pa.schema([("range", pa.int32()), ("bits", pa.binary()), ("size", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("n", pa.int64()), ("total", pa.int64())]))
 
     packed = training.select(F.col("text").cast("string")).mapInArrow(run, "range int, kind int, keys binary, counts binary")
     packed = packed.repartitionById(min(ranges, 50_000), F.col("range") % F.lit(min(ranges, 50_000)))
-    if params.segmented:
-        return Table(packed.mapInArrow(seal, SEGMENT), "segments"), ranges
-    return Table(packed.mapInArrow(merge, "range int, kind int, keys binary, counts binary, n long, total long"), "ngrams"), ranges
+    return Table(packed.mapInArrow(seal, SEGMENT), "segments"), ranges
 
 
-def levels_of(counts: np.ndarray, kind: int, singles: bool = False) -> np.ndarray:
-    """The quantised count: 1 + floor(log2 c), or floor(log2 c) for bigrams without singles."""
-    return np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64) + (1 if kind == WORD or singles else 0)
+def levels_of(counts: np.ndarray) -> np.ndarray:
+    """The quantised count: 1 + floor(log2 c)."""
+    return np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64) + 1
 
 
-def estimate(level: np.ndarray, kind: int, singles: bool = False) -> np.ndarray:
+def estimate(level: np.ndarray) -> np.ndarray:
     """The middle of the counts of a level; 0 of level 0."""
-    low = 2.0 ** (level - (1 if kind == WORD or singles else 0))
-    return np.where(level > 0, 1.5 * low - 0.5, 0.0)
+    return np.where(level > 0, 1.5 * 2.0 ** (level - 1) - 0.5, 0.0)
 
 
 class Filter:
@@ -204,7 +193,7 @@ class Filter:
 
 def segment(parts: list[tuple[int, np.ndarray, np.ndarray]], params: LmParams) -> tuple[np.ndarray, int]:
     """(bits, size) of one range, from (kind, keys, counts)."""
-    levels = [(kind, k, levels_of(c, kind, params.singles)) for kind, k, c in parts]
+    levels = [(kind, k, levels_of(c)) for kind, k, c in parts]
     items = sum(int(v.sum()) for _, _, v in levels)
     size = max(64, -(-int(items * params.bits_per_item) // 64) * 64) if items else 0
     flags = np.zeros(size, np.uint8)
@@ -216,27 +205,6 @@ def segment(parts: list[tuple[int, np.ndarray, np.ndarray]], params: LmParams) -
     return np.packbits(flags, bitorder="little"), size
 
 
-def build_filter(counts: DataFrame, ranges: int, params: LmParams) -> Filter:
-    """Segments are made by the workers; the caller has checked that together they fit."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
-        for batch in batches:
-            for r, kind, k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                parts.setdefault(r, []).append((kind, np.frombuffer(k.as_py(), U64), np.frombuffer(c.as_py(), np.int64)))
-        for r, p in sorted(parts.items()):
-            bits, size = segment(p, params)
-            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([bits.tobytes()], pa.binary()), pa.array([size], pa.int64())], names=["range", "bits", "size"])
-
-    width = min(ranges, 50_000)
-    rows = counts.select("range", "kind", "keys", "counts").repartitionById(width, F.col("range") % F.lit(width)).mapInArrow(run, "range int, bits binary, size long")
-    sizes, blobs = np.zeros(ranges, np.int64), {}
-    for r in rows.collect():
-        sizes[r["range"]], blobs[r["range"]] = r["size"], bytes(r["bits"])
-    offsets = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    return Filter(np.frombuffer(b"".join(blobs[r] for r in sorted(blobs)), np.uint8), offsets, sizes, params.hashes)
-
-
 def _log10(pair: np.ndarray, context: np.ndarray, word: np.ndarray, total: int, distinct: int, params: LmParams) -> np.ndarray:
     """log10 of the interpolated probability, from count estimates."""
     a = params.smoothing
@@ -270,11 +238,11 @@ def scored(first: np.ndarray, key: np.ndarray, inverse: np.ndarray, c: np.ndarra
     """The same from the distinct tokens' counts and levels and the levels of all bigrams."""
     a = params.smoothing
     base = np.log10((c + a) / (total + a * (distinct + 1)))
-    held = estimate(level, WORD)
+    held = estimate(level)
     word = held[inverse]
     ends = held[np.searchsorted(key, END)]
     context = np.concatenate([[ends], word[:-1]])
-    value = _log10(estimate(pair_level, PAIR, params.singles), context, word, total, distinct, params)
+    value = _log10(estimate(pair_level), context, word, total, distinct, params)
     return np.diff(first), sum_ranges((c > 0).astype(np.int64)[inverse], first), sum_ranges(base[inverse], first), sum_ranges(value, first)
 
 
@@ -284,20 +252,8 @@ RESULT = "doc_id long, n_tokens long, n_known long, train_tokens long, base_scor
 def score(docs: DataFrame, trainable: Column, params: LmParams = LmParams()) -> DataFrame:
     """One row a document; the model learns from the rows where trainable holds, over all of them."""
     table, ranges = count(docs.where(F.coalesce(trainable, F.lit(True))), params)
-    counts = table.df
     slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    if params.segmented:
-        return _by_segments(slim, counts, ranges, params)
-    sums = counts.where(F.col("kind") == WORD).agg(F.sum("n"), F.sum("total"), F.sum(F.octet_length("keys"))).first()
-    distinct, total = int(sums[0] or 0), int(sums[1] or 0)
-    pairs = counts.where(F.col("kind") == PAIR).agg(F.sum(F.octet_length("keys") / 8)).first()[0] or 0
-    # Words average about two levels, held bigrams less.
-    filter_bytes = (2.5 * distinct + 2 * pairs) * params.bits_per_item / 8
-    if 16 * distinct > params.max_vocab_bytes or filter_bytes > params.max_filter_bytes:
-        return _joined(slim, counts, total, distinct, params)
-    words = sorted((r["range"], bytes(r["keys"]), bytes(r["counts"])) for r in counts.where(F.col("kind") == WORD).select("range", "keys", "counts").collect())
-    model = LmModel(np.frombuffer(b"".join(w[1] for w in words), U64), np.frombuffer(b"".join(w[2] for w in words), np.int64), build_filter(counts, ranges, params), total, distinct, params)
-    return _broadcast(slim, model)
+    return _by_segments(slim, table.df, ranges, params)
 
 
 def _broadcast(slim: DataFrame, model: LmModel) -> DataFrame:
@@ -413,49 +369,3 @@ def _probed(slim: DataFrame, segments: DataFrame, ranges: int, total: int, disti
     back = answers.select("run", "kind", "range", null.cast("array<long>").alias("ids"), null.cast("array<string>").alias("texts"), "levels", "exact")
     parts = min(50_000, max(1, -(-text_bytes(slim) // (2 * RUN_BYTES))))
     return kept.unionByName(back).repartition(parts, "run").sortWithinPartitions("run", "kind", "range").mapInArrow(finish, RESULT)
-
-
-def _joined(slim: DataFrame, counts: DataFrame, total: int, distinct: int, params: LmParams) -> DataFrame:
-    """The same scores (without false positives) by shuffle joins of tokens and counts; for models too large to broadcast."""
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for kind, k, c in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                key, n = np.frombuffer(k.as_py(), np.int64), np.frombuffer(c.as_py(), np.int64)
-                for i in range(0, len(key), 65_536):
-                    part = n[i : i + 65_536]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(key[i : i + 65_536]), pa.array(part), pa.array(estimate(levels_of(part, kind, params.singles), kind, params.singles))], names=["kind", "key", "c", "held"])
-
-    known = counts.select("kind", "keys", "counts").mapInArrow(unpack, "kind int, key long, c long, held double")
-    words = known.where(F.col("kind") == WORD).select("key", "c", "held")
-    pairs = known.where(F.col("kind") == PAIR).select(F.col("key").alias("pair"), F.col("held").alias("pair_held"))
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = buffers(batch.column(1))
-            for lo, hi, raw, offs in chunks(data, offsets):
-                t, p, first = tokens(raw, offs)
-                doc = np.repeat(np.arange(lo, hi), np.diff(first))
-                before = np.concatenate([np.array([END], U64), t[:-1]])
-                cols = [batch.column(2).take(pa.array(doc)), batch.column(0).take(pa.array(doc)), pa.array(t.view(np.int64)), pa.array(before.view(np.int64)), pa.array(p.view(np.int64))]
-                for i in range(0, len(doc), 65_536):
-                    yield pa.RecordBatch.from_arrays([c.slice(i, 65_536) for c in cols], names=["row", "doc_id", "key", "context", "pair"])
-
-    rows = slim.withColumn("row", F.monotonically_increasing_id()).mapInArrow(explode, "row long, doc_id long, key long, context long, pair long")
-    # Equal bigrams of a document are joined once.
-    rows = rows.groupBy("row", "doc_id", "key", "context", "pair").agg(F.count("*").alias("times"))
-    d = rows.join(words, "key", "left").join(words.select(F.col("key").alias("context"), F.col("held").alias("context_held")), "context", "left").join(pairs, "pair", "left")
-    a, zero = params.smoothing, F.lit(0.0)
-    c, held = F.coalesce("c", F.lit(0)), F.coalesce("held", zero)
-    context, pair = F.coalesce("context_held", zero), F.coalesce("pair_held", zero)
-    whole = F.lit(total + a * (distinct + 1))
-    share = F.when(context > 0, F.lit(params.bigram_weight)).otherwise(zero)
-    ratio = F.when(context > 0, F.least(F.lit(1.0), pair / context)).otherwise(zero)
-    value = F.log10(share * ratio + (1 - share) * F.least((held + a) / whole, F.lit(1.0)))
-    return d.groupBy("row", "doc_id").agg(
-        F.sum("times").alias("n_tokens"),
-        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        F.sum(F.log10((c + a) / whole) * F.col("times")).alias("base_score"),
-        F.sum(value * F.col("times")).alias("score"),
-    ).drop("row")

@@ -33,7 +33,7 @@ def test_a_bigram_seen_once_raises_the_score(spark, tmp_path):
 def test_segments_score_as_the_broadcast_filter_does(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "RUN_BYTES", 4000)
     # Few bits, so that false positives are common and have to be the same ones.
-    params = lm_score.LmParams(singles=True, segmented=True, bits_per_item=3.0, held_tokens=300)
+    params = lm_score.LmParams(bits_per_item=3.0, held_tokens=300)
     rows = [(i, prose(40, i % 23) + f" Only{i} word") for i in range(60)] + [(90, None), (91, ""), (92, "a A a A a"), (None, "no id"), (93, "x y z")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
     df.cache()
@@ -41,13 +41,15 @@ def test_segments_score_as_the_broadcast_filter_does(spark, monkeypatch):
     show = lambda p: sorted((repr(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 9), round(r.score, 9)) for r in lm_score.score(df, learned, p).collect())
     small = show(params)
     assert len(small) == len(rows) and small == show(dataclasses.replace(params, max_filter_bytes=0)) == show(dataclasses.replace(params, max_vocab_bytes=0))
-    exact = show(dataclasses.replace(params, segmented=False, max_vocab_bytes=0))
-    assert [r[:5] for r in exact] == [r[:5] for r in small] and exact != small
+    more = show(dataclasses.replace(params, bits_per_item=40.0, hashes=20))
+    assert [r[:5] for r in more] == [r[:5] for r in small] and more != small
+    usual = lm_score.LmParams()
+    assert show(usual) == show(dataclasses.replace(usual, max_filter_bytes=0, max_vocab_bytes=0))
 
 
 def test_segments_of_hard_and_missing_texts(hard_docs, empty_docs):
     for most in (128 << 20, -1):
-        params = lm_score.LmParams(singles=True, segmented=True, max_filter_bytes=most)
+        params = lm_score.LmParams(max_filter_bytes=most)
         rows = lm_score.score(hard_docs, F.lit(True), params).collect()
         assert len(rows) == 10 and {r.n_tokens for r in rows if r.doc_id in (3, 4, 5)} == {1}
         assert lm_score.score(empty_docs, F.lit(True), params).count() == 0
