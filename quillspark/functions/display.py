@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 COLOURS = {
@@ -41,3 +41,12 @@ def label(content: Column, source: Column, confidence: Column, hallucination: Co
     notes = F.array_compact(F.array(F.when(source == "trocr", "TrOCR"), F.format_string("%.2f", confidence), F.when(hallucination.isNotNull(), F.format_string("H:%.2f", hallucination))))
     shown = F.when(F.size(notes) > 0, F.concat(F.lit("["), F.array_join(notes, " | "), F.lit("]")))
     return F.concat_ws(" ", F.when(truncate(content) != "", truncate(content)), shown)
+
+
+def shown(df: DataFrame, layout: bool = False, content: bool = True, confidence: bool = True) -> DataFrame:
+    """What a viewer draws of each element: its box, colour and caption; layout regions only if asked for."""
+    kept = df if layout else df.where(~F.col("type").eqNullSafe("layout_region"))
+    score = F.col("hallucination_score") if "hallucination_score" in df.columns else F.lit(None).cast("double")
+    none = F.lit(None).cast("string")
+    caption = label(F.col("content") if content else none, F.col("source_model"), F.col("confidence") if confidence else F.lit(None).cast("double"), score)
+    return kept.select("doc_id", "page_no", "elem_idx", "type", "x1", "y1", "x2", "y2", colour(F.col("type"), F.col("source_model"), score).alias("colour"), F.when(F.lower("type") == "text", caption).alias("label"))

@@ -145,6 +145,10 @@ def test_whole_pipeline(spark):
     assert [r.content for _, r in sorted(got.items())] == ["FAX: 555-123-4567", "Date 13/2/1998", "word here", "wide"]
     assert got[0].normalized_phone == "(555) 123-4567" and got[0].phone_type == "fax" and got[1].date_validation.status == "suspicious"
     assert pipeline.postprocess(df.limit(0)).count() == 0
+    log = {}
+    vocabulary = spark.createDataFrame([("word", 9)], "word string, freq long")
+    assert pipeline.postprocess(df, vocabulary, log=log).count() == 4
+    assert len(log) == 18 and log["empty regions"].get == {"elements": 5, "texts": 5} and log["validation"].get == {"elements": 4, "texts": 4}
 
 
 def test_sql_functions(spark):

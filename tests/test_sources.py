@@ -74,6 +74,11 @@ def test_json_in_and_out(spark, tmp_path):
     page = json.loads(out)["pages"][0]
     assert page["elements"][1]["content"] == "The quick brown fox jumps" and "phone_type" not in page["elements"][1]
     assert json.loads(spark.read.text(str(tmp_path / "out" / "errors")).first().value) == {"filename": "b.pdf", "pages": [], "processing_error": "broken"}
+    shown = str(tmp_path / "shown")
+    assert cli.main([*args, "--display_dir", shown, "--no-content", "--no-confidence"]) == code
+    assert {r.label for r in spark.read.schema("type string, label string").json(shown).where("type = 'text'").collect()} == {""}
+    assert cli.main([*args, "--display_dir", shown]) == code
+    assert [r.label for r in spark.read.json(shown).where("type = 'text'").orderBy("elem_idx").collect()] == ["Name:___ [0.90]", "The quick brown fox jumps [1.00]"]
     assert sinks.load_baseline(spark, str(tmp_path / "base")).first().total == 1
 
 
