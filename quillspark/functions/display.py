@@ -38,7 +38,7 @@ def label(content: Column, source: Column, confidence: Column, hallucination: Co
     """A text element's caption: its start, then who read it, how surely, and its hallucination score."""
     from quillspark.functions.text import truncate
 
-    notes = F.array_compact(F.array(F.when(source == "trocr", "TrOCR"), F.format_string("%.2f", confidence), F.when(hallucination.isNotNull(), F.format_string("H:%.2f", hallucination))))
+    notes = F.array_compact(F.array(F.when(source == "trocr", "TrOCR"), F.when(confidence.isNotNull(), F.format_string("%.2f", confidence)), F.when(hallucination.isNotNull(), F.format_string("H:%.2f", hallucination))))
     shown = F.when(F.size(notes) > 0, F.concat(F.lit("["), F.array_join(notes, " | "), F.lit("]")))
     return F.concat_ws(" ", F.when(truncate(content) != "", truncate(content)), shown)
 

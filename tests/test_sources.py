@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quillspark import cli
-from quillspark.functions import image
+from quillspark.functions import display, image
 from quillspark.operators import cleaning
 from quillspark.sources import documents, sinks
 from quillspark.streaming import run_batches, stream_elements, windowed_counts
@@ -77,11 +77,16 @@ def test_json_in_and_out(spark, tmp_path):
     shown = str(tmp_path / "shown")
     assert cli.main([*args, "--display_dir", shown, "--no-content", "--no-confidence"]) == code
     assert {r.label for r in spark.read.schema("type string, label string").json(shown).where("type = 'text'").collect()} == {""}
-    assert cli.main([*args, "--display_dir", shown]) == code
-    assert [r.label for r in spark.read.json(shown).where("type = 'text'").orderBy("elem_idx").collect()] == ["Name:___ [0.90]", "The quick brown fox jumps [1.00]"]
     assert sinks.load_baseline(spark, str(tmp_path / "base")).first().total == 1
 
 
+def test_what_a_viewer_shows(spark):
+    row = (1, 1, 0, "text", "Name: x", 1.0, 2.0, 3.0, 4.0, 0.9, "trocr")
+    df = spark.createDataFrame([row, (1, 1, 1, "layout_region", None, 0.0, 0.0, 9.0, 9.0, None, None)], "doc_id long, page_no long, elem_idx long, type string, content string, x1 double, y1 double, x2 double, y2 double, confidence double, source_model string")
+    assert [r.label for r in display.shown(df).collect()] == ["Name: x [TrOCR | 0.90]"]
+    assert [r.label for r in display.shown(df, True, False, False).orderBy("elem_idx").collect()] == ["[TrOCR]", None]
+
+
 def test_stream_of_documents(spark, tmp_path, sf):
     columns = "doc_id long, page_no long, elem_idx long, type string, content string"
     rows = [(i, 1, 0, "text", f"  spaced   text {i} ") for i in range(6)]
