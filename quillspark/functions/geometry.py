@@ -72,20 +72,37 @@ def too_large(b: Box, width: Column, height: Column, label: Column) -> Column:
     return F.when((w <= 0) | (h <= 0), True).when(width * height == 0, False).otherwise(w * h / (width * height) > limit)
 
 
+#: Words of a line placed before their boxes are put beside those of others.
+WORDS_AT_ONCE = 64
+
+
 def word_boxes(b: Box, words: Column, least_width: float = 10.0) -> Column:
     """array<struct<word,x1,x2>>: a line's width shared out by word lengths, half a character between words."""
-    sizes = F.transform(words, lambda w: F.greatest(F.length(w), F.lit(1)).cast("double"))
-    units = F.aggregate(sizes, F.lit(0.0), lambda a, s: a + s) + (F.size(words) - 1) * F.lit(0.5)
-    unit = (b[2] - b[0]) / units
-    step = F.struct(F.lit("").alias("word"), b[0].alias("x1"), b[0].alias("x2"))
-    empty = F.filter(F.array(step), lambda s: F.lit(False))
-
-    def add(acc: Column, word: Column) -> Column:
-        start = F.when(F.size(acc["done"]) == 0, b[0]).otherwise(acc["at"] + 0.5 * unit)
-        end = F.least(start + F.greatest(F.greatest(F.length(word), F.lit(1)) * unit, F.lit(least_width)), b[2])
-        piece = F.struct(word.alias("word"), start.alias("x1"), end.alias("x2"))
-        return F.struct(end.alias("at"), F.concat(acc["done"], F.array(piece)).alias("done"))
-
-    folded = F.aggregate(words, F.struct(b[0].alias("at"), empty.alias("done")), add, lambda a: a["done"])
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    length = lambda w: F.greatest(F.length(w), F.lit(1))
+    # 0 for each word before another, so that the sums of lengths and gaps are those of doubles.
+    units = F.aggregate(words, F.lit(0.0), lambda a, w: a + length(w).cast("double")) + (F.size(words) - 1) * F.lit(0.5)
+    piece = F.struct(F.lit("").alias("word"), b[0].alias("x1"), b[0].alias("x2"))
+    none = F.filter(F.array(piece), lambda s: F.lit(False))
+
+    def placed(line: Column) -> Column:
+        """Pieces in parts of a few words each, so that none is copied once a word."""
+        unit = line["unit"]
+
+        def add(acc: Column, word: Column) -> Column:
+            start = F.when(acc["first"], b[0]).otherwise(acc["at"] + 0.5 * unit)
+            end = lambda s: F.least(s + F.greatest(length(word) * unit, F.lit(least_width)), b[2])
+            return let(start, lambda s: let(F.struct(s.alias("s"), end(s).alias("e")), lambda p: F.struct(p["e"].alias("at"), F.lit(False).alias("first"), F.concat(acc["done"], F.array(F.struct(word.alias("word"), p["s"].alias("x1"), p["e"].alias("x2")))).alias("done"))))
+
+        def part(acc: Column, i: Column) -> Column:
+            begun = F.struct(acc["at"].alias("at"), acc["first"].alias("first"), none.alias("done"))
+            walked = F.aggregate(F.slice(line["words"], i * WORDS_AT_ONCE + 1, F.lit(WORDS_AT_ONCE)), begun, add)
+            return let(walked, lambda w: F.struct(w["at"].alias("at"), w["first"].alias("first"), F.concat(acc["parts"], F.array(w["done"])).alias("parts")))
+
+        parts = F.sequence(F.lit(0), F.floor((F.size(line["words"]) - 1) / WORDS_AT_ONCE).cast("int"))
+        nothing = F.filter(F.array(none), lambda s: F.lit(False))
+        return F.aggregate(parts, F.struct(b[0].alias("at"), F.lit(True).alias("first"), nothing.alias("parts")), part, lambda a: F.flatten(a["parts"]))
+
+    folded = let(F.struct(words.alias("words"), ((b[2] - b[0]) / units).alias("unit")), placed)
     one = F.transform(words, lambda w: F.struct(w.alias("word"), b[0].alias("x1"), b[2].alias("x2")))
     return F.when(F.size(words) <= 1, one).otherwise(folded)
