@@ -115,9 +115,11 @@ def dropped_parenthesis(c: Column) -> Column:
 def repeated_words(c: Column) -> tuple[Column, Column]:
     """(text, removed): words that repeat the one before, whatever their case."""
     w = words(c)
-    kept = F.filter(w, lambda x, i: (i == 0) | (F.lower(x) != F.lower(F.get(w, i - 1))))
+    # Pairs with the word before; looking it up by place would split the text again for each word.
+    pairs = F.zip_with(w, F.concat(F.array(F.lit(None).cast("string")), w), lambda x, before: F.struct(x.alias("x"), before.alias("before")))
+    kept = F.filter(pairs, lambda p: p["x"].isNotNull() & (p["before"].isNull() | (F.lower(p["x"]) != F.lower(p["before"]))))
     removed = F.size(w) - F.size(kept)
-    return F.when(removed > 0, F.array_join(kept, " ")).otherwise(c), F.when(removed > 0, removed)
+    return F.when(removed > 0, F.array_join(F.transform(kept, lambda p: p["x"]), " ")).otherwise(c), F.when(removed > 0, removed)
 
 
 def _letters(c: Column) -> Column:

@@ -28,3 +28,13 @@ def test_word_boxes(spark, count):
     r = line.select(of("wide").alias("wide"), of("x2").alias("narrow")).first()
     assert [tuple(w) for w in r.wide] == boxes(words, 40.0, 40.0 + 30 * count) and [tuple(w) for w in r.narrow] == boxes(words, 40.0, 540.0)
     assert time.time() - began < 30
+
+
+def test_repeated_words(spark):
+    words = [w for i in range(15_000) for w in (f"w{i}", f"W{i}", "x")]
+    began = time.time()
+    df = spark.createDataFrame([(" ".join(words),), ("a b",), ("",), (None,), ("x X  x y",)], "c string")
+    r = df.select(*[c.alias(n) for c, n in zip(tx.repeated_words(F.col("c")), ("t", "n"))]).collect()
+    assert (r[0].t, r[0].n) == (" ".join(w for w in words if w[0] != "W"), 15_000)
+    assert [tuple(x) for x in r[1:]] == [("a b", None), ("", None), (None, None), ("x y", 2)]
+    assert time.time() - began < 30
