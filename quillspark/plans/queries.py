@@ -19,7 +19,7 @@ from quillspark.plans import evaluation, pipeline
 from quillspark.plans.fixtures import GRID_COLUMNS, GRID_ROWS, elements
 from quillspark.schema import KEY, PAGE, page_window
 from quillspark.sources.documents import document_metadata
-from quillspark.sources.lineage import cut
+from quillspark.sources.lineage import cut, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -409,6 +409,10 @@ def c_page_class(spark, d):
     return r.select("o_orderkey", F.round("s", 6).alias("typed_score"), "c.document_type", F.round("c.confidence", 6).alias("confidence"))
 
 
+#: Pages that a task measures, some hundredths of a second each.
+PAGES_A_TASK = 250
+
+
 @query
 def c_pixels(spark, d):
     """C1 to C4, C9 and C15: measures of pixels and what follows from them, over pages with bars by arithmetic on the supplier's key."""
@@ -418,7 +422,8 @@ def c_pixels(spark, d):
     row = lambda x, n: F.concat(hexes("FF", x), hexes("00", n), hexes("FF", 200 - x - n))
     blank = lambda n: hexes("FF" * 200, n)
     image = F.concat(blank(10), F.repeat(row(10, head), t), blank(50 - t), F.repeat(row(10, body), t), blank(130 - t), F.repeat(row(30, foot), F.lit(6)), blank(24))
-    m = _read(spark, d, "supplier").select("s_suppkey", image_measures.measures()(F.lit(220), F.lit(200), F.unhex(image)).alias("m"))
+    keys = spread(_read(spark, d, "supplier").select("s_suppkey"), PAGES_A_TASK)
+    m = keys.select("s_suppkey", image_measures.measures()(F.lit(220), F.lit(200), F.unhex(image)).alias("m"))
     f = classify.measured_flags(F.col("m"))
     zone = classify.signature_zone(f["has_signature"])
     return m.select(

@@ -1,4 +1,4 @@
-"""Cutting lineage where a plan's branches would recompute what is above them."""
+"""Cutting lineage where a plan's branches would recompute what is above them, and dealing rows to tasks."""
 
 from __future__ import annotations
 
@@ -16,3 +16,8 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(told or "file://" + tempfile.mkdtemp(prefix="quillspark-"))
     return df.checkpoint()
+
+
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """df dealt evenly to tasks of about so many rows, for work that costs much a row; a few bytes a row make one task otherwise."""
+    return df.repartition(max(1, -(-df.count() // rows)))

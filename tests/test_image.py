@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import classify, image
+from quillspark.plans.queries import QUERIES
 from quillspark.sources import documents
 
 
@@ -110,3 +111,9 @@ def test_images_that_cannot_be_decoded_are_told(spark, tmp_path):
     (tmp_path / "a.png").write_bytes(b"not an image")
     r = documents.read_images(spark, str(tmp_path)).first()
     assert r.processing_error and r.data is None and r.height is None and r.origin.endswith("a.png")
+
+
+def test_pages_are_dealt_to_tasks(spark, tmp_path):
+    spark.range(600).withColumnRenamed("id", "s_suppkey").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    got = QUERIES["c_pixels"](spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert len(got) == 3 and sum(r["count"] for r in got) == 600
