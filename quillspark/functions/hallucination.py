@@ -84,7 +84,9 @@ def has_repetition(content: Column) -> Column:
 
 
 def _repeats(w: Column) -> Column:
-    twice = F.exists(F.transform(w, lambda x, i: (i > 0) & (x == F.get(w, i - 1)) & (F.length(x) > 1)), lambda b: F.coalesce(b, F.lit(False)))
+    # Pairs with the word before: where a filter on the score takes the words' split in, looking a word up by place would split again for each.
+    pairs = F.zip_with(w, F.concat(F.array(F.lit(None).cast("string")), w), lambda x, before: F.coalesce((x == before) & (F.length(x) > 1), F.lit(False)))
+    twice = F.exists(pairs, lambda b: b)
     return (F.size(w) >= 2) & (twice | ((F.size(F.array_distinct(w)) == 1) & (F.size(w) > 2)))
 
 

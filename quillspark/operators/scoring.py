@@ -56,6 +56,8 @@ def score_hallucinations(df: DataFrame, image_width: Column | None = None) -> Da
 def process_hallucinations(df: DataFrame, image_width: Column | None = None, config: Config = DEFAULT) -> DataFrame:
     """Likely hallucinations go; doubtful ones are flagged."""
     df = score_hallucinations(df, image_width)
+    # A filter isn't moved below a window, where it would match every pattern again each time the score names it.
+    df = df.withColumn("raw_score", F.max("raw_score").over(page_window().orderBy("elem_idx").rowsBetween(0, 0)))
     df = df.where(F.col("exempt") | (F.col("raw_score") < config.remove_score))
     flag = ~F.col("exempt") & (F.col("raw_score") > config.flag_score)
     return df.withColumns(

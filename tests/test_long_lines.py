@@ -38,3 +38,20 @@ def test_repeated_words(spark):
     assert (r[0].t, r[0].n) == (" ".join(w for w in words if w[0] != "W"), 15_000)
     assert [tuple(x) for x in r[1:]] == [("a b", None), ("", None), (None, None), ("x y", 2)]
     assert time.time() - began < 30
+
+
+def test_patterns_are_matched_once(spark):
+    """No filter holds the patterns of the score, and repeats in long lines are found in time."""
+    from quillspark.functions import hallucination as h
+    from quillspark.operators import scoring
+
+    words = " ".join(f"w{i}" for i in range(15_000))
+    columns = "doc_id long, page_no long, elem_idx long, type string, content string, x1 double, y1 double, x2 double, y2 double, confidence double, source_model string"
+    rows = [(1, 1, i, "text", c, 100.0, 100.0 + i, 300.0, 120.0 + i, 0.9, "surya") for i, c in enumerate((words, words + " same same", None))]
+    df = spark.createDataFrame(rows, columns)
+    began = time.time()
+    got = df.select("elem_idx", h.has_repetition(F.col("content")).alias("r")).collect()
+    assert [r.r for r in sorted(got)] == [False, True, None]
+    done = scoring.process_hallucinations(df)
+    assert not [line for line in done._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter" in line and "RLIKE" in line]
+    assert done.count() == 3 and time.time() - began < 30
