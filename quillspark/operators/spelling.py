@@ -20,6 +20,8 @@ CONFUSED = "ac ae ao bh bp ce co do eo ft gq hn ij il in it mn nr nu rv uv vw vy
 _PAIRS = sorted({*CONFUSED, *(p[::-1] for p in CONFUSED)})
 _LOST = "^[a-jl-rt-wy]$"
 LEAST_LENGTH = 5
+#: Keys to which the tokens of one word are dealt.
+DEALS = 16
 ENDING = "[:.,;!?]+$"
 
 
@@ -112,7 +114,11 @@ def correct_nonwords(df: DataFrame, vocabulary: DataFrame) -> DataFrame:
     parts = text.select(*KEY, F.posexplode(tx.words(F.col("content"))).alias("i", "token"))
     parts = parts.withColumn("stripped", F.regexp_replace("token", ENDING, "")).withColumn("wrong", F.when(is_eligible(F.col("stripped")), F.lower("stripped")))
     unknown = parts.where(F.col("wrong").isNotNull()).select("wrong").distinct().join(vocabulary.select(F.col("word").alias("wrong")), "wrong", "left_anti")
-    fixed = parts.join(corrections(unknown, vocabulary), "wrong", "left")
+    # Frequent words, and those that need no correction, are dealt to several keys; else each would go to one task.
+    dealt = F.xxhash64(*KEY, "i")
+    parts = parts.withColumn("deal", F.when(F.col("wrong").isNotNull(), F.pmod(dealt, F.lit(DEALS))).otherwise(dealt))
+    known = corrections(unknown, vocabulary).withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1)).cast("array<long>")))
+    fixed = parts.join(known, ["wrong", "deal"], "left")
     upper = F.col("stripped") == F.upper("stripped")
     right = F.concat(F.when(upper, F.upper("right")).otherwise(F.col("right")), F.expr("substring(token, length(stripped) + 1)"))
     item = F.struct("i", F.coalesce(right, F.col("token")).alias("t"))

@@ -55,3 +55,14 @@ def test_patterns_are_matched_once(spark):
     done = scoring.process_hallucinations(df)
     assert not [line for line in done._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter" in line and "RLIKE" in line]
     assert done.count() == 3 and time.time() - began < 30
+
+
+def test_tokens_of_one_word_are_dealt(spark):
+    """Short words, and many tokens of one misread word, don't all go to one key of the join."""
+    from quillspark.operators import spelling
+
+    df = spark.range(400).selectExpr("id AS doc_id", "1L AS page_no", "0L AS elem_idx", "'text' AS type", "'of thc  housc! ' AS content")
+    vocabulary = spark.createDataFrame([("house", 9), ("the", 9)], "word string, freq long")
+    done = spelling.correct_nonwords(df, vocabulary)
+    assert {(r.content, r["count"]) for r in done.groupBy("content").count().collect()} == {("of thc house!", 400)}
+    assert "deal" in done._jdf.queryExecution().optimizedPlan().toString()
