@@ -80,7 +80,6 @@ def word_boxes(b: Box, words: Column, least_width: float = 10.0) -> Column:
     """array<struct<word,x1,x2>>: a line's width shared out by word lengths, half a character between words."""
     let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
     length = lambda w: F.greatest(F.length(w), F.lit(1))
-    # 0 for each word before another, so that the sums of lengths and gaps are those of doubles.
     units = F.aggregate(words, F.lit(0.0), lambda a, w: a + length(w).cast("double")) + (F.size(words) - 1) * F.lit(0.5)
     piece = F.struct(F.lit("").alias("word"), b[0].alias("x1"), b[0].alias("x2"))
     none = F.filter(F.array(piece), lambda s: F.lit(False))
