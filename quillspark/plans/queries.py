@@ -235,20 +235,23 @@ def step11_parentheses(spark, d):
     return cleaning.repair_parentheses(elements(spark, d)).select(*KEY, "content")
 
 
+def _vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus's own words, counted once for all that reads them."""
+    return cut(spelling.vocabulary_of(_read(spark, d, "documents")))
+
+
 @query
 def step12_spelling(spark, d):
     """Words with letters misread, corrected against the corpus's own words."""
-    docs = _read(spark, d, "documents")
-    vocabulary = spelling.vocabulary_of(docs)
+    vocabulary = _vocabulary(spark, d)
     wrong = vocabulary.where("length(word) >= 5").select(F.translate("word", "eo", "co").alias("wrong")).distinct().join(vocabulary.select(F.col("word").alias("wrong")), "wrong", "left_anti")
     return spelling.corrections(wrong, vocabulary)
 
 
 @query
 def step12_correct_texts(spark, d):
-    docs = _read(spark, d, "documents")
     e = elements(spark, d).where("type = 'text'").withColumn("content", F.translate("content", "eo", "co"))
-    return spelling.correct_nonwords(e, spelling.vocabulary_of(docs)).select(*KEY, "content")
+    return spelling.correct_nonwords(e, _vocabulary(spark, d)).select(*KEY, "content")
 
 
 @query
@@ -544,7 +547,7 @@ def v_display(spark, d):
 @query
 def postprocess_all(spark, d):
     """All steps, flattened."""
-    p = pipeline.postprocess(_typed(_with_structure(elements(spark, d))), spelling.vocabulary_of(_read(spark, d, "documents")))
+    p = pipeline.postprocess(_typed(_with_structure(elements(spark, d))), _vocabulary(spark, d))
     return p.select(*KEY, "type", "content", "document_type", "structure_score", "hallucination_score", "num_rows", "num_columns", "normalized_phone", "phone_type", F.col("date_validation.status").alias("date_status"), F.col("phone_validation.status").alias("phone_status"))
 
 
